@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiesmith.llm import canonical, clusters, leakage, packing, pairs, shared_spans, terms
+from tiesmith.llm import canonical, clusters, leakage, packing, pairs, sentences, shared_spans, terms
 from tiesmith.session import durable, table
 
 TOKENIZERS = os.environ.get("TIESMITH_TOKENIZERS", "/opt/tokenizers")
@@ -89,6 +89,19 @@ def p5_unmatched(spans: DataFrame, reference: DataFrame) -> DataFrame:
     return missed.groupBy("attr_type", "value").agg(F.count(F.lit(1)).alias("spans"))
 
 
+@_over("documents")
+def p6_found(documents: DataFrame) -> DataFrame:
+    archive = documents.where("source = 'archive'").select("doc_id", "text").distinct()
+    return sentences.sentences(archive).select("doc_id", "start_char", "end_char")
+
+
+@_over("documents")
+def p6_sentences(documents: DataFrame) -> DataFrame:
+    """Sentences and their mean length in every document, whatever its source."""
+    found = sentences.sentences(documents)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg(F.length("sentence")), 2).alias("mean_chars"))
+
+
 @_over("documents")
 def p7_containers(documents: DataFrame) -> DataFrame:
     import public_tokenizers
