@@ -101,16 +101,21 @@ def anchors(text: str, span: int, gram: int, rolling: Rolling) -> np.ndarray:
 
 def common(a: str, b: str, span: int, grams_a: tuple[np.ndarray, np.ndarray], grams_b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Starts in a, and in b, of grams of `span` code points that stand in the other text too."""
-    both = np.intersect1d(grams_a[0], grams_b[0], assume_unique=False)
     none = np.zeros(0, np.int64)
-    if not len(both):
+
+    def held(these: np.ndarray, those: np.ndarray) -> np.ndarray:
+        return those[np.minimum(np.searchsorted(those, these), len(those) - 1)] == these
+
+    (hash_a, at_a), (hash_b, at_b) = grams_a, grams_b
+    small, large = (hash_a, hash_b) if len(hash_a) <= len(hash_b) else (hash_b, hash_a)
+    if not held(small, large).any():
         return none, none
-    at_a, at_b = (g[1][np.isin(g[0], both)] for g in (grams_a, grams_b))
+    at_a, at_b = np.sort(at_a[held(hash_a, hash_b)]), np.sort(at_b[held(hash_b, hash_a)])
     p = int(at_a[0])
     if a[p : p + span] not in b:  # a chance collision of 64 bits: compare the texts themselves
         at_a = np.array([i for i in at_a if a[i : i + span] in b], np.int64)
         at_b = np.array([i for i in at_b if b[i : i + span] in a], np.int64)
-    return np.sort(at_a), np.sort(at_b)
+    return at_a, at_b
 
 
 def covered(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -136,9 +141,16 @@ def _representatives(documents: DataFrame, span: int) -> tuple[DataFrame, DataFr
     return members, firsts
 
 
+#: Keys of texts in candidate pairs that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
-    """Distinct pairs (a < b) of text keys that share an anchor; keys are MD5 sums of the texts."""
-    rows = documents.select("text").where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("copy"), "text")
+    """Distinct pairs (a < b) of 64-bit text keys that share an anchor.
+
+    One exchange by anchor serves both sides of the self-join; a hot anchor is split by the skew join.
+    """
+    rows = documents.select("text").where(F.length("text") >= span).select(F.xxhash64("text").alias("key"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(gram)
@@ -148,35 +160,40 @@ def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
                 hashes.append(anchors(text.as_py(), span, gram, rolling))
                 counts.append(len(hashes[-1]))
             owner = np.repeat(np.arange(len(counts)), counts)
-            yield pa.record_batch([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), keys.take(pa.array(owner))], ["anchor", "copy"])
-
-    found = rows.mapInArrow(scan, "anchor bigint, copy binary")
-    # Copies repeat whole sets of anchors; `low` and `high` tell anchors of one text from shared ones
-    # with a partial aggregate, before any group is built.
-    shared = found.groupBy("anchor").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low <> high").select("anchor")
-    kept = durable(found.join(shared, "anchor", "left_semi").distinct())
-    a, b = kept.withColumnRenamed("copy", "a"), kept.withColumnRenamed("copy", "b")
+            yield pa.record_batch([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), keys.take(pa.array(owner))], ["anchor", "key"])
+
+    found = rows.mapInArrow(scan, "anchor bigint, key bigint").distinct()
+    a, b = found.withColumnRenamed("key", "a"), found.withColumnRenamed("key", "b")
     return a.join(b, "anchor").where("a < b").select("a", "b").distinct()
 
 
-def shared_runs(documents: DataFrame, span: int = 200, gram: int = 100) -> DataFrame:
-    """(a, b, in_a, in_b): text keys with a common run and the intervals of each that the other holds."""
-    pairs = _candidates(documents, span, gram)
-    needed = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
-    texts = documents.select("text").where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("copy"), "text")
-    texts = texts.join(needed, "copy", "left_semi").dropDuplicates(["copy"])
-    sides = pairs.join(texts.selectExpr("copy AS a", "text AS text_a"), "a").join(texts.selectExpr("copy AS b", "text AS text_b"), "b")
+def shared_runs(documents: DataFrame, span: int = 200, gram: int = 130) -> DataFrame:
+    """(a, b, in_a, in_b): MD5 sums of texts with a common run and the intervals of each that the other holds."""
+    pairs = durable(_candidates(documents, span, gram))
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    if needed.count() <= BROADCAST_KEYS:
+        needed = F.broadcast(needed)
+    texts = documents.select("text").where(F.length("text") >= span).select(F.xxhash64("text").alias("key"), "text")
+    texts = texts.join(needed, "key", "left_semi").select("key", F.unhex(F.md5("text")).alias("copy"), "text").dropDuplicates(["copy"])
+    one, two = (texts.select(F.col("key").alias(k), F.col("copy").alias(f"copy_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
+    sides = pairs.join(one, "a").join(two, "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, last = Rolling(span), (None, None)
+        rolling, held = Rolling(span), {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+        def grams(copy: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if copy not in held:
+                if len(held) >= 64:
+                    held.pop(next(iter(held)))
+                held[copy] = _grams(text, rolling)
+            return held[copy]
+
         for batch in batches:
             keep, ins = [], ([], [])
-            for row, (b, text_a, text_b) in enumerate(zip(*(batch.column(k) for k in (1, 2, 3)))):
-                text_a, text_b, b = text_a.as_py(), text_b.as_py(), b.as_py()
-                if last[0] != b:
-                    last = (b, _grams(text_b, rolling))
-                at = common(text_a, text_b, span, _grams(text_a, rolling), last[1])
+            for row, (a, b, text_a, text_b) in enumerate(zip(*batch.columns)):
+                text_a, text_b = text_a.as_py(), text_b.as_py()
+                at = common(text_a, text_b, span, grams(a.as_py(), text_a), grams(b.as_py(), text_b))
                 if len(at[0]):
                     keep.append(row)
                     for side, starts in zip(ins, at):
@@ -185,10 +202,10 @@ def shared_runs(documents: DataFrame, span: int = 200, gram: int = 100) -> DataF
             yield pa.record_batch([batch.column(0).take(took), batch.column(1).take(took), *(pa.array(s, kind) for s in ins)], ["a", "b", "in_a", "in_b"])
 
     kind = "array<struct<start:int,stop:int>>"
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(decide, f"a binary, b binary, in_a {kind}, in_b {kind}")
+    return sides.select("copy_a", "copy_b", "text_a", "text_b").mapInArrow(decide, f"a binary, b binary, in_a {kind}, in_b {kind}")
 
 
-def shared_pairs(documents: DataFrame, span: int = 200, gram: int = 100) -> DataFrame:
+def shared_pairs(documents: DataFrame, span: int = 200, gram: int = 130) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: all pairs of records that share a verbatim run of `span` code points."""
     members, _ = _representatives(documents, span)
     runs = durable(shared_runs(documents, span, gram).select("a", "b"))
@@ -199,7 +216,7 @@ def shared_pairs(documents: DataFrame, span: int = 200, gram: int = 100) -> Data
     return ordered.select(F.least("one", "two").alias("doc_id_a"), F.greatest("one", "two").alias("doc_id_b")).distinct()
 
 
-def shared_share(documents: DataFrame, span: int = 200, gram: int = 100) -> DataFrame:
+def shared_share(documents: DataFrame, span: int = 200, gram: int = 130) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_ratio, partners) of each distinct record with a text that isn't null.
 
     `shared_chars` counts the code points that lie in a run of `span` or more which another record
