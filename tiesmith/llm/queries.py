@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiesmith.llm import canonical, clusters, leakage, packing, pairs, sentences, shared_spans, terms
+from tiesmith.llm import canonical, clusters, leakage, markup, packing, pairs, sentences, shared_spans, terms
 from tiesmith.session import durable, table
 
 TOKENIZERS = os.environ.get("TIESMITH_TOKENIZERS", "/opt/tokenizers")
@@ -51,6 +51,19 @@ def p1_assign(candidates: DataFrame, sentences: DataFrame) -> DataFrame:
     return joined.select("candidate_id", "sentence_id", F.col("fresh").alias("cluster_id"))
 
 
+@_over("documents")
+def p2_found(documents: DataFrame) -> DataFrame:
+    parsed = markup.parse(documents).where("marked")
+    whole = F.array(F.struct(F.lit("markup").alias("kind"), F.lit("").alias("content")))
+    return parsed.select("doc_id", F.explode(F.concat(whole, "elements")).alias("e")).select("doc_id", "e.kind", "e.content")
+
+
+@_over("documents")
+def p2_clean(documents: DataFrame) -> DataFrame:
+    """Every document's clean text with the links that still mark their surfaces."""
+    return markup.cleaned(documents)
+
+
 @_over("mentions")
 def p3_found(mentions: DataFrame) -> DataFrame:
     found = pairs.together(mentions, SENTENCE, "entity_id", least=5, least_lift=10.0)
