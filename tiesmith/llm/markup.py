@@ -414,9 +414,26 @@ class Document:
 
     def clean(self) -> tuple[str, list[int]]:
         """The clean text, and for each code point of the stored text where it begins in the clean one."""
+        for kind, start, end in self.ranges:
+            if kind in ("heading", "list_item"):  # one line each
+                fresh = True
+                for k in range(start, end):
+                    if self.cells[k] in (" ", "\n", "\t"):
+                        self.cells[k] = "" if fresh else " "
+                    fresh = fresh and not self.cells[k]
         for at, sign in self.before.items():
             self.cells[at] = sign + self.cells[at]
         self.before.clear()
+        if self.marked:  # at most one blank line, except in code
+            code = [r[1:] for r in self.ranges if r[0] == "code"]
+            breaks, k = 2, 0
+            for k, c in enumerate(self.cells):
+                if "\n" in c and not c.strip("\n"):
+                    if breaks >= 2 and not any(s <= k < e for s, e in code):
+                        self.cells[k] = ""
+                    breaks += len(self.cells[k])
+                elif c and not c.isspace():
+                    breaks = 0
         starts = [0, *accumulate(map(len, self.cells))]
         return "".join(self.cells), starts
 
