@@ -79,8 +79,6 @@ class Resolver:
         self.content = [[w for w in ws if w not in LINKING] or ws for _, ws in self.entries]
         self.share = Counter(w for ws in self.content for w in set(ws))
         self.weight = {w: log(1 + len(self.entries) / n) for w, n in self.share.items()}
-        #: Words of many entries tell kinds apart ("technical") and are abbreviated; the others are names.
-        self.kinds = {w for w, n in self.share.items() if n >= max(3, 0.02 * len(self.entries))}
         self.holders, self.near = defaultdict(list), defaultdict(set)
         for k, ws in enumerate(self.content):
             for w in set(ws):
@@ -117,33 +115,39 @@ class Resolver:
     def similar(self, word: str) -> set[str]:
         return set().union(*(self.near.get(d, ()) for d in deletions(word, slips(word))))
 
-    def match(self, word: str, of: str) -> float:
-        """How well a word of a value stands for a word of an entry, 0 to 1."""
+    def match(self, word: str, of: str, short: bool = False) -> float:
+        """How well a word of a value stands for a word of an entry, 0 to 1; `short` allows abbreviations."""
         if word == of:
             return 1.0
-        if of in self.kinds and of.startswith(word):
-            return 0.95
         most = min(slips(of), max(slips(word), 1))
         d = distance(word, of, most)
         if d <= most:
             return 1 - d / len(of)
-        if of in self.kinds and 4 <= len(word) < len(of) and any(distance(word, of[:n], 1) <= 1 for n in (len(word), len(word) + 1)):
+        if short and of.startswith(word):
+            return 0.95
+        if short and 4 <= len(word) < len(of) and any(distance(word, of[:n], 1) <= 1 for n in (len(word), len(word) + 1)):
             return 0.6
         return 0.0
 
     def score(self, ws: list[str], k: int) -> float:
-        """Weighted share of the entry's and the value's words that stand for each other."""
-        content, free, got, total = self.content[k], list(ws), 0.0, 0.0
+        """Weighted share of the entry's and the value's words that stand for each other.
+
+        The entry's rarest word has to be spelt out; the others may be abbreviated.
+        """
+        content, free, got, total, spelt = self.content[k], list(ws), 0.0, 0.0, False
+        rarest = max(self.weight[w] for w in content) - 1e-9
         for of in sorted(content, key=lambda w: -self.weight[w]):
             total += self.weight[of]
-            best = max(((self.match(w, of), -n) for n, w in enumerate(free)), default=(0.0, 0))
-            if best[0] > 0:
-                got += self.weight[of] * best[0]
-                free.pop(-best[1])
-            else:
+            best = max(((self.match(w, of), -n, True) for n, w in enumerate(free)), default=(0.0, 0, True))
+            if best[0] <= 0:
+                best = max(((self.match(w, of, True), -n, False) for n, w in enumerate(free)), default=(0.0, 0, False))
+            if best[0] <= 0:
                 return 0.0
+            got += self.weight[of] * best[0]
+            free.pop(-best[1])
+            spelt = spelt or best[2] and self.weight[of] >= rarest
         left = sum(self.weight.get(w, 1.0) for w in free if self.telling(w))
-        return got / (total + left)
+        return got / (total + left) if spelt else 0.0
 
     def find(self, value: str | None) -> tuple[int, float]:
         """(ref_id or -1, similarity)."""

@@ -1,9 +1,9 @@
 """Evaluation items that stand, wholly or in part, in corpus documents (problem 8).
 
 A generalised suffix automaton of the folded words of all items reads every document's words
-and keeps the length of the longest item fragment that ends at each word. Fragments of two
-words or more are seeds; the seeds of one item that lie close together make a candidate
-passage, and an alignment in item order decides it. The items are a fixed small table: they
+and keeps the length of the longest item fragment that ends at each word. The words that fragments
+of two or more of one item cover within a short stretch make a candidate passage, and an alignment
+in item order decides it. The items are a fixed small table: they
 travel to the workers in blocks whose size is checked, so a longer list costs more passes,
 not more memory.
 
@@ -80,14 +80,12 @@ class SuffixAutomaton:
             if self.link[state] > 0:
                 self.ends[self.link[state]].extend(self.ends[state])
 
-    def seeds(self, symbols: list[int], first: int, least: int = 2) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of the longest matches of `symbols` that no next symbol extends."""
+    def matches(self, symbols: list[int], first: int, least: int = 2) -> Iterator[tuple[int, int, int]]:
+        """(end, length, state) of the longest match that ends at each of `symbols`, where it reaches `least`."""
         state, length = 0, 0
         moves, link, longest = self.next, self.link, self.length
-        for at, symbol in enumerate(symbols):
+        for at, symbol in enumerate(symbols, first):
             following = moves[state].get(symbol)
-            if following is None and length >= least:
-                yield first + at - 1, length, state
             while following is None and state:
                 state = link[state]
                 length = longest[state]
@@ -96,8 +94,18 @@ class SuffixAutomaton:
                 state, length = 0, 0
             else:
                 state, length = following, length + 1
-        if length >= least:
-            yield first + len(symbols) - 1, length, state
+                if length >= least:
+                    yield at, length, state
+
+    def holders(self, state: int, length: int, least: int = 2) -> dict[int, int]:
+        """Sequence to the length of its longest fragment that ends a match."""
+        out: dict[int, int] = {}
+        while state > 0 and length >= least:
+            for number, _ in self.ends[state]:
+                out.setdefault(number, length)
+            state = self.link[state]
+            length = self.length[state]
+        return out
 
 
 class Matcher:
@@ -167,10 +175,10 @@ class Matcher:
         found: dict[int, tuple[int, int, int, int]] = {}
         for low, high in self.stretches(ids):
             share: dict[int, list[int]] = {}
-            for end, length, state in self.automaton.seeds(ids[low:high].tolist(), low):
-                for item in {n for n, _ in self.automaton.ends[state]}:
-                    s = share.setdefault(item, [0, end - length + 1, end])
-                    s[0] += length
+            for end, length, state in self.automaton.matches(ids[low:high].tolist(), low):
+                for item, held in self.automaton.holders(state, length).items():
+                    s = share.setdefault(item, [0, end - held + 1, end - held])
+                    s[0] += end - max(s[2], end - held)
                     s[2] = end
             for item, (total, first, last) in share.items():
                 n = len(self.items[item][1])
