@@ -38,8 +38,8 @@ PAIRED = {("z", "b"), ("d", "h"), ("u", "a"), ("a", "d"), ("p", "ej"), ("a", "c"
 ORDINAL = set("januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert jahrhunderts jahrhunderte jahrtausend jh jahrestag geburtstag mal klasse auflage band kapitel stock".split())
 # Particles that open names in lower case.
 PARTICLES = set("de del della der den di da dos du la le van von vom zu ten ter af al el ibn bin".split())
-# Signs by which a clause goes on after a quotation in Chinese and Japanese.
-GOING_ON = set("，、：；,;:とってはがをにものでへやかよねさ的地得之随然并而")
+# Abbreviations only before a number, as they are words too.
+NUMBERED = set("abb art ch chap fig figs no nos nr núm núms pag pág págs par sec sect vol vols гл рис стр табл".split())
 
 _BLANK_LINE = re.compile(r"\n[ \t\r\f\v 　]*\n\s*")
 _END = re.compile(r"([.!?…‥。！？｡．।॥؟۔։።]+)((?:[  \n]?»|[”\"’')\]}」』》）】〉›“])*)(\s*)")
@@ -117,14 +117,14 @@ def _closing(text: str, start: int, sign: str, closers: str, gap: str, follows:
     last, nxt = sign[-1], text[follows : follows + 1]
     opening = _opening(text, follows)
     if last in _FULL:
-        if closers and nxt in GOING_ON or opening <= -6:
+        if opening <= -6 or nxt and nxt in "，、；":
             return NEVER
-        return 4.0 + (min(opening, 0.0) if closers and not _wide(nxt) else 0.0)
+        if closers and nxt and nxt not in _OPENERS and not nxt.isupper() and not nxt.isdigit():
+            return NEVER  # scripts without case: what follows a quotation or bracket belongs to its sentence
+        return 4.0
     wide = bool(nxt) and (_wide(nxt) or nxt in "「『《（“«¿¡")
     if sign in ("…", "……", "..", "...") or sign.startswith("..") or last in "…‥":
-        if not gap or opening <= 0 or _wide(nxt):
-            return NEVER if opening < 0 or _wide(nxt) else -2.0
-        return 2.0
+        return 2.0 if gap and (nxt.isupper() or nxt in _OPENERS) else -2.0 if gap and nxt.isdigit() else NEVER
     before = _BEFORE.search(text, max(0, start - 24), start)
     word = before[0] if before else ""
     head, _, tail = word.rpartition(".")
@@ -153,6 +153,8 @@ def _closing(text: str, start: int, sign: str, closers: str, gap: str, follows:
         return NEVER if opening < 1 else -1.0 if pair not in {("т", "д"), ("т", "п"), ("ee", "uu")} else 1.0
     if bare in TRAILING:
         return 0.5 if opening >= 1 else NEVER
+    if bare in NUMBERED and not nxt.isdigit():
+        return 3.0 + opening * 0.75 if opening < 0 else 3.0
     if bare in LEADING or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", bare):
         return NEVER
     letters = sum(c.isalpha() for c in word)
@@ -167,7 +169,7 @@ def _length(text: str, start: int, end: int) -> float:
     if n < 24:
         wide = sum(_wide(c) for c in text[start:end])
         words = n + 2 * wide
-        return -4.0 if words < 3 else -2.0 if words < 8 else -0.8 if words < 11 else 0.0
+        return -4.0 if words < 3 else -1.2 if words < 8 else -0.8 if words < 11 else 0.0
     return 0.0 if n <= 400 else -min(6.0, (n - 400) / 400)
 
 
