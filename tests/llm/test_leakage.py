@@ -23,6 +23,7 @@ def test_disguises_do_not_hide_an_item(spark):
         f"Before. {ITEM} After.", ITEM.upper(), ITEM.replace(" ", "\n"), ITEM.replace("dispute", "dis­pu​te"), ITEM.replace("obituary", "obi-\ntuary"),
         ITEM.replace("dispute", "<b>dis</b>pute"), ITEM.replace("heavy", '<a href="./X_y">heavy</a>'), ITEM.replace("heavy", "[heavy](./Some_page)").replace("linear", "**linear**"),
         ITEM.replace("dispute", "quarrel").replace("built", "film"), ITEM.replace("are", "are eagerly and slowly"), " ".join(whole.split()[:12]) + " ...", ITEM.replace("archives", "árchivés"),
+        ITEM.replace("heavy", "\\href{./Law_of_the_second_kind\\%2C_old}{heavy}").replace("linear", "{\\it linear}"), ITEM.replace("heavy", "{{lang|xx|heavy}} $a + b = c$ <math> \\sum_{i=2}^{9} n_{i} < k </math>"),
     ]
     assert set(found(spark, texts)) == {(n, 1) for n in range(len(texts))}
 

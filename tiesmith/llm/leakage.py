@@ -212,7 +212,7 @@ def blocks(items: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tup
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gap: int = 5, least_words: int = 5) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gap: int = 8, least_words: int = 5) -> DataFrame:
     """One row for each document and item of which `share` of the words stand there as one passage.
 
     `gap`: foreign words that may stand between two of the item's. `longest` is the longest
