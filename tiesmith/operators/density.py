@@ -187,7 +187,7 @@ def density_clusters(vectors: DataFrame, key: str, column: str, group: list[str]
         return part[[*group, key]].assign(cluster_id=labels.astype("int32"), cluster_prob=strength)
 
     schema = ", ".join([f"`{g}` {kinds[g]}" for g in [*group, key]]) + ", cluster_id int, cluster_prob double"
-    return vectors.groupBy(*group).applyInPandas(run, schema) if group else vectors.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return vectors.groupBy(*group).applyInPandas(run, schema) if group else vectors.groupBy(F.lit("all")).applyInPandas(run, schema)
 
 
 def centroids(vectors: DataFrame, cluster: str, column: str) -> DataFrame:
