@@ -39,3 +39,8 @@ def durable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tiesmith-"))
     return df.checkpoint(eager=True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Parts for a stage that computes much over few bytes, which sizes alone would give to too few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
