@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import log
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiesmith.llm.text import words
+from tiesmith.session import parallelism
 
 BLOCK_ENTRIES = 50_000
 #: Words that carry no name of their own.
@@ -79,11 +81,14 @@ class Resolver:
         self.content = [[w for w in ws if w not in LINKING] or ws for _, ws in self.entries]
         self.share = Counter(w for ws in self.content for w in set(ws))
         self.weight = {w: log(1 + len(self.entries) / n) for w, n in self.share.items()}
-        self.holders, self.near = defaultdict(list), defaultdict(set)
+        #: Entries by their rarest words, which a value has to spell out.
+        self.named, self.near = defaultdict(list), defaultdict(set)
         for k, ws in enumerate(self.content):
-            for w in set(ws):
-                self.holders[w].append(k)
-        for w in self.holders:
+            rarest = min(self.share[w] for w in ws)
+            for w in {w for w in ws if self.share[w] == rarest}:
+                self.named[w].append(k)
+        self.match, self.similar = lru_cache(500_000)(self._match), lru_cache(100_000)(self._similar)
+        for w in self.share:
             for d in deletions(w, slips(w)):
                 self.near[d].add(w)
         self.automaton = ahocorasick.Automaton()
@@ -112,10 +117,10 @@ class Resolver:
     def telling(self, word: str) -> bool:
         return word in self.weight or (len(word) > 3 and any(self.match(word, x) > 0.6 for x in self.similar(word)))
 
-    def similar(self, word: str) -> set[str]:
+    def _similar(self, word: str) -> set[str]:
         return set().union(*(self.near.get(d, ()) for d in deletions(word, slips(word))))
 
-    def match(self, word: str, of: str, short: bool = False) -> float:
+    def _match(self, word: str, of: str, short: bool = False) -> float:
         """How well a word of a value stands for a word of an entry, 0 to 1; `short` allows abbreviations."""
         if word == of:
             return 1.0
@@ -157,15 +162,7 @@ class Resolver:
         if (whole := self.embedded(ws)) is not None:
             return self.entries[whole[0]][0], whole[1]
         ws = [w for w in ws if w not in LINKING] or ws
-        candidates = set()
-        for w in ws:
-            for x in self.similar(w):
-                if self.share[x] * 10 <= len(self.entries) or self.share[x] <= 50:
-                    candidates.update(self.holders[x])
-        if not candidates:
-            for w in ws:
-                for x in self.similar(w):
-                    candidates.update(self.holders[x])
+        candidates = {k for w in ws for x in self.similar(w) for k in self.named.get(x, ())}
         best = max(((self.score(ws, k), -self.entries[k][0]) for k in candidates), default=(0.0, 0))
         return (-best[1], best[0]) if best[0] >= self.least else (-1, best[0])
 
@@ -185,7 +182,7 @@ def _blocks(reference: DataFrame, most: int) -> Iterator[list[tuple[str, int, st
 def resolve(values: DataFrame, reference: DataFrame, least: float = 0.8) -> DataFrame:
     """(attr_type, value, ref_id, similarity) of each distinct non-null value; attr_type in lower case, ref_id -1 where no entry fits."""
     spark = values.sparkSession
-    distinct = values.select(F.lower(F.trim("attr_type")).alias("attr_type"), "value").dropna().distinct()
+    distinct = values.select(F.lower(F.trim("attr_type")).alias("attr_type"), "value").dropna().repartition(parallelism(spark), "attr_type", "value").distinct()
     parts = []
     for block in _blocks(reference, BLOCK_ENTRIES):
         shared = spark.sparkContext.broadcast(block)
