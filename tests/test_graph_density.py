@@ -93,3 +93,12 @@ def test_embedding(spark):
     assert got[0].v == got[1].v and len(got[0].v) == density.DIMS and sum(map(abs, got[2].v)) == 0
     fixed = spark.createDataFrame([("x",)], "t string").select(density.embed(F.col("t"), lambda t: np.ones(3, np.float32)).alias("v"))
     assert fixed.first().v == [1.0, 1.0, 1.0]
+
+
+def test_rendered():
+    from tiesmith.operators import render
+
+    rows = [{"n": 5, "m": "eom", "n_clusters": 2, "noise_fraction": 0.25, "largest_cluster_fraction": 0.5, "top_cluster_sizes": [3, 2]}]
+    assert render.sweep_table(rows, ["n", "m"]).splitlines() == ["n  m    n_clusters  noise_fraction  largest_cluster_fraction  top_cluster_sizes", "5  eom           2          0.2500                    0.5000  3,2"]
+    assert render.table([], ["a"]) == "(none)" and render.clusters([]) == "(no clusters)"
+    assert render.clusters([{"cluster_id": 10, "size": 3, "exemplar_sentences": ["A", "B"]}, {"cluster_id": 2, "size": 1, "exemplar_sentences": []}]).splitlines() == ["10  3  A", "       B", " 2  1  "]

@@ -110,3 +110,13 @@ def test_estimate_of_nothing_and_something(spark):
     r = fetching.size_estimate(df, "plain", "rich").first()
     assert (r.pages, r.total, r.mean, r.median, r.largest, r.ratio_mean, r.ratio_weighted) == (3, 30, 10, 10, 20, 3.0, 3.5)
     assert fetching.size_estimate(df.limit(0), "plain", "rich").first().pages == 0
+
+
+def test_hierarchies(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("x", "y")], "child string, parent string")
+    assert {r.item for r in seed.descendants(edges, "a").collect()} == {"a", "b", "c"}
+    people = spark.createDataFrame([("Q1", "a"), ("Q2", "c"), ("Q2", "b"), ("Q3", "x")], "qid string, occupation string")
+    assert tuple(seed.corpus_counts(people, edges, "a").first()) == (1, 2)
+    chain = spark.createDataFrame([(str(k + 1), str(k)) for k in range(5)], "child string, parent string")
+    with pytest.raises(ValueError, match="deeper"):
+        seed.descendants(chain, "0", most_rounds=3)

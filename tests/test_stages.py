@@ -36,7 +36,7 @@ def run(spark, tmp_path_factory):
     counts = {"seed": stages.run_seed(spark, data, client, "SELECT"), "fetch": stages.run_fetch(spark, data, data, client)}
     counts |= {"again": stages.run_fetch(spark, data, data, client), "clean": stages.run_clean(spark, data, data), "resolve": stages.run_resolve(spark, data, data, client)}
     counts |= {"resolve again": stages.run_resolve(spark, data, data, client), "segment": stages.run_segment(spark, data, data), "mentions": stages.run_mentions(spark, data, data)}
-    counts |= {"attributes": stages.run_attributes(spark, data, data), "assemble": stages.run_assemble(spark, data, data, 0.3), "graph": stages.run_graph(spark, data, data / "graph", "nowhere") if False else stages.run_graph(spark, data, data, "university")}
+    counts |= {"attributes": stages.run_attributes(spark, data, data), "assemble": stages.run_assemble(spark, data, data, 0.3), "graph": stages.run_graph(spark, data, data, "university")}
     counts |= {"estimate": stages.run_estimate(spark, data, client, ["Ann Lee", "Bo Ray"], 1)}
     return data, counts
 

@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 from tiesmith import stages
+from tiesmith.operators import render
 from tiesmith.session import session
 from tiesmith.sources.wiki import WikiClient
 
@@ -57,25 +58,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def summary_lines(rows: list) -> list[str]:
-    """Clusters as aligned text."""
-    if not rows:
-        return ["(no clusters)"]
-    wide = max(len(str(r.cluster_id)) for r in rows), max(len(str(r["size"])) for r in rows)
-    out = []
-    for r in rows:
-        out.append(f"{r.cluster_id:>{wide[0]}}  {r['size']:>{wide[1]}}  {r.exemplar_sentences[0] if r.exemplar_sentences else ''}")
-        out += [" " * (sum(wide) + 4) + s for s in r.exemplar_sentences[1:]]
-    return out
-
-
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session("tiesmith", a.master)
     client = WikiClient(a.contact, delay=a.delay) if hasattr(a, "contact") else None
     if a.stage == "cluster-summary":
         rows = spark.read.parquet(str(a.src / "cluster_summary.parquet")).orderBy("size", ascending=False)
-        print("\n".join(summary_lines(list(rows.toLocalIterator()))))
+        print(render.clusters(list(rows.toLocalIterator())))
         return 0
     if a.stage == "relations-summary":
         from tiesmith.operators.assemble import rendered
@@ -101,6 +90,9 @@ def main(args: list[str] | None = None) -> int:
         "render-graph": lambda: stages.run_graph(spark, a.src, a.out, a.institution, a.high_coverage_only, a.engine),
     }[a.stage]
     print(json.dumps(run(), indent=2, ensure_ascii=False, default=str))
+    if a.stage == "cluster-sweep":
+        by = ["n_components", "least_size", "method"]
+        print(render.sweep_table(spark.read.parquet(str(a.out / "sweep_results.parquet")).orderBy("largest_cluster_fraction", *by).collect(), by))
     return 0
 
 

@@ -17,6 +17,15 @@ from tiesmith.functions.text import dot_escape, edge_id, html_escape, node_id, s
 # Colours of the attribute types, in the order of their boxes, and of the page.
 COLOURS = {"time": "#4a90d9", "place": "#b07cd9", "institution": "#57b894", "action": "#e0c341"}
 PAGE = {"bg": "#181818", "fill": "#2b2b2e", "border": "#6b6b70", "text": "#e8e8e8", "edge": "#8a8a90", "edge_text": "#c9c9cf", "box": "#151515"}
+# The lines that open a drawing, and the table around the boxes of an edge.
+DOT_HEAD = f"""graph relations {{
+  bgcolor="{PAGE["bg"]}";
+  overlap=false;
+  sep="+12";
+  splines=true;
+  node [shape=ellipse, style=filled, fillcolor="{PAGE["fill"]}", color="{PAGE["border"]}", fontcolor="{PAGE["text"]}", fontname="sans-serif"];
+  edge [color="{PAGE["edge"]}", fontcolor="{PAGE["edge_text"]}", fontname="sans-serif", fontsize=10];"""
+BOX_TABLE = '<TABLE BORDER="0" CELLBORDER="0" CELLSPACING="3" CELLPADDING="4"><TR>', "</TR></TABLE>"
 BOX_CHARS = 20
 MOST_EDGES = 50_000
 
@@ -84,7 +93,7 @@ def edge_lines(found: DataFrame) -> DataFrame:
         )
         cells.append(F.when(value.isNotNull(), cell).otherwise(""))
     row = F.concat(*cells)
-    label = F.when(row == "", 'label=""').otherwise(F.concat(F.lit('label=<<TABLE BORDER="0" CELLBORDER="0" CELLSPACING="3" CELLPADDING="4"><TR>'), row, F.lit("</TR></TABLE>>")))
+    label = F.when(row == "", 'label=""').otherwise(F.concat(F.lit(f"label=<{BOX_TABLE[0]}"), row, F.lit(f"{BOX_TABLE[1]}>")))
     line = F.concat(F.lit('  "'), dot_escape("a"), F.lit('" -- "'), dot_escape("b"), F.lit('" [id="'), dot_escape(edge_id("a", "b")), F.lit('", '), label, F.lit(', tooltip="'), dot_escape("tooltip"), F.lit('"];'))
     return found.select("a", "b", line.alias("line"))
 
@@ -101,13 +110,8 @@ def to_dot(found_nodes: DataFrame, found_edges: DataFrame, most: int = MOST_EDGE
     held = found_edges.limit(most + 1).count()
     if held > most:
         raise ValueError(f"more than {most} edges can't be drawn; filter first")
-    head = [
-        "graph relations {", f'  bgcolor="{PAGE["bg"]}";', "  overlap=false;", '  sep="+12";', "  splines=true;",
-        f'  node [shape=ellipse, style=filled, fillcolor="{PAGE["fill"]}", color="{PAGE["border"]}", fontcolor="{PAGE["text"]}", fontname="sans-serif"];',
-        f'  edge [color="{PAGE["edge"]}", fontcolor="{PAGE["edge_text"]}", fontname="sans-serif", fontsize=10];',
-    ]
     body = [r.line for r in node_lines(found_nodes).orderBy("qid").toLocalIterator()] + [r.line for r in edge_lines(found_edges).orderBy("a", "b").toLocalIterator()]
-    return "\n".join([*head, *body, "}"]) + "\n"
+    return "\n".join([DOT_HEAD, *body, "}"]) + "\n"
 
 
 def to_svg(dot: str, engine: str = "neato") -> str:

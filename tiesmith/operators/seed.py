@@ -28,3 +28,29 @@ def collapse_metadata(rows: DataFrame, order: list[str]) -> DataFrame:
     at = F.struct(*[F.col(c) for c in order])
     given = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("birth_year", "death_year", "gender")]
     return rows.where("qid IS NOT NULL").groupBy("qid").agg(*given, F.array_sort(F.collect_set("occupation")).alias("occupations"))
+
+
+def descendants(edges: DataFrame, root: str, most_rounds: int = 50) -> DataFrame:
+    """(item): the root and everything below it by (child, parent) edges, cycles included once.
+
+    Breadth-first: each round joins the edges with what the last one found and cuts the lineage.
+    """
+    from tiesmith.session import durable
+
+    known = durable(edges.sparkSession.createDataFrame([(root,)], "item string"))
+    fresh = known
+    for _ in range(most_rounds):
+        below = edges.join(fresh.withColumnRenamed("item", "parent"), "parent").select(F.col("child").alias("item")).distinct()
+        fresh = durable(below.join(known, "item", "left_anti"))
+        if fresh.isEmpty():
+            return known
+        known = durable(known.unionByName(fresh))
+    raise ValueError(f"the hierarchy below {root} is deeper than {most_rounds}")
+
+
+def corpus_counts(people: DataFrame, edges: DataFrame, root: str) -> DataFrame:
+    """One row: distinct people (qid, occupation) of the class itself, and of it with its subclasses."""
+    below = descendants(edges, root)
+    strict = people.where(F.col("occupation") == root).agg(F.countDistinct("qid").alias("strict"))
+    whole = people.join(below, F.col("occupation") == F.col("item"), "left_semi").agg(F.countDistinct("qid").alias("with_subclasses"))
+    return strict.crossJoin(whole)  # one row each

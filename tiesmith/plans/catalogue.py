@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiesmith.functions import claims
 from tiesmith.functions import spans as spn
 from tiesmith.functions import text as txt
 from tiesmith.operators import annotate, assemble, attributes, clean, density, fetching, graph, masking, mentions, resolve, seed, segment
@@ -524,3 +525,36 @@ def offset_check(documents: DataFrame) -> DataFrame:
     flat = documents.select("source", "text", F.explode("links").alias("l")).where("l.start_char IS NOT NULL")
     sound = spn.cut(F.col("text"), F.col("l.start_char"), F.col("l.end_char")) == F.col("l.surface")
     return flat.groupBy("source").agg(F.count(F.lit(1)).alias("links"), F.count_if(sound).alias("sound"))
+
+
+# --- fixed rows: what no table holds ----------------------------------------------------------
+
+#: Heads of a small sentence's tokens, and pairs of tokens with the ends of the path between them.
+_HEADS = [("He", 0, 1), ("met", 3, 1), ("Ann", 7, 1), ("in", 11, 1), ("Rome", 14, 3)]
+_PATHS = [(2, 4, 3, 18), (0, 2, 0, 10), (0, 0, 0, 2), (3, 0, 0, 13)]
+
+
+@query("region", sql="SELECT * FROM (VALUES " + ", ".join(map(str, _PATHS)) + ") t(head, tail, path_start, path_end)")
+def dependency_path(_: DataFrame) -> DataFrame:
+    tokens = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("idx"), F.lit(w).alias("text"), F.lit(h).alias("head")) for i, (w, at, h) in enumerate(_HEADS)])
+    pairs = _.sparkSession.createDataFrame([p[:2] for p in _PATHS], "head int, tail int").withColumn("tokens", tokens)
+    span = attributes.path_span(F.col("tokens"), F.col("head"), F.col("tail"))
+    return pairs.select("head", "tail", span["start"].alias("path_start"), span["end"].alias("path_end"))
+
+
+_YEARS = [("a", "preferred", "+1901-01-01T00:00:00Z", "normal", "+1900-01-01T00:00:00Z", 1901), ("b", "deprecated", "+1800-01-01T00:00:00Z", "normal", "-0384-00-00T00:00:00Z", -384), ("c", "normal", "+1850-00-00T00:00:00Z", "normal", "+1860-00-00T00:00:00Z", 1850)]
+
+
+@query("region", sql="SELECT * FROM (VALUES " + ", ".join(f"('{y[0]}', {y[5]})" for y in _YEARS) + ") t(k, claim_year)")
+def claim_years(_: DataFrame) -> DataFrame:
+    rows = _.sparkSession.createDataFrame([y[:5] for y in _YEARS], "k string, r1 string, t1 string, r2 string, t2 string")
+    one = lambda r, t: F.struct(F.col(r).alias("rank"), F.struct(F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.col(t).alias("time")).alias("value")).alias("datavalue")).alias("mainsnak"))
+    return rows.select("k", claims.claim_year(F.array(one("r1", "t1"), one("r2", "t2"))).alias("claim_year"))
+
+
+@query("candidates", "entities", sql="SELECT c.tail_entity_id AS qid, coalesce(any_value(e.canonical_name), c.tail_entity_id) AS label, count(*) AS pairs FROM (SELECT DISTINCT candidate_id, tail_entity_id FROM candidates) c LEFT JOIN (SELECT qid, max(canonical_name) AS canonical_name FROM entities GROUP BY 1) e ON e.qid = c.tail_entity_id GROUP BY 1")
+def entity_labels(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """How many pairs name each person second, under the name or else the id."""
+    once = candidates.select("candidate_id", F.col("tail_entity_id").alias("qid")).distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("pairs"))
+    names = entities.groupBy("qid").agg(F.max("canonical_name").alias("_n"))
+    return once.join(names, "qid", "left").select("qid", F.coalesce("_n", "qid").alias("label"), "pairs")

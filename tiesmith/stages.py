@@ -129,7 +129,7 @@ def run_resolve(spark: SparkSession, src: Path, out: Path, client: WikiClient, l
     last = fetching.last_of_key(jsonl.read_jsonl(spark, str(claims), "qid_claims").withColumn("ord", F.monotonically_increasing_id()), "qid", ["ord"])
     resolved = stage.write("wikidata_cache", resolve.resolve_titles(titles, known, last.drop("ord", "fetched_at", "missing", "method")))
     jsonl.write_jsonl(resolved, str(out / "wikidata_cache.jsonl"), ["title"], compress=True)
-    return stage.done(resolve.resolve_counts(resolved.withColumnRenamed("no_item", "no_item")), limit=limit)
+    return stage.done(resolve.resolve_counts(resolved), limit=limit)
 
 
 def run_segment(spark: SparkSession, src: Path, out: Path, limit: int | None = None) -> dict:
