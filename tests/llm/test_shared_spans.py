@@ -82,3 +82,15 @@ def test_winnowing_keeps_an_anchor_of_every_run():
 def test_window_least():
     values = np.array(random.Random(4).sample(range(1000), 300), np.uint64)
     assert s.window_least(values, 7).tolist() == [min(values[k : k + 7]) for k in range(294)]
+
+
+def test_stock_phrases_give_way_to_longer_anchors(spark, monkeypatch):
+    rng = random.Random(7)
+    stock, long = words(rng, 170), words(rng, 230)
+    texts = {k: words(rng, rng.randrange(0, 120)) + "#" + (long if k % 9 == 0 else stock) + "#" + words(rng, rng.randrange(0, 120)) for k in range(60)}
+    texts |= {k: words(rng, 90) + stock[: 100 + k] + words(rng, 90) for k in range(60, 70)} | {70: stock + long, 71: texts[5]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(s, "HOT", 4)
+    candidates = s._candidates(df, 200, 130)
+    assert {(r.doc_id_a, r.doc_id_b) for r in s.shared_pairs(df).collect()} == brute(texts, 200)
+    assert candidates.count() < 60

@@ -100,7 +100,9 @@ def together(rows: DataFrame, group: list[str], item: str, least: int = 1, least
     # its lift is at most n / n_item.
     useful = single.where((F.col("n_item") >= least) & (F.col("n_item") * F.lit(float(least_lift)) <= total))
     numbered = durable(dictionary(useful).join(useful, "term"))
-    coded = held.join(numbered.select("term", F.col("term_id").alias("id")), "term").select("h", "g", "id")
+    # Two codes share 64 bits.
+    fits = F.when(F.col("term_id") < 1 << 31, F.col("term_id")).otherwise(F.raise_error(F.lit("more than 2^31 items")).cast("bigint"))
+    coded = held.join(numbered.select("term", fits.alias("id")), "term").select("h", "g", "id")
     sizes = coded.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = coded.join(sizes, ["h", "g"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     mine = F.pmod(F.hash("id"), "blocks")

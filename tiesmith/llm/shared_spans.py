@@ -7,9 +7,12 @@ so its work grows with the square of the corpus; the README has figures. Here in
 2. Winnowing: in each window of `span - gram + 1` consecutive grams of `gram` code points, the
    gram with the least hash is an anchor. A shared run of `span` code points contains a whole
    window, so both records keep the same anchor: no run can be lost.
-3. Records that share an anchor are candidates. Every candidate pair is decided exactly: all
-   grams of `span` code points of both texts are hashed and compared, and a hit is confirmed
-   on the texts themselves.
+3. Records that share an anchor are candidates. An anchor that more than `HOT` texts share gives
+   way to longer ones: what a run has beyond the anchor reaches at least half way to one side, so
+   each place is anchored anew with that half to the left and to the right, until the anchors are rare or `span`
+   code points long. Stock phrases shorter than `span` thus never pair the texts that hold them.
+4. Every candidate pair is decided exactly: all grams of `span` code points of both texts are
+   hashed and compared, and a hit is confirmed on the texts themselves.
 
 Defined cases: null texts and texts under `span` code points share nothing; rows repeated with
 the same id and text are one record; rows of one id with other texts are parts of one record and
@@ -141,40 +144,91 @@ def _representatives(documents: DataFrame, span: int) -> tuple[DataFrame, DataFr
     return members, firsts
 
 
-#: Keys of texts in candidate pairs that are broadcast at most (16 bytes each); more are joined by a shuffle.
+#: Rows of a key table that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Texts that share an anchor before it gives way to longer ones.
+HOT = 256
 
 
-def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
-    """Distinct pairs (a < b) of 64-bit text keys that share an anchor.
+def _checked(keys: DataFrame) -> DataFrame:
+    """Keys, to be broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _keyed(documents: DataFrame, span: int) -> DataFrame:
+    return documents.select("text").where(F.length("text") >= span).select(F.xxhash64("text").alias("key"), "text")
+
+
+def _emit(keys: pa.Array, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    return pa.record_batch([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), keys.take(pa.array(owner))], ["anchor", "key"])
 
-    One exchange by anchor serves both sides of the self-join; a hot anchor is split by the skew join.
+
+def _shared(found: DataFrame) -> DataFrame:
+    """Distinct (anchor, key, texts) of the anchors that several texts hold; `texts` counts them.
+
+    Least and greatest key tell shared anchors from those of one text and its copies, and are added up in each task.
     """
-    rows = documents.select("text").where(F.length("text") >= span).select(F.xxhash64("text").alias("key"), "text")
+    several = durable(found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor"))
+    rows = durable(found.join(_checked(several), "anchor", "left_semi").distinct())
+    return rows.join(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")), "anchor")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    a, b = rows.select("anchor", F.col("key").alias("a")), rows.select("anchor", F.col("key").alias("b"))
+    return a.join(b, "anchor").where("a < b").select("a", "b")
+
+
+def _longer(documents: DataFrame, hot: DataFrame, span: int, gram: int, reach: int) -> DataFrame:
+    """(anchor, key): the places of hot anchors, anchored anew with `reach` more code points to the left and to the right."""
+    texts = _keyed(documents, span).join(_checked(hot.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    held = texts.join(hot.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(gram)
+        short, long = Rolling(gram), Rolling(gram + reach)
         for batch in batches:
-            keys, hashes, counts = batch.column(0), [], []
-            for text in batch.column(1):
-                hashes.append(anchors(text.as_py(), span, gram, rolling))
-                counts.append(len(hashes[-1]))
-            owner = np.repeat(np.arange(len(counts)), counts)
-            yield pa.record_batch([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), keys.take(pa.array(owner))], ["anchor", "key"])
+            out = []
+            for text, given in zip(batch.column(1), batch.column(2)):
+                points = codes(text.as_py())
+                at = np.flatnonzero(np.isin(short(points).view(np.int64), given.values.to_numpy()))
+                grown = long(points).view(np.int64)
+                starts = np.concatenate([at, at - reach])
+                out.append(np.unique(grown[starts[(starts >= 0) & (starts < len(grown))]]))
+            yield _emit(batch.column(0), out)
+
+    return held.select("key", "text", "anchors").mapInArrow(scan, "anchor bigint, key bigint")
 
-    found = rows.mapInArrow(scan, "anchor bigint, key bigint").distinct()
-    a, b = found.withColumnRenamed("key", "a"), found.withColumnRenamed("key", "b")
-    return a.join(b, "anchor").where("a < b").select("a", "b").distinct()
+
+def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """Distinct pairs (a < b) of 64-bit text keys that share an anchor no text is too many for."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(gram)
+        for batch in batches:
+            yield _emit(batch.column(0), [anchors(t.as_py(), span, gram, rolling) for t in batch.column(1)])
+
+    rows = durable(_shared(durable(_keyed(documents, span).mapInArrow(scan, "anchor bigint, key bigint"))))
+    out = []
+    while gram < span:
+        hot = rows.where(F.col("texts") > HOT)
+        if hot.isEmpty():
+            break
+        out.append(_pairs(rows.where(F.col("texts") <= HOT)))
+        reach = -(-(span - gram) // 2)
+        rows = durable(_shared(_longer(documents, hot, span, gram, reach)))
+        gram += reach
+    out.append(_pairs(rows))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def shared_runs(documents: DataFrame, span: int = 200, gram: int = 130) -> DataFrame:
     """(a, b, in_a, in_b): MD5 sums of texts with a common run and the intervals of each that the other holds."""
     pairs = durable(_candidates(documents, span, gram))
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    if needed.count() <= BROADCAST_KEYS:
-        needed = F.broadcast(needed)
-    texts = documents.select("text").where(F.length("text") >= span).select(F.xxhash64("text").alias("key"), "text")
-    texts = texts.join(needed, "key", "left_semi").select("key", F.unhex(F.md5("text")).alias("copy"), "text").dropDuplicates(["copy"])
+    needed = _checked(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    texts = _keyed(documents, span).join(needed, "key", "left_semi").select("key", F.unhex(F.md5("text")).alias("copy"), "text").dropDuplicates(["copy"])
     one, two = (texts.select(F.col("key").alias(k), F.col("copy").alias(f"copy_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
     sides = pairs.join(one, "a").join(two, "b")
 
