@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 # Abbreviations that a word of their sentence follows.
 LEADING = set(
-    "abb abs adm al-a alc anm apdo approx apr art aug av avda bd bde bl bzgl ca cap capt cf ch chap cit cmdr col comm cpl dec dept dir dr dra dras dres "
-    "ed eds ee egl eig env esp evtl excmo exp feb fed ff fig figs fl fr frl frhr ft gen ggf gob gov hon hr hrn hrsg ibid id ill imp incl ing inkl inv jan kap lic lb lbs lfg lib lt ltda "
-    "maj max mgr min mio mlle mlles mme mmes mr mrs ms msgr mt mts mwst nos nov nr núm núms oct ob op pag pág págs pag par pl plur pp pr prof profa proff pt rd red ref rep res resp rev rs rt "
-    "sec sen sep sept sgt sog sr sra sras sres srta st sta ste sto str suppl tel th tom trad univ vgl viz vol vols vs vv zit zzgl z.b i.e e.g d.h c.-à-d j.-c no "
+    "abb alc approx apr art aug av bd bde ca cap capt cf ch chap cit col dec dept dir dr dra dras dres "
+    "ed eds ee eig env esp evtl exp feb fed ff fig figs fl fr frl frhr ft gen ggf gov hon hr hrn hrsg ibid id ill incl ing inkl inv jan kap lic lb lbs lib lt "
+    "maj max mgr min mio mlle mlles mme mmes mr mrs ms msgr mt mts nos nov nr núm núms oct ob op pág págs pag par pl plur pp pr prof profa proff pt rd red ref rep res resp rev rs "
+    "sec sen sep sept sgt sog sr sra sras sres srta st sta ste str tel th tom univ vgl viz vol vols vs vv zit z.b i.e e.g d.h c.-à-d j.-c no "
     "акад гл гг гр д-р доц др им инж кн напр нем обл пер пл пос пр прим проф ред рис руб св см соч стр табл тел тыс ул чл англ гос долл млн млрд "
     "पं पृ प्रो डॉ रु श्रीम कु सं क्र".split()
 )
