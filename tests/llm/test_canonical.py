@@ -41,6 +41,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
 def test_long_values():
     r = c.Resolver([(1, "Zusuteshafen")])
     assert r.find("word " * 5000 + "Zusuteshafen") == (1, 1.0)
+    assert r.find("x" * 20_000) == (-1, 0.0)
 
 
 def plain(a, b):

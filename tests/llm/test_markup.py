@@ -82,3 +82,13 @@ def test_any_mixture_is_taken(parts):
     clean, starts = doc.clean()
     assert len(starts) == len(text) + 1 and starts[-1] == len(clean) and starts == sorted(starts)
     assert all(k in m.KINDS and c == " ".join(c.split()) and c for k, c in doc.elements())
+
+
+def test_very_long_texts_take_time_in_proportion():
+    import time
+
+    page = "<div>" + "<h2>Head</h2><ul>" + "<li>Item <a href='./X'>x</a> one</li>" * 20_000 + "</ul></div>\n\n" + "* One [[X]]\n" * 20_000 + "\n\\begin{itemize}\n" + "\\item A {\\it b}\n" * 20_000
+    began = time.time()
+    doc = m.Document(page)
+    assert len(doc.ranges) == 60_001 and {k for k, _ in doc.elements()} == {"heading", "list_item"}
+    assert time.time() - began < 30

@@ -88,6 +88,7 @@ class Resolver:
             for w in {w for w in ws if self.share[w] == rarest}:
                 self.named[w].append(k)
         self.match, self.similar = lru_cache(500_000)(self._match), lru_cache(100_000)(self._similar)
+        self.longest = max(map(len, self.share), default=0) + 2
         for w in self.share:
             for d in deletions(w, slips(w)):
                 self.near[d].add(w)
@@ -118,6 +119,8 @@ class Resolver:
         return word in self.weight or (len(word) > 3 and any(self.match(word, x) > 0.6 for x in self.similar(word)))
 
     def _similar(self, word: str) -> set[str]:
+        if len(word) > self.longest:
+            return set()
         return set().union(*(self.near.get(d, ()) for d in deletions(word, slips(word))))
 
     def _match(self, word: str, of: str, short: bool = False) -> float:

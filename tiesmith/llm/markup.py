@@ -94,6 +94,7 @@ class Document:
     def __init__(self, text: str) -> None:
         self.raw, self.work, self.cells = text, text, list(text)
         self.marked, self.ranges = False, []
+        self.hidden: list[tuple[int, int]] = []  # what `_show` is to take out of sight
         self.before: dict[int, str] = {}  # signs that stand before a cell of the clean text
         self.wiki = self.markdown = self.tex = False
         self._parse()
@@ -207,7 +208,8 @@ class Document:
         for at in closing:
             if at < len(self.work) and self.raw[at] == "}":
                 self._cut(at, at + 1)
-                self.work = self.work[:at] + GONE + self.work[at + 1 :]
+                self._hide(at, at + 1)
+        self._show()
         if "\\item" in self.work:
             ends = sorted([m.start() for m in _TEX_ITEM.finditer(self.work)] + [m.start() for m in _TEX_ENV.finditer(self.work)] + [m.start() for m in _BREAK.finditer(self.work)] + [len(self.work)])
 
@@ -272,6 +274,7 @@ class Document:
             if high > low:
                 self._block(low, high)
             low = stop.end() if stop else high
+        self._show()
 
     def _block(self, low: int, high: int) -> None:
         part = self.work[low:high]
@@ -320,7 +323,18 @@ class Document:
                 self._cut(s, s + m.end())
 
     def _hide(self, start: int, end: int) -> None:
-        self.work = self.work[:start] + GONE * (end - start) + self.work[end:]
+        self.hidden.append((start, end))
+
+    def _show(self) -> None:
+        """Take all hidden stretches out of sight at once."""
+        parts, at = [], 0
+        for start, end in sorted(self.hidden):
+            if end > at:
+                start = max(start, at)
+                parts += [self.work[at:start], GONE * (end - start)]
+                at = end
+        self.work = "".join([*parts, self.work[at:]])
+        self.hidden.clear()
 
     def _heading(self, start: int, end: int, first: int, tail: int, last: int, level: int) -> None:
         self.marked = True
@@ -349,13 +363,19 @@ class Document:
             name, closes = m[2].lower(), bool(m[1])
             put = ""
             if name[0] == "h" and name[1:].isdigit() and not closes:
-                end = next((x.start() for x in tags[n + 1 :] if x[2].lower() not in INLINE or x[2].lower() == name), len(self.work))
+                k = n + 1
+                while k < len(tags) and tags[k][2].lower() in INLINE:
+                    k += 1
+                end = tags[k].start() if k < len(tags) else len(self.work)
                 blank = _BREAK.search(self.work, m.end())
                 end = min(end, blank.start() if blank else end)
                 self.ranges.append(("heading", m.end(), end))
                 put = "\n" + "#" * int(name[1]) + " "
             elif name == "li" and not closes:
-                end = next((x.start() for x in tags[n + 1 :] if x[2].lower() not in INLINE and x[2].lower() not in ("p", "br", "div", "pre")), len(self.work))
+                k = n + 1
+                while k < len(tags) and (tags[k][2].lower() in INLINE or tags[k][2].lower() in ("p", "br", "div", "pre")):
+                    k += 1
+                end = tags[k].start() if k < len(tags) else len(self.work)
                 blank = _BREAK.search(self.work, m.end())
                 end = min(end, blank.start() if blank else end)
                 self.ranges.append(("list_item", m.end(), end))
@@ -445,7 +465,7 @@ def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
     to the next and less to those above; link density takes its share. The container with most points wins.
     It and its ancestors stay, and so do siblings with a fifth of its points, low link density or no links.
     """
-    nodes, stack, open_links, links = [[0, len(work), -1, "", "", 0.0, 0]], [0], None, []
+    nodes, stack, open_links, links = [[0, len(work), -1, "", "", 0.0]], [0], None, []
     for m in tags:
         name, closes = m[2].lower(), bool(m[1])
         if name == "a":
@@ -457,7 +477,7 @@ def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
         if name not in CONTAINERS:
             continue
         if not closes:
-            nodes.append([m.start(), len(work), stack[-1], name, m[3] or "", 0.0, 0])
+            nodes.append([m.start(), len(work), stack[-1], name, m[3] or "", 0.0])
             stack.append(len(nodes) - 1)
         else:
             for k in range(len(stack) - 1, 0, -1):
@@ -478,8 +498,6 @@ def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
             event = next(events, None)
         text = _TAG.sub("", work[a:b]).strip()
         owner = inside[-1] if inside else 0
-        linked = sum(min(e, b) - max(s, a) for s, e in links if s < b and e > a)
-        nodes[owner][6] += linked
         if len(text) >= 25:
             points, share, k = 1 + text.count(",") + min(len(text) / 100, 3), 1.0, owner
             for level in range(4):
@@ -487,9 +505,9 @@ def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
                 k, share = nodes[k][2], 1 / (level + 2)
                 if k < 0:
                     break
-    density = []
+    density, opens, total = [], [s for s, _ in links], [0, *accumulate(e - s for s, e in links)]
     for n in nodes:
-        inner = sum(min(e, n[1]) - max(s, n[0]) for s, e in links if s >= n[0] and e <= n[1])
+        inner = total[bisect_left(opens, n[1])] - total[bisect_left(opens, n[0])]
         size = len(_TAG.sub("", work[n[0] : n[1]]).strip())
         density.append(inner / size if size else 0.0)
         n[5] *= 1 - density[-1]
