@@ -209,9 +209,15 @@ def url_parts(documents: DataFrame) -> DataFrame:
 # --- mentions -------------------------------------------------------------------------------
 
 
-def _people(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    once = found.withColumnRenamed("start_char", "start").withColumnRenamed("end_char", "end").distinct()
-    return mentions.with_people(once.where("mention_type = 'link' AND sent_idx IS NOT NULL"), once.where("mention_type = 'subject'")), once
+def _once(found: DataFrame) -> DataFrame:
+    """Mentions in the layout of the stages; repeated rows count once."""
+    return found.withColumnRenamed("start_char", "start").withColumnRenamed("end_char", "end").distinct()
+
+
+def _people(found: DataFrame) -> DataFrame:
+    """Link mentions with their sentence's people; only what pairs need goes through the exchange."""
+    once = found.select("mention_id", *SENTENCE, F.col("start_char").alias("start"), "entity_id", "mention_type").distinct()
+    return mentions.with_people(once.where("mention_type = 'link' AND sent_idx IS NOT NULL"), once.where("mention_type = 'subject'"))
 
 
 _PEOPLE = """m AS (SELECT DISTINCT * FROM mentions), links AS (SELECT l.*, s.entity_id AS subject_id FROM m l LEFT JOIN m s ON s.doc_id = l.doc_id AND s.mention_type = 'subject' WHERE l.mention_type = 'link' AND l.sent_idx IS NOT NULL),
@@ -224,18 +230,18 @@ pairs AS (SELECT doc_id, section_idx, sent_idx, subject_id AS head_entity_id, en
 
 @query("mentions", sql=f"WITH {_PEOPLE} SELECT concat_ws(':', doc_id, section_idx, sent_idx, head_entity_id, tail_entity_id) AS candidate_id, doc_id, section_idx, sent_idx, head_entity_id, tail_entity_id, head_start, tail_start, rule, CAST(people AS INTEGER) AS people_in_sentence FROM pairs")
 def candidate_pairs(found: DataFrame) -> DataFrame:
-    pairs = mentions.candidate_pairs(_people(found)[0]).withColumn("head_start", F.coalesce("head_start", F.lit(-1)))
+    pairs = mentions.candidate_pairs(_people(found)).withColumn("head_start", F.coalesce("head_start", F.lit(-1)))
     return pairs.select("candidate_id", *SENTENCE, "head_entity_id", "tail_entity_id", "head_start", "tail_start", "rule", "people_in_sentence")
 
 
 @query("mentions", sql=f"WITH {_PEOPLE} SELECT doc_id, CAST(sum(linked * (linked - 1) / 2) AS BIGINT) AS pairs FROM counts WHERE people > 2 GROUP BY doc_id")
 def suppressed_pairs(found: DataFrame) -> DataFrame:
-    return mentions.suppressed(_people(found)[0], most_people=2)
+    return mentions.suppressed(_people(found), most_people=2)
 
 
 @query("documents", "mentions", sql=f"WITH {_PEOPLE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)")
 def documents_without_pairs(documents: DataFrame, found: DataFrame) -> DataFrame:
-    return mentions.without_pairs(documents, mentions.candidate_pairs(_people(found)[0]))
+    return mentions.without_pairs(documents, mentions.candidate_pairs(_people(found)))
 
 
 @query("mentions", sql="SELECT mention_type, link_method, count(*) AS mentions, count(DISTINCT doc_id) AS documents, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT * FROM mentions) GROUP BY 1, 2")
@@ -253,7 +259,7 @@ def mention_counts(found: DataFrame) -> DataFrame:
     LEFT JOIN (SELECT DISTINCT qid, TRUE AS in_seed FROM entities WHERE in_seed) e ON e.qid = c.entity_id""",
 )
 def entity_rollup(found: DataFrame, entities: DataFrame) -> DataFrame:
-    rolled = mentions.roll_up(_people(found)[1], entities.where("in_seed"))
+    rolled = mentions.roll_up(_once(found), entities.where("in_seed"))
     return rolled.withColumn("doc_ids", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ","))
 
 
@@ -475,7 +481,7 @@ def dedup_sentences(candidates: DataFrame) -> DataFrame:
 
 @query("candidates", "mentions", "sentences", "entities")
 def masked_sentences(candidates: DataFrame, found: DataFrame, sentences: DataFrame, entities: DataFrame) -> DataFrame:
-    once = _people(found)[1]
+    once = _once(found)
     spans = masking.people_spans(once, sentences.select("sentence_id", F.col("start_char").alias("start")))
     return masking.masked(masking.distinct_sentences(candidates), spans, masking.subject_names(once, entities)).select("sentence_id", "masked_sentence")
 
