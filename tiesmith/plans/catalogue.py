@@ -306,7 +306,15 @@ def segment_counts(documents: DataFrame) -> DataFrame:
     return segment.segment_counts(segment.segment(_sections(documents)))
 
 
-@query("sentences")
+@query(
+    "sentences",
+    sql="""WITH RECURSIVE s AS (SELECT *, length(replace(text, ']', '')) - length(replace(text, '[', '')) AS b, row_number() OVER (PARTITION BY doc_id, section_idx ORDER BY start_char, end_char, text) AS rn
+      FROM (SELECT DISTINCT doc_id, section_idx, start_char, end_char, text FROM sentences)),
+    f AS (SELECT doc_id, section_idx, rn, start_char AS g, end_char, b AS balance, 0 AS merges FROM s WHERE rn = 1 UNION ALL
+      SELECT s.doc_id, s.section_idx, s.rn, CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.g ELSE s.start_char END, s.end_char, CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.balance + s.b ELSE s.b END,
+      CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.merges + 1 ELSE 0 END FROM f JOIN s ON s.doc_id = f.doc_id AND s.section_idx = f.section_idx AND s.rn = f.rn + 1)
+    SELECT doc_id, section_idx, g AS start, arg_max(end_char, rn) AS "end" FROM f GROUP BY 1, 2, 3""",
+)
 def bracket_merge(sentences: DataFrame) -> DataFrame:
     """Sentences of a section joined across open brackets."""
     rows = sentences.groupBy("doc_id", "section_idx").agg(F.array_sort(F.collect_set(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"), "text"))).alias("s"))
@@ -408,7 +416,18 @@ def institution_filter(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return graph.complete(graph.at_institution(graph.pool(kept, low), "University")).select("relation_id").distinct()
 
 
-@query("candidates", "attribute_spans")
+@query(
+    "candidates",
+    "attribute_spans",
+    sql=f"""WITH c AS (SELECT *, row_number() OVER () AS rid FROM (SELECT DISTINCT candidate_id, sentence_id, sentence, head_entity_id, tail_entity_id, head_span, tail_span, rule_name, people_in_sentence FROM candidates)),
+    a AS (SELECT DISTINCT sentence_id, candidate_id, span[1] AS a, span[2] AS b FROM attribute_spans WHERE span IS NOT NULL), sp AS (SELECT c.rid, a.a, a.b FROM c JOIN a ON a.candidate_id IS NULL AND a.sentence_id = c.sentence_id
+      UNION ALL SELECT c.rid, a.a, a.b FROM c JOIN a ON a.candidate_id = c.candidate_id),
+    w AS (SELECT rid, unnest(string_split(sentence, ' ')) AS t, generate_subscripts(string_split(sentence, ' '), 1) AS i FROM c), o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM w),
+    k AS (SELECT rid, off FROM o WHERE regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in STOP)})),
+    v AS (SELECT k.rid, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM sp WHERE sp.rid = k.rid AND sp.a <= k.off AND k.off < sp.b)) AS h FROM k GROUP BY 1),
+    r AS (SELECT c.rid, CASE WHEN v.n IS NULL THEN 1.0 ELSE round(v.h / v.n, 4) END AS coverage FROM c LEFT JOIN v USING (rid))
+    SELECT count(*) AS records, count(*) FILTER (coverage < 0.5) AS low, round(count(*) FILTER (coverage < 0.5) / count(*), 4) AS low_rate, round(avg(coverage), 4) AS mean_coverage, 0.0::DOUBLE AS pronoun_rate FROM r""",
+)
 def relation_split(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return assemble.coverage_counts(_records(candidates, spans))
 
