@@ -12,6 +12,9 @@ CASES = [
     ("What <span class=\"tex\">\\(a &lt; b\\)</span> is <math> c^2 </math>.", [("formula", "a < b"), ("formula", "c^2")]),
     ("## Pure **waves** ##\n\ntext\n\nTitle (5%)\n----------\n\n**Bold** title\n=====\n", [("heading", "Pure waves"), ("heading", "Title (5%)"), ("heading", "Bold title")]),
     ("1. One [A (b)](./A_%28b%29)\n2. Two\n    * Inner `x`\n", [("list_item", "One A (b)"), ("list_item", "Two"), ("list_item", "Inner x")]),
+    ("# Title\n## Part\ntext\n", [("heading", "Title"), ("heading", "Part")]),
+    ("```\na\n\nb\n```\n\n<pre>\nc\n\nd</pre>\n\n\\begin{verbatim}\ne\n\nf\n\\end{verbatim}\n", [("code", "a b"), ("code", "c d"), ("code", "e f")]),
+    ("```\na\n\nprose\n\n<pre>b\n\nprose", [("code", "a"), ("code", "b")]),
     ("```python\n# not a heading\n* no item\n```\n\n~~~\na\n~~~\n", [("code", "# not a heading * no item"), ("code", "a")]),
     ("A [link](./X) and $\\frac{a}{b}$ and \\(x=1\\).\n\n$$\nE = m\n$$\n", [("formula", "\\frac{a}{b}"), ("formula", "x=1"), ("formula", "E = m")]),
     ("==Slow [[Tide|tides]]==\n\n# One {{lang|xx|word}}\n#Two [[X]]\n## Deep\n\n* A '''b'''\n*C\n", [("heading", "Slow tides"), ("list_item", "One word"), ("list_item", "Two X"), ("list_item", "Deep"), ("list_item", "A b"), ("list_item", "C")]),

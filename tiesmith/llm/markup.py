@@ -20,6 +20,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -38,12 +39,23 @@ CONTAINERS = set("article aside blockquote body center details div dl figure foo
 DULL = re.compile(r"\b(?:nav|navbox|menu|sidebar|footer|breadcrumbs?|toolbar|banner|cookie|advert|noprint|toc|infobox|catlinks)\b", re.I)
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^<>]*>|<\?[a-z][^<>]*\?>|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>|<sup\b[^<>]*\bref[^<>]*>.*?</sup\s*>", re.I | re.S)
-_CODE = re.compile(
-    r"(?m:^(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<fenced>.*?)(?:^(?P=fence)[`~]*[ \t]*$|(?=\n[ \t]*\n)|\Z))"
-    r"|<(?P<tag>pre|syntaxhighlight|source)\b[^<>]*>(?P<tagged>.*?)(?:</(?P=tag)\s*>|(?=\n[ \t]*\n)|\Z)"
-    r"|\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\]|\{\w+\})*(?P<listed>.*?)(?:\\end\{(?P=env)\}|(?=\n[ \t]*\n)|\Z)",
-    re.I | re.S,
-)
+_FENCE_LINE = re.compile(r"(?m)^(?:`{3,}|~{3,})")
+_CODE_TAG = re.compile(r"<(/?)(pre|syntaxhighlight|source)\b[^<>]*>", re.I)
+_CODE_ENV = re.compile(r"\\(begin|end)\{(?:verbatim\*?|lstlisting|minted|alltt)\}")
+
+
+@lru_cache(8)
+def _code(fences: bool, tags: bool, environments: bool) -> re.Pattern:
+    """Code blocks. Where openings and closings of a kind don't match in number, a block also ends at a blank line."""
+    end = lambda closed, sign: sign if closed else rf"(?:{sign}|(?=\n[ \t]*\n)|\Z)"
+    return re.compile(
+        rf"(?m:^(?P<fence>`{{3,}}|~{{3,}})[^\n`]*\n(?P<fenced>.*?){end(fences, r'^(?P=fence)[`~]*[ \t]*$')})"
+        rf"|<(?P<tag>pre|syntaxhighlight|source)\b[^<>]*>(?P<tagged>.*?){end(tags, r'</(?P=tag)\s*>')}"
+        rf"|\\begin\{{(?P<env>verbatim\*?|lstlisting|minted|alltt)\}}(?:\[[^\]\n]*\]|\{{\w+\}})*(?P<listed>.*?){end(environments, r'\\end\{(?P=env)\}')}",
+        re.I | re.S,
+    )
+
+
 _FORMULA = re.compile(
     r"<math\b[^<>]*>(?P<m>.*?)</math\s*>|\$\$(?P<dd>[^$]+?)\$\$|\\\[(?P<br>.+?)\\\]|\\\((?P<pa>.+?)\\\)"
     r"|\\begin\{(?P<env>equation\*?|align\*?|displaymath|gather\*?|multline\*?|math|eqnarray\*?)\}(?P<en>.+?)\\end\{(?P=env)\}"
@@ -120,7 +132,9 @@ class Document:
         if "<" in w:
             self._mask(_DROP, lambda m: self._cut(*m.span()))
         if "```" in w or "~~~" in w or "<" in w or "\\begin{" in w:
-            self._mask(_CODE, self._code, CODE)
+            tags = [bool(m[1]) for m in _CODE_TAG.finditer(self.work)]
+            ends = [m[1] == "end" for m in _CODE_ENV.finditer(self.work)]
+            self._mask(_code(len(_FENCE_LINE.findall(self.work)) % 2 == 0, 2 * sum(tags) == len(tags), 2 * sum(ends) == len(ends)), self._code, CODE)
         if "$" in w or "\\(" in w or "\\[" in w or "<math" in w.lower() or "\\begin{" in w:
             self._mask(_FORMULA, self._formula, FORMULA)
         w = self.work
@@ -301,7 +315,7 @@ class Document:
             if m := _WIKI_HEAD.match(line):
                 self._heading(s + m.start(2), s + m.end(2), s, s + m.end(2), e, len(m[1]))
                 continue
-            if (m := _ATX.match(line)) and hashes < 2 and (self.markdown or not self.wiki or len(m[1]) > 1):
+            if (m := _ATX.match(line)) and (hashes < 2 and (self.markdown or len(m[1]) > 1) or not self.wiki and (hashes < 2 or self.markdown)):
                 self._heading(s + m.start(2), s + m.end(2), s, s + m.end(2), e, len(m[1]))
                 continue
             if _RULE.match(line):
