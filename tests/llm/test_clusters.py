@@ -74,6 +74,21 @@ def test_large_clusters_are_divided(spark, monkeypatch):
     assert len(divided) == len(set(divided)) and set(divided) <= whole and len(divided) >= 0.97 * len(whole)
 
 
+def windows(n):
+    """Windows over one row of words: each is similar to the five on either side and to no other."""
+    return [(f"s{k:04}", " ".join(f"w{k + j}" for j in range(20))) for k in range(n)]
+
+
+def test_large_clusters_lose_no_pair(spark, monkeypatch):
+    for name, value in (("PART", 1), ("ASSIGNED", 60)):
+        monkeypatch.setattr(c, name, value)
+    df = spark.createDataFrame(windows(200), "sentence_id string, masked string")
+    model = c.fit(c.word_sets(df, "sentence_id", "masked"), 1)
+    points = model.assign(2)
+    got = [tuple(r) for r in c.similar_points(points, model=model, split=50).collect()]
+    assert len(got) == len(set(got)) == sum(200 - shift for shift in range(1, 6))
+
+
 def test_compare_against_brute_force():
     rng = random.Random(2)
     sets = [np.array(sorted(rng.sample(range(-40, 40), rng.randrange(0, 12))), np.int32) for _ in range(120)]

@@ -10,8 +10,7 @@
    are compared in blocks, so no task holds a whole hot cluster.
 
 k grows with the square root of the number of points up to `MOST_CLUSTERS`. Clusters of more than
-`SPLIT` points are divided again, by the nearest of centroids drawn from their own points, so that
-what is compared stays in proportion to the number of points. A word is known by 32 bits of its hash, a set of words by 64: two words of a pair
+`SPLIT` points are compared by the rare words that similar sets have in common, which loses no pair. A word is known by 32 bits of its hash, a set of words by 64: two words of a pair
 fall together once in ten million pairs, which can add a pair at the threshold but never lose one. Defined cases: null texts belong to no
 cluster; texts without words are one point of their own and similar to each other; repeated rows
 count once, and of several texts with one key the one of the least point; equal distances go to the lower number; other columns are ignored.
@@ -33,9 +32,13 @@ from tiesmith.session import durable, parallelism
 
 DIMS, WEIGHT_BITS, NEAREST, BLOCK = 512, 16, 4, 4096
 MOST_CLUSTERS = 4096
-#: Points of a cluster before it is divided, points of a part then, and points that one task assigns to parts.
-SPLIT, PART, ASSIGNED = 100_000, 4096, 500_000
+#: Points of a cluster before its pairs are sought by rare words, and points with one rare word in a block then.
+SPLIT, PART = 100_000, 50_000
+#: No longer of effect.
+ASSIGNED = 500_000
 _PRODUCTS = 2048
+#: Rows of whole groups that are taken together, candidates at a time, rows of a run that are just compared, words a run shares at most.
+_MEETING, _PAIRS, _LONG_RUN, _DEPTH = 32_768, 1_000_000, 32, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +98,22 @@ def _matrix(lists: pa.ListArray, weights: np.ndarray, dims: int) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)
 
 
+def _bucket_counts(points: DataFrame) -> np.ndarray:
+    """Points with each of the fixed number of word buckets, counted over all of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << WEIGHT_BITS, np.int64)
+        for batch in batches:
+            held += np.bincount(_buckets(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(at), pa.array(held[at])], ["bucket", "n"])
+
+    sums = points.select("words").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(1 << WEIGHT_BITS, np.int64)
+    held[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return held
+
+
 class KMeans:
     """Spherical k-means over (point, words) rows that are stored and cheap to read again."""
 
@@ -108,18 +127,7 @@ class KMeans:
 
     def _inverse_frequencies(self) -> np.ndarray:
         """log(1 + n / records) of each of the fixed number of word buckets, over all points."""
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(1 << WEIGHT_BITS, np.int64)
-            for batch in batches:
-                held += np.bincount(_buckets(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=len(held))
-            at = np.flatnonzero(held)
-            yield pa.record_batch([pa.array(at), pa.array(held[at])], ["bucket", "n"])
-
-        sums = self.points.select("words").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        held = np.ones(1 << WEIGHT_BITS)
-        held[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-        return np.log1p(self.n / np.maximum(held, 1)).astype(np.float32)
+        return np.log1p(self.n / np.maximum(_bucket_counts(self.points), 1)).astype(np.float32)
 
     def _each(self, columns: list[str], work, schema: str) -> DataFrame:
         shared, dims = self.context.broadcast(self.weights), self.dims
@@ -288,75 +296,200 @@ def _compare(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, share: float)
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (none, none)
 
 
-def _divided(spread: DataFrame, sizes: DataFrame, model: KMeans, nearest: int) -> DataFrame:
-    """(point, words, leaf) of the points of clusters that outgrew `SPLIT`, in the nearest parts of their cluster.
+def _ranked(lists: pa.ListArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, owner, place, sizes): the words of each set in one order for all sets, those of rare buckets first."""
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rank = (np.minimum(counts[_buckets(flat)], (1 << 32) - 1).astype(np.uint64) << np.uint64(32)) | flat.view(np.uint32).astype(np.uint64)
+    return flat[np.lexsort((rank, owner))], owner, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def _least(sizes: np.ndarray, share: float) -> np.ndarray:
+    """Words that a set of each size has in common with any similar set, at least."""
+    return np.ceil(share * sizes - 1e-9).astype(np.int64)
+
+
+def _prefix_figures(points: DataFrame, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket of words, the rows that prefixes give and the size of the least set with one in its head.
 
-    Each part's centroid is a point of the cluster, drawn by a hash. Centroids and points meet by cluster and a
-    salt; the rows come sorted with the centroids first, so a task holds one cluster's centroids at a time.
+    The head is what a set needs against sets that aren't smaller; the rest of a prefix only meets heads of smaller sets.
     """
-    wanted, salts = F.least(F.lit(MOST_CLUSTERS), F.ceil(F.col("size") / PART)), F.ceil(F.col("size") / ASSIGNED).cast("int")
-    big = spread.join(F.broadcast(sizes), "cluster").select("point", "words", "cluster", wanted.alias("wanted"), F.col("size"), salts.alias("salts"))
-    chance = F.pmod(F.xxhash64("point", "cluster"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = big.where(chance < F.col("wanted") / F.col("size")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), "point", "words")
-    members = big.select("cluster", F.pmod(F.hash("point"), "salts").alias("salt"), F.lit(1).alias("member"), "point", "words")
-    parts = 4 * parallelism(spread.sparkSession)
-    ordered = drawn.unionByName(members).repartition(parts, "cluster", "salt").sortWithinPartitions("cluster", "salt", "member", "point")
-    shared, dims = model.context.broadcast(model.weights), model.dims
+    shared, none = points.sparkSession.sparkContext.broadcast(counts), np.iinfo(np.int64).max
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, centroids = None, [], None
+        rows, size = np.zeros(1 << WEIGHT_BITS, np.int64), np.full(1 << WEIGHT_BITS, none)
         for batch in batches:
-            cluster, salt, member = (batch.column(k).to_numpy() for k in range(3))
-            cuts = np.flatnonzero((np.diff(cluster) != 0) | (np.diff(salt) != 0) | (np.diff(member) != 0)) + 1
-            for start, stop in zip(np.r_[0, cuts], np.r_[cuts, len(cluster)]):
-                if start == stop:
-                    continue
-                if (cluster[start], salt[start]) != at:
-                    at, held, centroids = (cluster[start], salt[start]), [], None
-                rows = batch.slice(int(start), int(stop - start))
-                if not member[start]:
-                    held.append(_matrix(rows.column(4), shared.value, dims))
-                    continue
-                if centroids is None:
-                    centroids = np.concatenate(held) if held else np.zeros((1, dims), np.float32)
-                for first in range(0, rows.num_rows, _PRODUCTS):
-                    some = rows.slice(first, _PRODUCTS)
-                    close = _matrix(some.column(4), shared.value, dims) @ centroids.T
-                    m = min(nearest, close.shape[1])
-                    top = np.argpartition(-close, m - 1, axis=1)[:, :m].astype(np.int64)
-                    again = pa.array(np.repeat(np.arange(some.num_rows), m))
-                    leaf = (np.int64(at[0]) << 20) + 1 + top.ravel()
-                    yield pa.record_batch([some.column(3).take(again), some.column(4).take(again), pa.array(leaf)], ["point", "words", "leaf"])
-
-    return ordered.mapInArrow(scan, "point bigint, words array<int>, leaf bigint")
+            words, owner, place, sizes = _ranked(batch.column(0), shared.value)
+            at = _buckets(words)
+            rows += np.bincount(at[place <= (sizes - _least(sizes, share))[owner]], minlength=len(rows))
+            head = place <= (sizes - _least(sizes, 2 * share / (1 + share)))[owner]
+            np.minimum.at(size, at[head], sizes[owner[head]])
+        at = np.flatnonzero(rows)
+        yield pa.record_batch([pa.array(at), pa.array(rows[at]), pa.array(size[at])], ["bucket", "n", "size"])
+
+    sums = points.select("words").mapInArrow(scan, "bucket bigint, n bigint, size bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("size").alias("size")).toArrow()
+    rows, size = np.zeros(1 << WEIGHT_BITS, np.int64), np.full(1 << WEIGHT_BITS, none)
+    rows[sums["bucket"].to_numpy()], size[sums["bucket"].to_numpy()] = sums["n"].to_numpy(), sums["size"].to_numpy()
+    return rows, size
+
+
+def _joined(group: np.ndarray, place: np.ndarray, apart: np.ndarray, mine: np.ndarray, lists: pa.ListArray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the similar pairs of each group whose first common word is the group's, which stands at `place`.
+
+    Long runs are taken on to the next word that a similar pair has in common, so that what is compared one with
+    another shares several words. The bounds only rule out what can't be similar; what passes is counted exactly.
+    Rows of a group that is `apart` meet only rows of the other block.
+    """
+    n, flat, offsets = len(group), lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+    sizes, first = np.diff(offsets), offsets[:-1] - offsets[0]
+    owner = np.repeat(np.arange(n), sizes)
+    known, code = np.unique(flat, return_inverse=True)
+    order = np.sort(owner * len(known) + code)
+    mark = (_spread(flat) >> np.uint64(56)).astype(np.int64)
+    marks = np.zeros((n, 4), np.uint64)
+    np.bitwise_or.at(marks, (owner, mark >> 6), np.left_shift(np.uint64(1), (mark & 63).astype(np.uint64)))
+    lost = sizes - np.bitwise_count(marks).sum(1, dtype=np.int64)
+    least, part, passed = _least(sizes, share), share / (1 + share), []
+    run, member, at, depth = group, np.arange(n), place, 1
+    while len(run):
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        lengths = np.diff(np.r_[starts, len(run)])
+        further = (lengths > _LONG_RUN) & (np.minimum.reduceat(least[member], starts) > depth) if depth < _DEPTH else np.zeros(len(starts), bool)
+        left = np.repeat(starts + lengths, lengths) - np.arange(len(run)) - 1
+        left[np.repeat(further, lengths)] = 0
+        rest = depth + sizes[member] - at - 1
+        total = np.cumsum(left)
+        begin = 0
+        while begin < len(left):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
+            some = left[begin:stop]
+            one = np.repeat(np.arange(begin, stop), some)
+            two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(some) - some, some)
+            begin = stop
+            x, y = member[one], member[two]
+            need = part * (sizes[x] + sizes[y]) - 1e-9
+            keep = (np.minimum(rest[one], rest[two]) >= need) & ~(apart[x] & (mine[x] == mine[y]))
+            x, y, need = x[keep], y[keep], need[keep]
+            most = np.bitwise_count(marks[x] & marks[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y])
+            keep = most >= need
+            passed.append(np.unique(np.minimum(x, y)[keep] * n + np.maximum(x, y)[keep]))
+        rows = np.flatnonzero(np.repeat(further, lengths))
+        held, number = member[rows], np.repeat(np.arange(len(starts)), lengths)[rows]
+        # With `depth` words matched, the next common word leaves room for the least number of them.
+        following = np.minimum(sizes[held] - least[held] + depth, sizes[held] - 1) - at[rows]
+        following = np.maximum(following, 0)
+        again = np.repeat(np.arange(len(rows)), following)
+        at = at[rows][again] + 1 + np.arange(len(again)) - np.repeat(np.cumsum(following) - following, following)
+        member = held[again]
+        run = number[again] * len(known) + code[first[member] + at]
+        by = np.argsort(run, kind="stable")
+        run, member, at, depth = run[by], member[by], at[by], depth + 1
+    pairs = np.unique(np.concatenate(passed)) if passed else np.zeros(0, np.int64)
+    a, b = [], []
+    for start in range(0, len(pairs), 65_536):
+        x, y = np.divmod(pairs[start : start + 65_536], n)
+        pair = np.repeat(np.arange(len(x)), sizes[x])
+        place_x = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[x]) - sizes[x], sizes[x])
+        sought = y[pair] * len(known) + code[first[x][pair] + place_x]
+        hit = order[np.minimum(np.searchsorted(order, sought), len(order) - 1)] == sought
+        common = np.bincount(pair[hit], minlength=len(x))
+        earliest = np.full(len(x), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, pair[hit], place_x[hit])
+        keep = (common >= share * (sizes[x] + sizes[y] - common) - 1e-9) & (earliest == place[x])
+        a.append(x[keep])
+        b.append(y[keep])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _by_rare_words(rows: DataFrame, counts: np.ndarray, share: float, part: int) -> DataFrame:
+    """(a, b): all similar pairs of the (scope, point, words) rows of one scope, once for each scope.
+
+    Two similar sets have a word in common among the rarest of both, in any one order of all words: a set of n words
+    gives its n - ceil(share * n) + 1 rarest. Sets meet at the first word in common. Words that more than `part`
+    sets give are met in blocks.
+    """
+    figures = _prefix_figures(rows, counts, share)
+    shared = rows.sparkSession.sparkContext.broadcast((counts, *figures))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, given, smallest = shared.value
+        for batch in batches:
+            words, owner, place, sizes = _ranked(batch.column(2), counts)
+            at = _buckets(words)
+            kept = place <= (sizes - _least(sizes, share))[owner]
+            head = place <= (sizes - _least(sizes, 2 * share / (1 + share)))[owner]
+            rest = (sizes[owner] - place) * (1 + share) / share - sizes[owner] + 1e-6
+            kept &= head | (smallest[at] <= rest)
+            rows = np.flatnonzero(kept)
+            blocks = np.maximum(-(-given[at[rows]] // part), 1)
+            rows, blocks = np.repeat(rows, blocks), np.repeat(blocks, blocks)
+            other = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            points = batch.column(1).to_numpy()
+            mine = ((points.view(np.uint64) >> np.uint64(7))[owner[rows]] % blocks.astype(np.uint64)).astype(np.int64)
+            i, j = np.minimum(mine, other), np.maximum(mine, other)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(words))
+            for start in range(0, len(rows), 10_000):
+                some = rows[start : start + 10_000]
+                cut = slice(start, start + 10_000)
+                columns = [batch.column(0).take(pa.array(owner[some])), pa.array(words[some]), pa.array(i[cut].astype(np.int32)), pa.array(j[cut].astype(np.int32)), pa.array(mine[cut].astype(np.int32)), pa.array(place[some].astype(np.int32)), pa.array(points[owner[some]]), lists.take(pa.array(owner[some]))]
+                yield pa.record_batch(columns, ["scope", "word", "i", "j", "mine", "place", "point", "words"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def work() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            scope, word, i, j, mine, place, points = (table.column(k).to_numpy() for k in range(7))
+            group = np.cumsum(np.r_[False, (np.diff(scope) != 0) | (word[1:] != word[:-1]) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+            x, y = _joined(group, place.astype(np.int64), i != j, mine, table.column(7).chunk(0), share)
+            return pa.record_batch([pa.array(np.minimum(points[x], points[y])), pa.array(np.maximum(points[x], points[y]))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(4)]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
+            begins = tuple(k[0] for k in keys) != last
+            if sum(b.num_rows for b in held) + batch.num_rows > _MEETING and (begins and held or len(cuts)):
+                cut = int(cuts[-1]) if len(cuts) else 0
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield work()
+                held.clear()
+                batch = batch.slice(cut)
+            held.append(batch)
+            last = tuple(k[-1] for k in keys)
+        if held:
+            yield work()
+
+    keys = ["scope", "word", "i", "j"]
+    given = rows.select("scope", "point", "words").mapInArrow(give, "scope int, word int, i int, j int, mine int, place int, point bigint, words array<int>")
+    return given.repartition(4 * parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "a bigint, b bigint")
 
 
 def similar_points(assigned: DataFrame, share: float = 0.6, block: int = BLOCK, model: KMeans | None = None, split: int = SPLIT) -> DataFrame:
-    """(a, b) of the points that a cluster holds both and whose word sets are similar enough, once each."""
+    """(a, b) of the points that a cluster holds both and whose word sets are similar enough, once each.
+
+    A cluster of more than `split` points is compared by the rare words of its points, which loses no pair.
+    """
     spread = assigned.select("point", "words", "clusters", F.explode("clusters").alias("cluster"))
     counts = durable(spread.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))  # at most MOST_CLUSTERS rows
     big = counts.where(F.col("size") > split)
-    divided = model is not None and not big.isEmpty()
-    rows = spread.select("point", "words", "clusters", F.shiftleft(F.col("cluster").cast("bigint"), 20).alias("leaf"))
+    divided = not big.isEmpty()
+    rows = spread.join(F.broadcast(big.select("cluster")), "cluster", "left_anti") if divided else spread
     blocks = F.ceil(F.col("size") / block).cast("int").alias("blocks")
-    sizes = counts.select(F.shiftleft(F.col("cluster").cast("bigint"), 20).alias("leaf"), blocks)
-    if divided:
-        parts = durable(_divided(spread.select("point", "words", "cluster"), big, model, NEAREST)).withColumn("clusters", F.array().cast("array<int>"))
-        rows = rows.join(F.broadcast(big.select(F.shiftleft(F.col("cluster").cast("bigint"), 20).alias("leaf"))), "leaf", "left_anti").unionByName(parts)
-        leaves = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).select("leaf", blocks)
-        cells = rows.join(sizes.unionByName(leaves), "leaf")
-    else:
-        cells = rows.join(F.broadcast(sizes), "leaf")
+    cells = rows.join(F.broadcast(counts.select("cluster", blocks)), "cluster")
     mine = F.pmod(F.hash("point"), "blocks")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    cells = cells.select("leaf", F.explode(others).alias("cell"), mine.alias("mine"), "point", "words", "clusters")
+    cells = cells.select("cluster", F.explode(others).alias("cell"), mine.alias("mine"), "point", "words", "clusters")
 
     def inside(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         points, lists, near = (group[c].chunk(0) for c in ("point", "words", "clusters"))
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         sets = [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:])]
-        mine, i, j, leaf = group["mine"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py(), group["leaf"][0].as_py()
+        mine, i, j, cluster = group["mine"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py(), group["cluster"][0].as_py()
         a = b = np.arange(len(sets))
         if i != j:
             a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -366,13 +499,16 @@ def similar_points(assigned: DataFrame, share: float = 0.6, block: int = BLOCK,
             tops = near.flatten().to_numpy().reshape(len(sets), -1)
             p, q = tops[x][:, :, None], tops[y][:, None, :]
             first = np.where(p == q, p, np.iinfo(np.int32).max).min((1, 2))
-            x, y = x[first == leaf >> 20], y[first == leaf >> 20]
+            x, y = x[first == cluster], y[first == cluster]
         ids = points.to_numpy()
         return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
 
-    flat = cells.select("leaf", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "point", "words", "clusters")
-    found = flat.repartition(4 * parallelism(flat.sparkSession), "leaf", "i", "j").groupBy("leaf", "i", "j").applyInArrow(inside, "a bigint, b bigint")
-    return found.distinct() if divided else found
+    flat = cells.select("cluster", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "point", "words", "clusters")
+    found = flat.repartition(4 * parallelism(flat.sparkSession), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(inside, "a bigint, b bigint")
+    if not divided:
+        return found
+    hot = spread.join(F.broadcast(big.select("cluster")), "cluster").select(F.col("cluster").alias("scope"), "point", "words")
+    return found.unionByName(_by_rare_words(hot, _bucket_counts(assigned), share, PART)).distinct()
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, share: float = 0.6, nearest: int = NEAREST, k: int | None = None) -> DataFrame:
