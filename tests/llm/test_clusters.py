@@ -89,6 +89,12 @@ def test_large_clusters_lose_no_pair(spark, monkeypatch):
     assert len(got) == len(set(got)) == sum(200 - shift for shift in range(1, 6))
 
 
+def test_pairs_without_a_common_cluster_are_found(spark):
+    df = spark.createDataFrame(windows(200), "sentence_id string, masked string")
+    got = [tuple(r) for r in c.similar_pairs(df, "sentence_id", "masked", k=200).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(windows(200), 0.6)
+
+
 def test_compare_against_brute_force():
     rng = random.Random(2)
     sets = [np.array(sorted(rng.sample(range(-40, 40), rng.randrange(0, 12))), np.int32) for _ in range(120)]

@@ -5,9 +5,11 @@
 3. k-means|| seeds: in each round every task draws points with a chance in proportion to their
    squared distance; the drawn points, a bounded number, are weighted by the points nearest to them
    and reduced to k. Lloyd rounds over all points follow.
-4. Each point belongs to its nearest centroid and, for the search of similar pairs, to the next
-   ones too. Pairs are compared exactly within clusters; clusters of more than `block` points
-   are compared in blocks, so no task holds a whole hot cluster.
+4. Each point belongs to its nearest centroid. `similar_points` compares the points of clusters
+   exactly; clusters of more than `block` points are compared in blocks, so no task holds a
+   whole hot cluster.
+5. `similar_pairs` doesn't depend on clusters: similar sets have a word in common among the rarest
+   of both, meet there and are counted exactly. No pair is lost.
 
 k grows with the square root of the number of points up to `MOST_CLUSTERS`. Clusters of more than
 `SPLIT` points are compared by the rare words that similar sets have in common, which loses no pair. A word is known by 32 bits of its hash, a set of words by 64: two words of a pair
@@ -246,10 +248,15 @@ class KMeans:
         return self._each(["point", "words"], label, "point bigint, words array<int>, clusters array<int>, closeness double")
 
 
-def fit(sets: DataFrame, k: int | None = None) -> KMeans:
-    """k-means over the distinct points of `word_sets`, which are stored once."""
+def distinct_points(sets: DataFrame) -> DataFrame:
+    """The distinct points of `word_sets`, stored once."""
     parts = parallelism(sets.sparkSession)
-    points = durable(sets.select("point", "words").repartition(parts, "point").groupBy("point").agg(F.first("words").alias("words")))
+    return durable(sets.select("point", "words").repartition(parts, "point").groupBy("point").agg(F.first("words").alias("words")))
+
+
+def fit(sets: DataFrame, k: int | None = None) -> KMeans:
+    """k-means over the distinct points of `word_sets`."""
+    points = distinct_points(sets)
     n = points.count()
     return KMeans(points, n, k or min(MOST_CLUSTERS, max(1, round(n**0.5))))
 
@@ -511,14 +518,14 @@ def similar_points(assigned: DataFrame, share: float = 0.6, block: int = BLOCK,
     return found.unionByName(_by_rare_words(hot, _bucket_counts(assigned), share, PART)).distinct()
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, share: float = 0.6, nearest: int = NEAREST, k: int | None = None) -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, text: str, share: float = 0.6, k: int | None = None) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of records whose common words are at least `share` of all words of the two.
 
-    Pairs of different word sets are found where a cluster holds both; the tests measure that recall.
+    All such pairs are found, whatever the clusters: word sets meet at their rare words. `k` is without effect.
     """
     sets = durable(word_sets(rows, key, text))
-    model = fit(sets, k)
-    pairs = similar_points(durable(model.assign(nearest).drop("closeness")), share, model=model)
+    points = distinct_points(sets).withColumn("scope", F.lit(0))
+    pairs = _by_rare_words(points, _bucket_counts(points), share, PART)
     members = sets.groupBy("key").agg(F.min("point").alias("point"))
     one, two = members.selectExpr("key AS one", "point AS a"), members.selectExpr("key AS two", "point AS b")
     across = pairs.join(one, "a").join(two, "b").select("one", "two")
