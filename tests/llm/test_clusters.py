@@ -108,6 +108,21 @@ def test_compare_against_brute_force():
     assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i, j in true if i < 50 <= j}
 
 
+def test_centroids_have_settled(spark):
+    df = spark.createDataFrame(corpus(400), "sentence_id string, masked string")
+    model = c.fit(c.word_sets(df, "sentence_id", "masked"))
+    assert model.k == round(2 * model.n**0.5)
+    x = c._matrix(model.points.select("words").toArrow()["words"].combine_chunks(), model.weights, model.dims)
+
+    def cost(centroids):
+        return float((1 - (x @ centroids.T).max(1)).sum())
+
+    before, home = cost(model.centroids), (x @ model.centroids.T).argmax(1)
+    moved = np.array([x[home == k].sum(0) if (home == k).any() else v for k, v in enumerate(model.centroids)])
+    assert before - cost(moved / np.linalg.norm(moved, axis=1, keepdims=True).clip(1e-9)) <= 2e-3 * before
+    assert model.costs[-2] - model.costs[-1] <= 1e-3 * model.costs[-2] and abs(model._cost(model.centroids) - before) < 0.01
+
+
 def test_summary(spark):
     rows = corpus(120)
     df = spark.createDataFrame(rows, "sentence_id string, masked string")

@@ -4,14 +4,14 @@
 2. A point's words are hashed, with signs, into `dims` features weighted by inverse frequency.
 3. k-means|| seeds: in each round every task draws points with a chance in proportion to their
    squared distance; the drawn points, a bounded number, are weighted by the points nearest to them
-   and reduced to k. Lloyd rounds over all points follow.
+   and reduced to k. Lloyd rounds over all points follow until the cost falls by less than `SETTLED` of itself.
 4. Each point belongs to its nearest centroid. `similar_points` compares the points of clusters
    exactly; clusters of more than `block` points are compared in blocks, so no task holds a
    whole hot cluster.
 5. `similar_pairs` doesn't depend on clusters: similar sets have a word in common among the rarest
    of both, meet there and are counted exactly. No pair is lost.
 
-k grows with the square root of the number of points up to `MOST_CLUSTERS`. Clusters of more than
+k is twice the square root of the number of points up to `MOST_CLUSTERS`. Clusters of more than
 `SPLIT` points are compared by the rare words that similar sets have in common, which loses no pair. A word is known by 32 bits of its hash, a set of words by 64: two words of a pair
 fall together once in ten million pairs, which can add a pair at the threshold but never lose one. Defined cases: null texts belong to no
 cluster; texts without words are one point of their own and similar to each other; repeated rows
@@ -32,8 +32,9 @@ from pyspark.sql import Window as W
 
 from tiesmith.session import durable, parallelism
 
-DIMS, WEIGHT_BITS, NEAREST, BLOCK = 512, 16, 4, 4096
+DIMS, WEIGHT_BITS, NEAREST, BLOCK = 1024, 16, 4, 4096
 MOST_CLUSTERS = 4096
+SETTLED = 1e-3
 #: Points of a cluster before its pairs are sought by rare words, and points with one rare word in a block then.
 SPLIT, PART = 100_000, 50_000
 #: No longer of effect.
@@ -119,13 +120,14 @@ def _bucket_counts(points: DataFrame) -> np.ndarray:
 class KMeans:
     """Spherical k-means over (point, words) rows that are stored and cheap to read again."""
 
-    def __init__(self, points: DataFrame, n: int, k: int, rounds: int = 2, lloyd: int = 1, dims: int = DIMS, seed: int = 7) -> None:
+    def __init__(self, points: DataFrame, n: int, k: int, rounds: int = 2, settled: float = SETTLED, dims: int = DIMS, seed: int = 7) -> None:
         self.points, self.n, self.k, self.dims, self.seed = points, n, max(1, min(k, n)), dims, seed
         self.context = points.sparkSession.sparkContext
         self.weights = self._inverse_frequencies()
         self.centroids = self._seeds(rounds)
-        for _ in range(lloyd):
-            self._lloyd()
+        self.costs: list[float] = []
+        while len(self.costs) < 2 or self.costs[-2] - self.costs[-1] > settled * self.costs[-2]:
+            self.costs.append(self._lloyd())
 
     def _inverse_frequencies(self) -> np.ndarray:
         """log(1 + n / records) of each of the fixed number of word buckets, over all points."""
@@ -154,13 +156,14 @@ class KMeans:
         for turn in range(rounds + 1):
             want = max(1, self.k // 4) if not turn else most / rounds
             shared = self.context.broadcast(chosen)
+            cost = self._cost(chosen) if turn else float(n)
 
-            def draw(part: pa.RecordBatch, x: np.ndarray, turn=turn, want=want, shared=shared) -> Iterator[pa.RecordBatch]:
-                """Points of chance want * distance / (n * the stretch's mean distance)."""
+            def draw(part: pa.RecordBatch, x: np.ndarray, turn=turn, want=want, shared=shared, cost=cost) -> Iterator[pa.RecordBatch]:
+                """Points of chance want * distance / the cost over all points."""
                 far = 1 - (x @ shared.value.T).max(1).clip(max=1) if len(shared.value) else np.ones(len(x))
                 ids = part.column(0).to_numpy().view(np.uint64)
                 chance = (((ids + np.uint64(seed * 1000 + turn)) * _MIX ^ (ids >> np.uint64(29))) * _MIX >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-                at = np.flatnonzero(chance * n * max(far.mean(), 1e-9) < want * far)
+                at = np.flatnonzero(chance * max(cost, 1e-9) < want * far)
                 yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(far[at].astype(np.float64)), _lists(x[at], pa.float32())], ["point", "number", "vector"])
 
             picked, _ = self._gather(draw, ["point", "words"])
@@ -169,6 +172,15 @@ class KMeans:
             return chosen if len(chosen) else np.zeros((1, dims), np.float32)
         return self._reduced(chosen, self._mass(chosen))
 
+    def _cost(self, centroids: np.ndarray) -> float:
+        """Sum of the distances of all points from the nearest centroid."""
+        near = self._nearest(centroids)
+
+        def far(part: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield pa.record_batch([pa.array([float((1 - near(x).max(1).clip(max=1)).sum(dtype=np.float64))])], ["far"])
+
+        return self._each(["words"], far, "far double").agg(F.sum("far")).head()[0] or 0.0
+
     def _nearest(self, centroids: np.ndarray):
         shared = self.context.broadcast(centroids)
         return lambda x: x @ shared.value.T
@@ -198,33 +210,41 @@ class KMeans:
             far[picks[-1]] = 0
         return chosen[picks]
 
-    def _lloyd(self) -> None:
+    def _lloyd(self) -> float:
+        """Move the centroids to the middle of their points; the cost is that before the move."""
         near, size, dims = self._nearest(self.centroids), len(self.centroids), self.dims
         weights, points = self.context.broadcast(self.weights), self.points
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((size, dims), np.float32)
+            held, cost = np.zeros((size, dims), np.float32), 0.0
             for batch in batches:
                 for start in range(0, batch.num_rows, _PRODUCTS):
                     x = _matrix(batch.column(0).slice(start, _PRODUCTS), weights.value, dims)
-                    home = near(x).argmax(1)
+                    close = near(x)
+                    home = close.argmax(1)
+                    cost += float((1 - close.max(1).clip(max=1)).sum(dtype=np.float64))
                     order = np.argsort(home, kind="stable")
                     first = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0]) if len(home) else []
                     held[home[order][first]] += np.add.reduceat(x[order], first)
             for start in range(0, size, 256):
                 part = held[start : start + 256]
                 some = np.flatnonzero(np.abs(part).sum(1))
-                yield pa.record_batch([pa.array(some + start), _lists(part[some], pa.float32())], ["at", "vector"])
+                far = np.zeros(len(some))
+                far[:1], cost = cost, 0.0 if len(some) else cost
+                yield pa.record_batch([pa.array(some + start), _lists(part[some], pa.float32()), pa.array(far)], ["at", "vector", "cost"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
+            cost: dict[int, float] = {}
             for batch in batches:
+                for at, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    cost[at] = cost.get(at, 0.0) + c
                 for at, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                     v = v.values.to_numpy()
                     held[at] = held[at] + v if at in held else v
-            yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32()))], ["at", "vector"])
+            yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32())), pa.array([cost[at] for at in held], pa.float64())], ["at", "vector", "cost"])
 
-        schema = "at bigint, vector array<float>"
+        schema = "at bigint, vector array<float>, cost double"
         rows = points.select("words").mapInArrow(sums, schema).repartition("at").mapInArrow(add, schema).toArrow()
         moved = self.centroids.copy()
         if rows.num_rows:
@@ -232,6 +252,7 @@ class KMeans:
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             moved[rows["at"].to_numpy()] = vectors / np.where(norms > 0, norms, 1)
         self.centroids = moved
+        return float(rows["cost"].to_numpy().sum())
 
     def assign(self, nearest: int = 1) -> DataFrame:
         """(point, words, clusters, closeness): each point's nearest centroids, the nearest first."""
@@ -258,7 +279,7 @@ def fit(sets: DataFrame, k: int | None = None) -> KMeans:
     """k-means over the distinct points of `word_sets`."""
     points = distinct_points(sets)
     n = points.count()
-    return KMeans(points, n, k or min(MOST_CLUSTERS, max(1, round(n**0.5))))
+    return KMeans(points, n, k or min(MOST_CLUSTERS, max(1, round(2 * n**0.5))))
 
 
 #: Columns that words are hashed to where pairs are sought; words that fall together only raise a bound.
