@@ -35,6 +35,17 @@ def test_parts_and_other_orders_do_not_count(spark):
     assert not found(spark, [" ".join(words[:9]), " ".join(reversed(words)), " ".join(shuffled), spread])
 
 
+def test_scattered_words_in_order_are_found(spark):
+    item = [f"word{chr(97 + k)}" for k in range(18)]
+    gaps = " ".join(f"other{k}" if k in (1, 3, 5, 7, 9, 11, 13) else w for k, w in enumerate(item))
+    rng, texts = random.Random(4), [gaps]
+    for _ in range(60):
+        kept = set(rng.sample(range(18), 11))
+        texts.append("before it " + " ".join(w if k in kept else "foreign" for k, w in enumerate(item)) + " after")
+    less = " ".join(w if k < 10 else "foreign" for k, w in enumerate(item))
+    assert set(found(spark, [*texts, less], [(1, " ".join(item)), (2, "worda of quite another kind here")])) == {(n, 1) for n in range(61)}
+
+
 def test_offsets_cut_the_passage(spark):
     text = f"Intro here. {ITEM} Outro."
     row = found(spark, [text])[0, 1]

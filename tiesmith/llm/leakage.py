@@ -1,9 +1,10 @@
 """Evaluation items that stand, wholly or in part, in corpus documents (problem 8).
 
-A generalised suffix automaton of the folded words of all items reads every document's words
-and keeps the length of the longest item fragment that ends at each word. The words that fragments
-of two or more of one item cover within a short stretch make a candidate passage, and an alignment
-in item order decides it. The items are a fixed small table: they
+A passage that keeps `need` of an item's n words lacks at most n - need of them, so of any K words of
+the item it holds K - (n - need). Stretches with so many of an item's rarer words, within the length that the
+gaps allow, are candidates, and an alignment in item order decides them: no passage is lost before it.
+A passage takes at most twice the item's words, or else needs neighbouring words of the item, which a
+generalised suffix automaton of the folded words of all items finds. The items are a fixed small table: they
 travel to the workers in blocks whose size is checked, so a longer list costs more passes,
 not more memory.
 
@@ -15,7 +16,7 @@ between passages go to the earliest; other columns of either table are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from tiesmith.llm.text import WORD, fold, settle
 
 #: Words of items in one block (one automaton, about 300 bytes a word on a worker).
 BLOCK_WORDS = 400_000
+#: Words that stand in more than one of so many items are sought only where others are too few.
+OFTEN = 3
 SCHEMA = "doc_id bigint, item_id bigint, matched int, item_words int, longest int, start_char int, end_char int"
 
 
@@ -117,13 +120,75 @@ class Matcher:
         self.need = [len(ws) if len(ws) < least_words else math.ceil(share * len(ws) - 1e-9) for _, ws in items]
         self.gap = gap
         self.automaton = SuffixAutomaton([ws for _, ws in self.items])
-        self.base = len(self.numbers) + 1
-        self.pairs = np.unique(np.array([a * self.base + b for _, ws in self.items for a, b in zip(ws, ws[1:])], np.int64))
         self.singles = {ws[0]: [] for _, ws in self.items if len(ws) == 1}
         for number, (_, ws) in enumerate(self.items):
             if len(ws) == 1:
                 self.singles[ws[0]].append(number)
         self.folded: dict[str, int] = {}
+        self._rarer()
+
+    def _rarer(self) -> None:
+        """The words by which each item is sought, how many of them a passage holds, and within how many words."""
+        self.times = [Counter(ws) for _, ws in self.items]
+        spread = Counter(w for times in self.times for w in times)
+        often, held = 1 + len(self.items) // OFTEN, [[] for _ in range(len(self.numbers))]
+        self.least, self.within = np.ones(len(self.items), np.int64), np.ones(len(self.items), np.int64)
+        for number, (_, ws) in enumerate(self.items):
+            lacking, times, sought = len(ws) - self.need[number], self.times[number], 0
+            for w in sorted(times, key=lambda w: (spread[w], w)):
+                if sought > lacking and spread[w] > often:
+                    break
+                sought += times[w]
+                held[w].append(number)
+            self.least[number] = sought - lacking
+            self.within[number] = (self.need[number] - 1) * (self.gap + 1) + 1
+        self.sizes = np.array([len(h) for h in held], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.seekers = np.array([number for h in held for number in h], np.int64)
+
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high): the parts of a document that can hold a passage of an item."""
+        at = np.flatnonzero(ids >= 0)
+        times = self.sizes[ids[at]]
+        number = self.seekers[np.repeat(self.first[ids[at]] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        enough = np.bincount(number, minlength=len(self.items)) >= self.least
+        kept = np.flatnonzero(enough[number])
+        if not len(kept):
+            return
+        number, at = number[kept], np.repeat(at, times)[kept]
+        by = np.argsort(number, kind="stable")
+        number, at = number[by], at[by]
+        last = np.arange(len(at)) + self.least[number] - 1
+        inside = np.minimum(last, len(at) - 1)
+        begins = np.flatnonzero((last < len(at)) & (number[inside] == number) & (at[inside] - at < self.within[number]))
+        held = None
+        for k in begins.tolist():
+            item = int(number[k])
+            wide = len(self.items[item][1]) * (self.gap + 1)
+            low, high = max(0, int(at[k]) - wide), min(len(ids), int(at[last[k]]) + wide + 1)
+            if held and held[0] == item and low <= held[2]:
+                held = (item, held[1], max(high, held[2]))
+            else:
+                if held:
+                    yield held
+                held = (item, low, high)
+        if held:
+            yield held
+
+    def segments(self, ids: np.ndarray, item: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Parts of ids[low:high] without a longer gap that hold enough of an item's words, each as often as the item."""
+        times = self.times[item]
+        at = [i for i, w in enumerate(ids[low:high].tolist(), low) if w in times]
+        if len(at) < self.need[item]:
+            return
+        begin = 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or at[k] - at[k - 1] > self.gap + 1:
+                if k - begin >= self.need[item]:
+                    part = Counter(ids[at[begin:k]].tolist())
+                    if sum(min(c, times[w]) for w, c in part.items()) >= self.need[item]:
+                        yield at[begin], at[k - 1] + 1
+                begin = k
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         known, out = self.folded, []
@@ -136,18 +201,6 @@ class Matcher:
             out.append(n)
         return np.array(out, np.int64)
 
-    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Parts of a document that hold two neighbours of some item at short distances."""
-        if len(ids) < 2 or not len(self.pairs):
-            return
-        code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * self.base + ids[1:], -1)
-        near = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        at = np.flatnonzero(self.pairs[near] == code)
-        if len(at):
-            cuts = np.flatnonzero(np.diff(at) > 4 * self.gap) + 1
-            for part in np.split(at, cuts):
-                yield max(0, int(part[0]) - self.gap), min(len(ids), int(part[-1]) + 2 + self.gap)
-
     def chains(self, ids: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int, int]:
         """(words matched, longest run, first, last) of the best passage of an item in ids[low:high]."""
         where = defaultdict(list)
@@ -168,24 +221,35 @@ class Matcher:
                     best = (mine[0], mine[2], mine[3], i)
         return best
 
+    def passage(self, ids: np.ndarray, item: int, start: int, stop: int, low: int, high: int) -> tuple[int, int, int, int]:
+        """The best passage of an item in ids[start:stop] that takes no more than twice the item's words.
+
+        A longer one counts where fragments of two or more words around it hold a good third of the item.
+        """
+        n = len(self.items[item][1])
+        best = self.chains(ids, item, start, stop)
+        if best[0] < self.need[item] or best[3] - best[2] < 2 * n:
+            return best
+        total, last = 0, low - 1
+        for end, length, state in self.automaton.matches(ids[low:high].tolist(), low):
+            if held := self.automaton.holders(state, length).get(item):
+                total, last = total + end - max(last, end - held), end
+        if total >= min(self.need[item], max(2, 0.35 * n)):
+            return best
+        mine = set(self.items[item][1])
+        begins = [i for i in range(start, stop) if int(ids[i]) in mine]
+        return max((self.chains(ids, item, i, min(stop, i + 2 * n)) for i in begins), key=lambda x: x[0])
+
     def find(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
         """(item id, matched, words, longest run, start, end in `text`) of each item that leaked."""
         settled = settle(text)
         ids = self.ids(WORD.findall(settled))
         found: dict[int, tuple[int, int, int, int]] = {}
-        for low, high in self.stretches(ids):
-            share: dict[int, list[int]] = {}
-            for end, length, state in self.automaton.matches(ids[low:high].tolist(), low):
-                for item, held in self.automaton.holders(state, length).items():
-                    s = share.setdefault(item, [0, end - held + 1, end - held])
-                    s[0] += end - max(s[2], end - held)
-                    s[2] = end
-            for item, (total, first, last) in share.items():
-                n = len(self.items[item][1])
-                if total >= min(self.need[item], max(2, 0.35 * n)):
-                    best = self.chains(ids, item, max(0, first - n - self.gap), min(len(ids), last + n + self.gap))
-                    if best[0] >= self.need[item] and best[0] > found.get(item, (0,))[0]:
-                        found[item] = best
+        for item, low, high in self.windows(ids):
+            for start, stop in self.segments(ids, item, low, high):
+                best = self.passage(ids, item, start, stop, low, high)
+                if best[0] >= self.need[item] and best[0] > found.get(item, (0,))[0]:
+                    found[item] = best
         for at in np.flatnonzero(np.isin(ids, list(self.singles))) if self.singles else ():
             for item in self.singles[int(ids[at])]:
                 found.setdefault(item, (1, 1, int(at), int(at)))
