@@ -98,6 +98,17 @@ def test_decontaminate_cuts_once(spark):
     assert rows == {1: "Keep this. . And this.", 2: "plain", 3: None}
 
 
+def test_long_runs_are_cut_whatever_their_share(spark):
+    item = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    texts = ["Before " + " ".join(item[a : a + n]) + " after" for a, n in ((20, 20), (0, 12), (3, 11))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    rows = {r.doc_id: r.clean_text for r in leakage.decontaminate(docs, items).collect()}
+    assert rows == {0: "Before  after", 1: "Before  after", 2: texts[2]}
+    assert {(r.doc_id, r.longest) for r in leakage.leaks(docs, items, most_longest=12).collect()} == {(0, 20), (1, 12)}
+    assert leakage.leaks(docs, items).count() == 0
+
+
 def test_settle_keeps_length():
     for t in ["a&amp;b <i>x</i> [a](b) ​ z-\n z", "{{x}} [[A|b]] __c__", ""]:
         assert len(settle(t)) == len(t)

@@ -114,11 +114,11 @@ class SuffixAutomaton:
 class Matcher:
     """Items of one block, ready to be looked for in documents."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], share: float, gap: int, least_words: int) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]], share: float, gap: int, least_words: int, most_longest: int | None = None) -> None:
         self.numbers = {w: n for n, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.items = [(i, [self.numbers[w] for w in ws]) for i, ws in items]
         self.need = [len(ws) if len(ws) < least_words else math.ceil(share * len(ws) - 1e-9) for _, ws in items]
-        self.gap = gap
+        self.gap, self.most_longest = gap, most_longest
         self.automaton = SuffixAutomaton([ws for _, ws in self.items])
         self.singles = {ws[0]: [] for _, ws in self.items if len(ws) == 1}
         for number, (_, ws) in enumerate(self.items):
@@ -126,6 +126,8 @@ class Matcher:
                 self.singles[ws[0]].append(number)
         self.folded: dict[str, int] = {}
         self._rarer()
+        codes = [a * (len(self.numbers) + 1) + b for _, ws in self.items for a, b in zip(ws, ws[1:])]
+        self.pairs = np.unique(np.array(codes, np.int64))
 
     def _rarer(self) -> None:
         """The words by which each item is sought, how many of them a passage holds, and within how many words."""
@@ -240,6 +242,20 @@ class Matcher:
         begins = [i for i in range(start, stop) if int(ids[i]) in mine]
         return max((self.chains(ids, item, i, min(stop, i + 2 * n)) for i in begins), key=lambda x: x[0])
 
+    def runs(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last) of the verbatim runs of at least `most_longest` words of an item."""
+        least = max(2, self.most_longest)
+        if len(ids) < least or not len(self.pairs):
+            return
+        code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * (len(self.numbers) + 1) + ids[1:], -1)
+        near = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        other = np.r_[-1, np.flatnonzero(self.pairs[near] != code), len(code)]
+        for k in np.flatnonzero(np.diff(other) >= least):
+            low, high = int(other[k]) + 1, int(other[k + 1]) + 1
+            for end, length, state in self.automaton.matches(ids[low:high].tolist(), low, least):
+                for item, held in self.automaton.holders(state, length, least).items():
+                    yield item, end - held + 1, end
+
     def find(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
         """(item id, matched, words, longest run, start, end in `text`) of each item that leaked."""
         settled = settle(text)
@@ -250,6 +266,13 @@ class Matcher:
                 best = self.passage(ids, item, start, stop, low, high)
                 if best[0] >= self.need[item] and best[0] > found.get(item, (0,))[0]:
                     found[item] = best
+        if self.most_longest is not None:
+            longest: dict[int, tuple[int, int, int, int]] = {}
+            for item, first, last in self.runs(ids):
+                run = last - first + 1
+                if item not in found and run > longest.get(item, (0,))[0]:
+                    longest[item] = (run, run, first, last)
+            found |= longest
         for at in np.flatnonzero(np.isin(ids, list(self.singles))) if self.singles else ():
             for item in self.singles[int(ids[at])]:
                 found.setdefault(item, (1, 1, int(at), int(at)))
@@ -276,9 +299,11 @@ def blocks(items: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tup
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gap: int = 8, least_words: int = 5) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gap: int = 8, least_words: int = 5, most_longest: int | None = None) -> DataFrame:
     """One row for each document and item of which `share` of the words stand there as one passage.
 
+    With `most_longest`, also for each of which so long a verbatim run stands there, whatever its share; the run is the passage then.
+
     `gap`: foreign words that may stand between two of the item's. `longest` is the longest
     verbatim run in words; `start_char` and `end_char` bound the passage in the stored text.
     """
@@ -289,7 +314,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gap: int =
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, share, gap, least_words)
+            matcher = Matcher(shared.value, share, gap, least_words, most_longest)
             for batch in batches:
                 rows = [(d.as_py(), *x) for d, t in zip(batch.column(0), batch.column(1)) for x in matcher.find(t.as_py())]
                 names = ["doc_id", "item_id", "matched", "item_words", "longest", "start_char", "end_char"]
@@ -310,7 +335,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, most_longest: int = 12
     """Every document row with `clean_text`: passages whose longest run reaches `most_longest` words or
     whose coverage reaches `most_share` are cut out. Overlapping passages are cut once; null texts stay null.
     """
-    found = leaks(documents, items, share=min(most_share, 0.6), **how)
+    found = leaks(documents, items, share=min(most_share, 0.6), most_longest=most_longest, **how)
     cut = found.where((F.col("longest") >= most_longest) | (F.col("matched") >= most_share * F.col("item_words")))
     spans = cut.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("leak_spans"))
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

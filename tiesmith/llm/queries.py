@@ -130,7 +130,14 @@ def p8_found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 @_over("documents", "eval_items")
 def p8_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
-    return leakage.leaks(documents, items)
+    """Passages that reach the limit of coverage or of the longest verbatim run."""
+    return leakage.leaks(documents, items, most_longest=12)
+
+
+@_over("documents", "eval_items")
+def p8_clean(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Every document's text without the passages of test items."""
+    return leakage.decontaminate(documents, items).select("doc_id", "clean_text")
 
 
 @_over("documents")
