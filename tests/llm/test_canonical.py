@@ -31,15 +31,28 @@ def test_values_and_edges(spark):
 
 def test_blocks_give_the_same(spark, monkeypatch):
     spans = spark.createDataFrame([(n, k, v) for n, (k, v, _) in enumerate(CASES)], "span_id bigint, attr_type string, value string")
-    reference = spark.createDataFrame([r for r in REFERENCE if r[0] < 100], "ref_id bigint, attr_type string, canonical string")
-    whole = {(r.span_id, r.ref_id) for r in c.map_spans(spans, reference).collect()}
-    monkeypatch.setattr(c, "BLOCK_ENTRIES", 3)
-    split = {(r.span_id, r.ref_id) for r in c.map_spans(spans, reference).collect()}
-    assert {s for s, _ in split} == {s for s, _ in whole}
+    reference = spark.createDataFrame(REFERENCE, "ref_id bigint, attr_type string, canonical string")
+    found = {}
+    for entries in (1, 3, 50_000):
+        monkeypatch.setattr(c, "BLOCK_ENTRIES", entries)
+        found[entries] = {(r.span_id, r.ref_id, round(r.similarity, 9)) for r in c.map_spans(spans, reference).collect()}
+    assert found[1] == found[3] == found[50_000]
+    assert {CASES[n][1]: ref for n, ref, _ in found[1]} == {v: ref for k, v, ref in CASES if k.strip().lower() != "action"}
+
+
+def test_aliases_and_several_mentions(spark):
+    reference = spark.createDataFrame(
+        [(1, "place", "Zusuteshafen", ["Zusu Town", None]), (2, "place", "Gikeostährden", None), (3, "place", "Zusu Town Harbour", []), (4, "place", "Old Port", ["Zusuteshafen"])],
+        "ref_id bigint, attr_type string, canonical string, others array<string>",
+    )
+    values = ["zusu town", "in Zusu-Town", "Zusu Town Harbour", "Gikeostährden / Zusuteshafen", "Zusuteshafen", "Old Zusuteshafen"]
+    spans = spark.createDataFrame([(n, "place", v) for n, v in enumerate(values)], "span_id bigint, attr_type string, value string")
+    assert [r.ref_id for r in c.map_spans(spans, reference, aliases="others").orderBy("span_id").collect()] == [1, 1, 3, 2, 1, -1]
+    assert c.chosen([(0, 2, 9, 5), (1, 4, 12, 6), (4, 5, 3, 7), (0, 1, 4, 8)]) == [(1, 4, 12, 6), (0, 1, 4, 8), (4, 5, 3, 7)]
 
 
 def test_long_values():
-    r = c.Resolver([(1, "Zusuteshafen")])
+    r = c.Resolver([(1, "Zusuteshafen", [])])
     assert r.find("word " * 5000 + "Zusuteshafen") == (1, 1.0)
     assert r.find("x" * 20_000) == (-1, 0.0)
 
