@@ -1,11 +1,13 @@
 """Occurrences and presence of every distinct term of a collection (problem 4).
 
-1. Each task counts the terms of its own records (map-side), so a hot term crosses the
-   network once a batch, however often it occurs.
+1. Each task counts the terms of its own stretches of records, so a hot term crosses the network
+   once a stretch, however often it occurs.
 2. A global dictionary numbers the distinct terms in order: range-sorted parts, each with the
    number of terms before it.
-3. The counts are encoded with those numbers and travel as blocks of 65,536 identifiers: sparse
-   arrays, sorted by block and summed into one pair of dense arrays at a time.
+3. The stretches' counts are encoded with those numbers and become blockwise arrays: for each block of
+   65,536 identifiers the offsets and both counts.
+4. The arrays are exchanged by block and summed into one pair of dense arrays at a time; the block's stretch
+   of the dictionary follows them and gives the counts their terms.
 
 Defined cases: null and blank terms don't count; a record without terms counts only towards the
 number of records; a repeated row is a record of its own, as the caller dedups; other columns are ignored.
@@ -79,7 +81,7 @@ def _partial(rows: DataFrame, normal: Callable[[str | None], str | None]) -> Dat
                     yield give()
         yield give()
 
-    return rows.mapInArrow(scan, "term string, occurrences bigint, records bigint").groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return rows.mapInArrow(scan, "term string, occurrences bigint, records bigint")
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
@@ -91,51 +93,54 @@ def dictionary(terms: DataFrame) -> DataFrame:
     kept = durable(ranged.select("term", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("row")))
     sizes = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
     order = sorted(sizes)
-    base = dict(zip(order, accumulate([0] + [sizes[p] for p in order])))
-    if not base:
-        return kept.select("term", F.col("row").alias("term_id"))
-    offsets = F.create_map(*[F.lit(x) for p in order for x in (p, base[p])])
-    return kept.select("term", (F.col("row") + offsets[F.col("part")]).cast("bigint").alias("term_id"))
+    bases = spark.createDataFrame([*zip(order, accumulate((sizes[p] for p in order), initial=0))], "part int, base bigint")
+    return kept.join(F.broadcast(bases), "part").select("term", (F.col("row") + F.col("base")).alias("term_id"))
 
 
-def _summed(encoded: DataFrame) -> DataFrame:
-    """(term_id, occurrences, records): arrays summed by identifier range."""
-    size = 1 << BLOCK_BITS
+_BLOCKS = "block bigint, named boolean, offsets array<int>, occurrences array<bigint>, records array<bigint>, terms array<string>"
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sparse (block, offsets, counts) of the rows of a task."""
-        for batch in batches:
-            ids, occurs, present = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            order = np.argsort(ids, kind="stable")
-            ids, occurs, present = ids[order], occurs[order], present[order]
-            blocks, first = np.unique(ids >> BLOCK_BITS, return_index=True)
-            cut = lambda x: np.split(x, first[1:]) if len(blocks) else []
-            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array([x & (size - 1) for x in cut(ids)], pa.list_(pa.int64())), pa.array(cut(occurs), pa.list_(pa.int64())), pa.array(cut(present), pa.list_(pa.int64()))], ["block", "offsets", "occurrences", "records"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One block at a time, as the rows come sorted by block."""
-        block, sums = None, np.zeros((2, size), np.int64)
+def _folded(ids: np.ndarray, bits: int, named: bool, columns: list[pa.Array | None]) -> pa.RecordBatch:
+    """One row a block of identifiers, whose lists are the offsets within the block and the columns' values."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    blocks, first = np.unique(ids >> bits, return_index=True)
+    cuts = pa.array(np.r_[first, len(ids)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cuts, pa.array((ids & ((1 << bits) - 1)).astype(np.int32)))]
+    for column, kind in zip(columns, (pa.int64(), pa.int64(), pa.string())):
+        lists.append(pa.nulls(len(blocks), pa.list_(kind)) if column is None else pa.ListArray.from_arrays(cuts, column.take(pa.array(order))))
+    return pa.record_batch([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), named)), *lists], ["block", "named", "offsets", "occurrences", "records", "terms"])
 
-        def give() -> pa.RecordBatch:
-            at = np.flatnonzero(sums[0])
-            out = pa.record_batch([pa.array(at + (block << BLOCK_BITS), pa.int64()), pa.array(sums[0][at]), pa.array(sums[1][at])], ["term_id", "occurrences", "records"])
-            sums[:] = 0
-            return out
 
+def _summed(encoded: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(term_id, term, occurrences, records): arrays summed by identifier range."""
+    bits = BLOCK_BITS
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _folded(batch.column(0).to_numpy(), bits, False, [batch.column(1), batch.column(2), None])
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _folded(batch.column(0).to_numpy(), bits, True, [None, None, batch.column(1)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block at a time, as the rows come sorted by block and the names after the counts."""
+        block, sums = None, np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
-            for b, offsets, occurs, present in zip(*(c for c in batch.columns)):
+            for b, named, offsets, occurs, present, terms in zip(*batch.columns):
                 if (b := b.as_py()) != block:
-                    if block is not None:
-                        yield give()
                     block = b
+                    sums[:] = 0
                 at = offsets.values.to_numpy()
-                np.add.at(sums[0], at, occurs.values.to_numpy())
-                np.add.at(sums[1], at, present.values.to_numpy())
-        if block is not None:
-            yield give()
+                if named.as_py():
+                    yield pa.record_batch([pa.array(at + (block << bits), pa.int64()), terms.values, pa.array(sums[0][at]), pa.array(sums[1][at])], ["term_id", "term", "occurrences", "records"])
+                else:
+                    np.add.at(sums[0], at, occurs.values.to_numpy())
+                    np.add.at(sums[1], at, present.values.to_numpy())
 
-    sparse = encoded.select("term_id", "occurrences", "records").mapInArrow(fold, "block bigint, offsets array<bigint>, occurrences array<bigint>, records array<bigint>")
-    return sparse.repartition("block").sortWithinPartitions("block").mapInArrow(add, "term_id bigint, occurrences bigint, records bigint")
+    arrays = encoded.select("term_id", "occurrences", "records").mapInArrow(counts, _BLOCKS).unionByName(numbered.select("term_id", "term").mapInArrow(names, _BLOCKS))
+    return arrays.repartition("block").sortWithinPartitions("block", "named").mapInArrow(add, "term_id bigint, term string, occurrences bigint, records bigint")
 
 
 def term_frequency(rows: DataFrame, terms: str, least_records: int = 2, most_share: float = 0.05, normal: Callable[[str | None], str | None] = article_title) -> DataFrame:
@@ -146,7 +151,7 @@ def term_frequency(rows: DataFrame, terms: str, least_records: int = 2, most_sha
     """
     total = rows.count()
     partial = durable(_partial(rows.select(F.col(terms).alias("terms")), normal))
-    numbered = durable(dictionary(partial))
-    counts = _summed(partial.join(numbered, "term"))
+    numbered = durable(dictionary(partial.select("term").distinct()))
+    counts = _summed(partial.join(numbered, "term"), numbered)
     mark = F.when(F.col("records") < least_records, "rare").when(F.col("records") > most_share * total, "common")
-    return counts.join(numbered, "term_id").select("term_id", "term", "occurrences", "records", mark.alias("mark"))
+    return counts.select("term_id", "term", "occurrences", "records", mark.alias("mark"))
