@@ -62,9 +62,10 @@ def brute(rows):
     return len(groups), single, both
 
 
-@pytest.mark.parametrize("block", [2, 64])
-def test_pairs_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bits"), [(2, 31), (64, 31), (64, 3)])
+def test_pairs_against_brute_force(spark, monkeypatch, block, bits):
     monkeypatch.setattr(pairs, "RUN", 50)
+    monkeypatch.setattr(pairs, "ID_BITS", bits)
     rng = random.Random(9)
     rows = [(rng.randrange(20), rng.randrange(3), f"e{int(rng.expovariate(0.3))}") for _ in range(900)] + [(7, 0, f"x{k}") for k in range(30)] + [(None, 1, "a"), (1, None, "a"), (1, 1, None)]
     df = spark.createDataFrame([(*r, "clash", 5) for r in rows] * 2, "g int, h int, item string, code string, n int")

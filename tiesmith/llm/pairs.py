@@ -2,7 +2,8 @@
 
 1. Distinct (group, item) rows, and in how many groups each item stands. An item that no pair
    of the asked strength can hold is dropped before any pair is made; the bounds are exact.
-2. The remaining items get integer codes, a pair one 64-bit code. Groups of more than `block`
+2. The remaining items get integer codes, a pair one 64-bit code and, beyond 2^31 items, the page of
+   codes it stands on. Groups of more than `block`
    items are cut into hashed blocks whose block pairs are separate rows, so no task holds a
    whole group.
 3. Each task sorts its codes in runs and adds equal ones up; the runs are exchanged by code,
@@ -30,41 +31,55 @@ BLOCK = 64
 RUN = 1_000_000
 
 
-def _runs(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of sorted codes with the sums of their counts."""
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    if counts is None:
-        return codes[first], np.diff(np.r_[first, len(codes)])
-    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+#: Bits of an item's number within a page of codes.
+ID_BITS = 31
 
 
-def _codes(batch: pa.RecordBatch) -> np.ndarray:
-    """The pair codes of rows (left items, right items); right is null where a block meets itself."""
-    parts = []
+def _runs(pages: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (page, code) of sorted ones with the sums of their counts."""
+    if not len(codes):
+        return pages, codes, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (pages[1:] != pages[:-1])])
+    return pages[first], codes[first], np.diff(np.r_[first, len(codes)]) if counts is None else np.add.reduceat(counts, first)
+
+
+def _codes(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and codes of the pairs of rows (left items, right items); right is null where a block meets itself."""
+    lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for left, right in zip(batch.column(0), batch.column(1)):
         a = np.sort(left.values.to_numpy())
         if right.is_valid:
             b = right.values.to_numpy()
             x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-            parts.append((np.minimum(x, y) << np.int64(32)) | np.maximum(x, y))
+            lows.append(np.minimum(x, y))
+            highs.append(np.maximum(x, y))
         elif len(a) > 1:
             i, j = np.triu_indices(len(a), 1)
-            parts.append((a[i] << np.int64(32)) | a[j])
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            lows.append(a[i])
+            highs.append(a[j])
+    low, high, mask = np.concatenate(lows), np.concatenate(highs), np.int64((1 << bits) - 1)
+    return (low >> bits) << np.int64(32) | (high >> bits), (low & mask) << np.int64(32) | (high & mask)
+
+
+def _packed(pages: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(pages), pa.array(codes), pa.array(counts, pa.int64())], ["page", "code", "n"])
 
 
-def _spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spilled(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def give() -> pa.RecordBatch:
-        codes, counts = _runs(np.sort(np.concatenate(held)))
+        pages, codes = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        return pa.record_batch([pa.array(codes), pa.array(counts, pa.int64())], ["code", "n"])
+        if pages.any():
+            order = np.lexsort((codes, pages))
+            return _packed(*_runs(pages[order], codes[order]))
+        return _packed(*_runs(pages, np.sort(codes)))
 
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
-            held.append(_codes(batch.slice(start, 1024)))
-            size += len(held[-1])
+            held.append(_codes(batch.slice(start, 1024), bits))
+            size += len(held[-1][1])
             if size > RUN:
                 yield give()
                 size = 0
@@ -74,13 +89,12 @@ def _spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Run-length sums of codes that come in order; the last code waits for the next batch."""
-    last = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    pack = lambda c, n: pa.record_batch([pa.array(c), pa.array(n)], ["code", "n"])
+    last = (np.zeros(0, np.int64),) * 3
     for batch in batches:
-        codes, counts = _runs(*(np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(last, batch.columns)))
-        yield pack(codes[:-1], counts[:-1])
-        last = codes[-1:], counts[-1:]
-    yield pack(*last)
+        runs = _runs(*(np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(last, batch.columns)))
+        yield _packed(*(x[:-1] for x in runs))
+        last = tuple(x[-1:] for x in runs)
+    yield _packed(*last)
 
 
 def together(rows: DataFrame, group: list[str], item: str, least: int = 1, least_lift: float = 0.0, block: int = BLOCK) -> DataFrame:
@@ -100,9 +114,7 @@ def together(rows: DataFrame, group: list[str], item: str, least: int = 1, least
     # its lift is at most n / n_item.
     useful = single.where((F.col("n_item") >= least) & (F.col("n_item") * F.lit(float(least_lift)) <= total))
     numbered = durable(dictionary(useful).join(useful, "term"))
-    # Two codes share 64 bits.
-    fits = F.when(F.col("term_id") < 1 << 31, F.col("term_id")).otherwise(F.raise_error(F.lit("more than 2^31 items")).cast("bigint"))
-    coded = held.join(numbered.select("term", fits.alias("id")), "term").select("h", "g", "id")
+    coded = held.join(numbered.select("term", F.col("term_id").alias("id")), "term").select("h", "g", "id")
     sizes = coded.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = coded.join(sizes, ["h", "g"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     mine = F.pmod(F.hash("id"), "blocks")
@@ -110,9 +122,11 @@ def together(rows: DataFrame, group: list[str], item: str, least: int = 1, least
     cells = sized.select("h", "g", "id", mine.alias("mine"), F.explode(others).alias("cell")).groupBy("h", "g", "cell")
     side = lambda which: F.collect_list(F.when(F.col("mine") == F.col(f"cell.{which}"), F.col("id")))
     lists = cells.agg(side("i").alias("a"), side("j").alias("b")).select("a", F.when(F.col("cell.i") != F.col("cell.j"), F.col("b")).alias("b"))
-    runs = lists.mapInArrow(_spilled, "code bigint, n bigint")
-    counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint").where(F.col("n") >= least)
-    low, high = F.shiftright("code", 32), F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+    bits, schema = ID_BITS, "page bigint, code bigint, n bigint"
+    runs = lists.mapInArrow(lambda batches: _spilled(batches, bits), schema)
+    counted = runs.repartition("page", "code").sortWithinPartitions("page", "code").mapInArrow(_merged, schema).where(F.col("n") >= least)
+    half = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    low, high = (F.shiftleft(page, bits).bitwiseOR(code) for page, code in zip(half("page"), half("code")))
     one = numbered.select(F.col("term_id").alias("low"), F.col("term").alias("item_a"), F.col("n_item").alias("n_a"))
     two = numbered.select(F.col("term_id").alias("high"), F.col("term").alias("item_b"), F.col("n_item").alias("n_b"))
     pairs = counted.select(low.alias("low"), high.alias("high"), F.col("n").alias("n_ab")).join(one, "low").join(two, "high")
