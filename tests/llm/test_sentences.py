@@ -42,6 +42,36 @@ def test_missing_blank_and_unclosed_marks():
     assert [text[a:b] for a, b in s.split(text)] == ["It was lost.", "Nobody minded.", "He said “no.", "She left.", "They went on."]
 
 
+@pytest.mark.parametrize("size", [700, 5_000, 100_000])
+@pytest.mark.parametrize("marks", ["()", "“”", "「」", '""'])
+def test_quotations_and_brackets_of_any_length(size, marks):
+    inside = ("It was cold. " * (size // 13 + 1)).strip()
+    text = f"He wrote {marks[0]}{inside}{marks[1]} and left. She stayed."
+    assert [text[a:b] for a, b in s.split(text)] == [text[: -len(" She stayed.")], "She stayed."]
+    nested = f"He wrote {'(' * 9}a. B. c{')' * 9} and left. She stayed."
+    assert len(s.split(nested)) == 2
+
+
+def plain_path(text, nodes):
+    best = {0: (0.0, [0])}
+    for j in range(1, len(nodes)):
+        end, follows, weight = nodes[j]
+        at = max((i for i in best if nodes[i][1] < end), key=lambda i: (best[i][0] + s._length(text, nodes[i][1], end), -i))
+        best[j] = best[at][0] + s._length(text, nodes[at][1], end) + weight + s._opening(text, follows), [*best[at][1], j]
+    return best[len(nodes) - 1][1]
+
+
+@given(st.lists(st.tuples(st.integers(1, 1500), st.sampled_from([-5.0, 0.5, 2.0, 3.0]), st.sampled_from("aB1")), min_size=1, max_size=30))
+def test_path_against_all_spans(parts):
+    text, nodes = "", [(0, 0, 0.0)]
+    for size, weight, letter in parts:
+        text += letter + "x" * size + ". "
+        nodes.append((len(text) - 1, len(text), weight))
+    nodes[-1] = (len(text), len(text), 0.0)
+    total = lambda path: sum(s._length(text, nodes[i][1], nodes[j][0]) + nodes[j][2] + s._opening(text, nodes[j][1]) for i, j in zip(path, path[1:]))
+    assert abs(total(s._chosen(text, nodes)) - total(plain_path(text, nodes))) < 1e-6
+
+
 @given(st.text(alphabet="ab A.B!?。「」“”() \n\u0e01\u3042", max_size=80))
 def test_spans_cover_all_but_blanks(text):
     spans = s.split(text)

@@ -1,20 +1,24 @@
 """Sentence boundaries across languages and scripts (problem 6).
 
 A blank line ends a sentence, a single line break never does. Within a paragraph, semi-Markov
-dynamic programming selects whole sentence spans: every span scores its length, the word that
-opens it, the word or sign that closes it, and the quotations and brackets that its ends would cut.
+dynamic programming selects whole sentence spans among all places where a sign could end one: every span
+scores its length, the word that opens it, the word or sign that closes it, and the quotations and brackets
+that its end would cut, however long they are. Nothing is ruled out before: an abbreviation weighs against
+an end, but a span of thousands of code points may yet end there.
 No language has to be declared; the script at hand decides which signs end a sentence.
 
 Defined cases: null, empty and blank texts have no sentences; sentences are numbered from 0 in
 each document; a repeated row gives its sentences again unless the caller dedups; other columns
-are ignored. Long paragraphs cost time in proportion to their length, as a span reaches back over a fixed
-number of possible ends.
+are ignored. Long paragraphs cost time in proportion to their length: the score of a length has four pieces,
+and in each the best beginning is known from a moving window, so a span may reach back over any number of ends.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +27,10 @@ from pyspark.sql import functions as F
 
 # Abbreviations that a word of their sentence follows.
 LEADING = set(
-    "abb alc approx apr art aug av bd bde ca cap capt cf ch chap cit col dec dept dir dr dra dras dres "
-    "ed eds ee eig env esp evtl exp feb fed ff fig figs fl fr frl frhr ft gen ggf gov hon hr hrn hrsg ibid id ill incl ing inkl inv jan kap lic lb lbs lib lt "
-    "maj max mgr min mio mlle mlles mme mmes mr mrs ms msgr mt mts nos nov nr núm núms oct ob op pág págs pag par pl plur pp pr prof profa proff pt rd red ref rep res resp rev rs "
-    "sec sen sep sept sgt sog sr sra sras sres srta st sta ste str tel th tom univ vgl viz vol vols vs vv zit z.b i.e e.g d.h c.-à-d j.-c no "
+    "abb abs adm al-a alc anm apdo approx apr art aug av avda bd bde bl bzgl ca cap capt cf ch chap cit cmdr col comm cpl dec dept dir dr dra dras dres "
+    "ed eds ee egl eig env esp evtl excmo exp feb fed ff fig figs fl fr frl frhr ft gen ggf gob gov hon hr hrn hrsg ibid id ill imp incl ing inkl inv jan kap lic lb lbs lfg lib lt ltda "
+    "maj max mgr min mio mlle mlles mme mmes mr mrs ms msgr mt mts mwst nos nov nr núm núms oct ob op pag pág págs pag par pl plur pp pr prof profa proff pt rd red ref rep res resp rev rs rt "
+    "sec sen sep sept sgt sog sr sra sras sres srta st sta ste sto str suppl tel th tom trad univ vgl viz vol vols vs vv zit zzgl z.b i.e e.g d.h c.-à-d j.-c no "
     "акад гл гг гр д-р доц др им инж кн напр нем обл пер пл пос пр прим проф ред рис руб св см соч стр табл тел тыс ул чл англ гос долл млн млрд "
     "पं पृ प्रो डॉ रु श्रीम कु सं क्र".split()
 )
@@ -50,7 +54,10 @@ _MARKS = re.compile(r"[()\[\]{}「」『』《》（）【】〈〉«»‹›“
 _CLOSES = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "》": "《", "）": "（", "】": "【", "〉": "〈", "»": "«", "›": "‹", "”": "“"}
 _FULL = set("。！？｡．।॥؟۔։።")
 _OPENERS = set("“„\"«‹「『《（(【[¿¡—–-•*")
-NEVER, WINDOW, LONGEST_PAIR = -20.0, 60, 600
+#: Weights of an end that its word or sign speaks against, and of one within a quotation or bracket.
+AGAINST, CUT = -5.0, -20.0
+#: Code points below which a sentence is short, up to which it costs nothing, and from which more of them don't.
+SHORT, LONG, ENDLESS = 24, 400, 2800
 
 
 def _wide(c: str) -> bool:
@@ -58,36 +65,43 @@ def _wide(c: str) -> bool:
 
 
 def _pairs(text: str) -> tuple[list[int], list[int]]:
-    """Starts and ends of matching quotations and brackets that no other encloses."""
-    stack, found = [], []
+    """Starts and ends of matching quotations and brackets that no other encloses, of any length."""
+    stack, found, opened = [], [], Counter()
+
+    def close(c: str, at: int) -> None:
+        while (top := stack.pop())[0] != c:
+            opened[top[0]] -= 1
+        opened[c] -= 1
+        found.append((top[1], at))
+
     for m in _MARKS.finditer(text):
         c, at = m[0], m.start()
         if c == '"':
             if stack and stack[-1][0] == '"':
-                found.append((stack.pop()[1], at))
+                close('"', at)
             elif at == 0 or not text[at - 1].isalnum():
                 stack.append((c, at))
+                opened[c] += 1
             continue
-        if c == "“" and stack and stack[-1][0] == "„" or c == "”" and stack and stack[-1][0] == "„":
-            found.append((stack.pop()[1], at))
+        if c in "“”" and stack and stack[-1][0] == "„":
+            close("„", at)
             continue
         opens = _CLOSES.get(c)
         if opens is None:
             stack.append((c, at))
-        elif any(o == opens for o, _ in stack[-4:]):
-            while stack[-1][0] != opens:
-                stack.pop()
-            found.append((stack.pop()[1], at))
+            opened[c] += 1
+        elif opened[opens]:
+            close(opens, at)
     starts, ends = [], []
     for s, e in sorted(found):
-        if e - s <= LONGEST_PAIR and (not ends or s > ends[-1]):
+        if not ends or s > ends[-1]:
             starts.append(s)
             ends.append(e)
     return starts, ends
 
 
 def _opening(text: str, at: int) -> float:
-    """How well the words from `at` open a sentence, about -4 to 2."""
+    """How well the words from `at` open a sentence, -6 to 0."""
     while at < len(text) and (text[at] in _OPENERS or text[at].isspace()):
         if text[at] in "—–" and at + 1 < len(text) and text[at + 1].isspace():
             return -6.0
@@ -98,33 +112,24 @@ def _opening(text: str, at: int) -> float:
     if c in ",;:%)]}»”、，；：":
         return -6.0
     if c.isdigit():
-        return 0.5
+        return -0.6
     m = _WORD.match(text, at)
     word = m[0] if m else c
-    if c.isupper() or any(x.isupper() for x in word[1:3]):
-        return 1.5
-    if c.islower():
-        if word in PARTICLES:
-            rest = text[m.end() :].lstrip()
-            if rest[:1].isupper():
-                return 1.0
-        return -4.0
-    return 1.0
+    if c.islower() and not any(x.isupper() for x in word[1:3]):
+        return -0.1 if word in PARTICLES and text[m.end() : m.end() + 24].lstrip()[:1].isupper() else -4.0
+    return 0.0
 
 
 def _closing(text: str, start: int, sign: str, closers: str, gap: str, follows: int) -> float:
-    """How well the sign at `start` closes a sentence whose next one would begin at `follows`."""
+    """How well the sign at `start` closes a sentence whose next one would begin at `follows`, -5 to 5."""
     last, nxt = sign[-1], text[follows : follows + 1]
-    opening = _opening(text, follows)
     if last in _FULL:
-        if opening <= -6 or nxt and nxt in "，、；":
-            return NEVER
         if closers and nxt and nxt not in _OPENERS and not nxt.isupper() and not nxt.isdigit():
-            return NEVER  # scripts without case: what follows a quotation or bracket belongs to its sentence
-        return 4.0
+            return AGAINST  # scripts without case: what follows a quotation or bracket belongs to its sentence
+        return 5.0
     wide = bool(nxt) and (_wide(nxt) or nxt in "「『《（“«¿¡")
     if sign in ("…", "……", "..", "...") or sign.startswith("..") or last in "…‥":
-        return 2.0 if gap and (nxt.isupper() or nxt in _OPENERS) else -2.0 if gap and nxt.isdigit() else NEVER
+        return 2.0 if gap and (nxt.isupper() or nxt in _OPENERS) else AGAINST
     before = _BEFORE.search(text, max(0, start - 24), start)
     word = before[0] if before else ""
     head, _, tail = word.rpartition(".")
@@ -134,78 +139,110 @@ def _closing(text: str, start: int, sign: str, closers: str, gap: str, follows:
         c = text[start - 1 : start]
         joined = not closers and (len(word) < 2 or "." in word or word.lower() in LEADING) and not word.isdigit()
         if not wide and not (nxt.isupper() and text[follows + 1 : follows + 2].islower()) or joined or not (c.isalnum() or closers or c in "!?." or "ऀ" <= c <= "ॿ"):
-            return NEVER
+            return AGAINST
         return 2.5
     if last in "!?":
-        return 4.0 + opening if opening < 0 else 4.0
+        return 4.0
     if closers:
-        return 3.0 + opening if opening < 0 else 3.5
+        return 3.5
     folded = word.lower()
     if folded.replace(".", "").isdigit() and folded:
         following = _WORD.match(text, follows)
-        if following and following[0].lower() in ORDINAL and len(folded) <= 2:
-            return NEVER
-        return 2.0 + opening if opening < 0 else 3.0
+        return AGAINST if following and following[0].lower() in ORDINAL and len(folded) <= 2 else 3.0
     bare = folded.rpartition("'")[2].rpartition("’")[2]
     previous = _BEFORE.search(text[max(0, start - 24) : start - len(word)].rstrip().rstrip("."))
     pair = (previous[0].lower() if previous else "", bare)
     if pair in PAIRED:
-        return NEVER if opening < 1 else -1.0 if pair not in {("т", "д"), ("т", "п"), ("ee", "uu")} else 1.0
+        return AGAINST if nxt.isdigit() or pair not in {("т", "д"), ("т", "п"), ("ee", "uu")} else 1.0
     if bare in TRAILING:
-        return 0.5 if opening >= 1 else NEVER
+        return 0.5
     if bare in NUMBERED and not nxt.isdigit():
-        return 3.0 + opening * 0.75 if opening < 0 else 3.0
+        return 3.0
     if bare in LEADING or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", bare):
-        return NEVER
-    letters = sum(c.isalpha() for c in word)
-    if letters == 1 and len(word) == 1 and not _wide(word):
-        return NEVER
-    return 3.0 + opening * 0.75 if opening < 0 else 3.0
+        return AGAINST
+    return AGAINST if len(word) == 1 and word.isalpha() and not _wide(word) else 3.0
 
 
 def _length(text: str, start: int, end: int) -> float:
     """How likely a sentence is that long."""
     n = end - start
-    if n < 24:
+    if n < SHORT:
         wide = sum(_wide(c) for c in text[start:end])
         words = n + 2 * wide
         return -4.0 if words < 3 else -1.2 if words < 8 else -0.8 if words < 11 else 0.0
-    return 0.0 if n <= 400 else -min(6.0, (n - 400) / 400)
+    return 0.0 if n <= LONG else (LONG - min(n, ENDLESS)) / LONG
+
+
+class _Window:
+    """The greatest value of the nodes whose places are at least `low` and at most `high` before the end at hand."""
+
+    def __init__(self, low: int, high: float) -> None:
+        self.low, self.high, self.next, self.held = low, high, 0, deque()
+
+    def best(self, end: int, places: list[int], values: list[float]) -> tuple[float, int] | None:
+        while self.next < len(values) and end - places[self.next] >= self.low:
+            while self.held and values[self.held[-1]] < values[self.next]:
+                self.held.pop()
+            self.held.append(self.next)
+            self.next += 1
+        while self.held and end - places[self.held[0]] > self.high:
+            self.held.popleft()
+        return (values[self.held[0]], -self.held[0]) if self.held else None
+
+
+def _chosen(text: str, nodes: list[tuple[int, int, float]]) -> list[int]:
+    """Numbers of the nodes (end of a sentence, start of the next, weight of the end) on the path of greatest weight."""
+    places, begin, sloped, back = [0], [0.0], [0.0], [0]
+    usual, long, endless = _Window(SHORT, LONG), _Window(LONG + 1, ENDLESS), _Window(ENDLESS + 1, math.inf)
+    for j in range(1, len(nodes)):
+        end, follows, weight = nodes[j]
+        options = []
+        if found := usual.best(end, places, begin):
+            options.append(found)
+        if found := long.best(end, places, sloped):
+            options.append((found[0] + (LONG - end) / LONG, found[1]))
+        if found := endless.best(end, places, begin):
+            options.append((found[0] + (LONG - ENDLESS) / LONG, found[1]))
+        i = j - 1
+        while i >= 0 and end - places[i] < SHORT:
+            if places[i] < end:
+                options.append((begin[i] + _length(text, places[i], end), -i))
+            i -= 1
+        value, at = max(options)
+        value += weight + _opening(text, follows)
+        back.append(-at)
+        places.append(follows)
+        begin.append(value)
+        sloped.append(value + follows / LONG)
+    path, j = [], len(nodes) - 1
+    while j:
+        path.append(j)
+        j = back[j]
+    return [0, *reversed(path)]
 
 
 def _paragraph(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
     part = text[low:high]
     starts, ends = _pairs(part)
 
-    def cuts(at: int) -> bool:
+    def cut(at: int) -> float:
         k = bisect_left(starts, at) - 1
-        return k >= 0 and at <= ends[k]
+        return CUT if k >= 0 and at <= ends[k] else 0.0
 
-    nodes: list[tuple[int, int, float]] = [(0, 0, 0.0)]  # end of a sentence, start of the next, score
+    nodes = {}
     for m in _END.finditer(part):
         end, follows = m.end(2), m.end(3)
-        if follows >= len(part):
-            break
-        score = _closing(part, m.start(), m[1], m[2], m[3], follows)
-        if score > -10:
-            nodes.append((end, follows, score - 8.0 * cuts(end)))
-    if any("฀" <= c <= "៿" for c in part[:4000]) or _THAI.search(part):
-        for m in _THAI.finditer(part):
-            nodes.append((m.start(), m.end(), 2.0 - 8.0 * cuts(m.start())))
-        nodes[1:] = sorted(nodes[1:])
-    nodes.append((len(part), len(part), 0.0))
-    best, back = [0.0], [0]
-    for j in range(1, len(nodes)):
-        end, _, score = nodes[j]
-        options = ((best[i] + _length(part, nodes[i][1], end), -i) for i in range(max(0, j - WINDOW), j))
-        value, at = max(options)
-        best.append(value + score)
-        back.append(-at)
-    spans, j = [], len(nodes) - 1
-    while j:
-        spans.append((nodes[back[j]][1], nodes[j][0]))
-        j = back[j]
-    for s, e in reversed(spans):
+        if follows < len(part):
+            nodes[end, follows] = _closing(part, m.start(), m[1], m[2], m[3], follows) + cut(end)
+    for m in _THAI.finditer(part):
+        nodes.setdefault(m.span(), 2.0 + cut(m.start()))
+    if not nodes:
+        spans = [(0, len(part))]
+    else:
+        ordered = [(0, 0, 0.0), *sorted((e, f, w) for (e, f), w in nodes.items()), (len(part), len(part), 0.0)]
+        path = _chosen(part, ordered)
+        spans = [(ordered[i][1], ordered[j][0]) for i, j in zip(path, path[1:])]
+    for s, e in spans:
         sentence = part[s:e]
         s, e = s + len(sentence) - len(sentence.lstrip()), e - len(sentence) + len(sentence.rstrip())
         if e > s:
