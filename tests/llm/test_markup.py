@@ -57,6 +57,42 @@ def test_boilerplate_goes_by_its_score():
     assert "Page 3" not in clean and "more" not in clean and clean.count("flowing") == 18 and not doc.elements()
 
 
+PROSE = "<p>" + "Long, flowing text about waves, tides and stars, with commas. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("block", "stays"),
+    [
+        ("<div>Share this page with a friend</div>", False), ("<div><a href='./login'>Login</a></div>", False), ("<table><tr><td><a href='./a'>One</a> <a href='./b'>Two</a></td></tr></table>", False),
+        ("<ul>" + "<li><a href='./x'>Page of links</a></li>" * 9 + "</ul>", False), ("<div>It ended here.</div>", True), ("<ul><li>Small item</li></ul>", True), ("<div><h3>Head</h3></div>", True),
+        ("<div class='menu'>It ended here.</div>", False), ("<div class='menu'>" + PROSE + "</div>", True), ("<section>" + "Words and <a href='./x'>a link</a> in a text that goes on for a while, as texts do. " * 2 + "</section>", True),
+        ("<pre>x = 1</pre>", True), ("<div>never closed <b>x</b>", True),
+    ],
+)
+def test_scores_decide_without_names(block, stays, monkeypatch):
+    page = f"<html><body><div>{PROSE}{PROSE}</div>{block}</body></html>"
+    shown = m._TAG.sub("", block).split()[0]
+    assert (shown in m.Document(page).clean()[0].replace("Long, flowing", "", 12 if "Long" not in block else 0)) == stays
+    monkeypatch.setattr(m, "dull", lambda work, tags: [])
+    assert shown in m.Document(page).clean()[0]
+
+
+@pytest.mark.parametrize("size", [300, 5_000, 100_000])
+def test_inline_marks_of_any_length(size):
+    words = "word " * (size // 5)
+    doc = m.Document(f"A $x = {words}y$ and **{words}end** and `{words}end`.")
+    assert doc.elements() == [("formula", f"x = {words}y")] and not set("*`") & set(doc.clean()[0])
+    wrapped = m.Document("Some **bold\nand long** words\n\nno **bold\n\nhere** at all")
+    assert wrapped.clean()[0] == "Some bold\nand long words\n\nno **bold\n\nhere** at all"
+
+
+def test_templates_of_any_depth():
+    deep = "{{a|" * 20_000 + "x" + "}}" * 20_000
+    assert m.Document(f"One {deep} two").clean()[0] == "One  two"
+    assert m.Document("One {{lang|fr|mot {{nowrap|a b}} {{gone|x}}}} {{{raw}}} {{open").clean()[0] == "One mot a b  {} {{open"
+    assert m.Document("{{x|{y} z}} [[A]]").clean()[0] == "{{x|{y} z}} A"
+
+
 def test_links_follow(spark):
     text = "Intro <b>bold</b> [link word](./Target_x) &amp; end"
     a = text.index("link word")

@@ -6,8 +6,9 @@ puts plain signs into them, so any offset of the stored text leads to one of the
 is kept as ranges of the buffer.
 
 Boilerplate goes by tree scoring: containers are a tree, paragraphs pass points for length and commas
-to their ancestors, discounted by link density; the best container and siblings that read like text
-or are set off are kept, others are dropped.
+to their ancestors, discounted by link density and, for names of page furniture, by a weight. The best container
+is kept with its ancestors; of what stands beside or directly in it, only containers are kept that have points
+enough, read like text, or hold structure with few links; the rest is dropped, whatever it is called.
 
 Defined cases: a null text stays null with no elements, an empty one is empty; elements come once a
 document row in order of their place; unclosed blocks end at the next blank line; links without offsets or
@@ -20,6 +21,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
@@ -57,9 +59,9 @@ def _code(fences: bool, tags: bool, environments: bool) -> re.Pattern:
 
 
 _FORMULA = re.compile(
-    r"<math\b[^<>]*>(?P<m>.*?)</math\s*>|\$\$(?P<dd>[^$]+?)\$\$|\\\[(?P<br>.+?)\\\]|\\\((?P<pa>.+?)\\\)"
+    r"<math\b[^<>]*>(?P<m>.*?)</math\s*>|\$\$(?P<dd>[^$]+?)\$\$|\\\[(?P<br>(?:(?!\\\[).)+?)\\\]|\\\((?P<pa>(?:(?!\\\().)+?)\\\)"
     r"|\\begin\{(?P<env>equation\*?|align\*?|displaymath|gather\*?|multline\*?|math|eqnarray\*?)\}(?P<en>.+?)\\end\{(?P=env)\}"
-    r"|(?<![\\$\w])\$(?P<d>(?![\s$])[^$\n]{1,300}?(?<![\s\\]))\$(?![\d$])",
+    r"|(?<![\\$\w])\$(?P<d>(?![\s$])(?:[^$\n]|\n(?![ \t\r]*\n))+(?<![\s\\]))\$(?![\d$])",
     re.I | re.S,
 )
 _TEX = re.compile(r"\\[A-Za-z]|[=^_<>+]|\\[,;]|^[A-Za-z]$|^[A-Za-z]\(")
@@ -83,7 +85,7 @@ _TEX_SIGN = re.compile(r"\\([%&_#${}])|\\\\(?:\[[^\]\n]*\])?")
 _TEX_COMMENT = re.compile(r"(?m)^[ \t]*%[^\n]*$")
 _WIKI_FILE = re.compile(r"\[\[(?:File|Image|Category|Media)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", re.I)
 _WIKI_LINK = re.compile(r"\[\[([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]")
-_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+_BRACES, _SEEN = re.compile(r"\{+|\}+|\|"), re.compile(r"[^\n]")
 _SHOWN = re.compile(r"\{\{\s*(?:lang|transl|nowrap|nobr|small|big|abbr|em|strong|code|var)\s*\|", re.I)
 _MAGIC = re.compile(r"__[A-Z]{2,}__")
 _WIKI_MARK = re.compile(r"'{2,5}")
@@ -92,8 +94,8 @@ _IMAGE = re.compile(r"!\[[^\[\]\n]*\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"\n]*
 _LINK = re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])+)\]\(((?:[^()\s]|\([^()\s]*\))+)(?:\s+\"[^\"\n]*\")?\)")
 _DEFINITION = re.compile(r"(?m)^[ ]{0,3}\[\^?[^\[\]\n]+\]:[ \t]*\S[^\n]*$")
 _FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\]")
-_STRONG = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]{1,200}?)(?<=[^\s*])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])([^_\n]{1,200}?)(?<=[^\s_])\3(?![\w])")
-_TICK = re.compile(r"(?<!`)`([^`\n]{1,200})`(?!`)")
+_STRONG = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])((?:[^*\n]|\n(?![ \t\r]*\n))+)(?<=[^\s*])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])((?:[^_\n]|\n(?![ \t\r]*\n))+)(?<=[^\s_])\3(?![\w])")
+_TICK = re.compile(r"(?<!`)`((?:[^`\n]|\n(?![ \t\r]*\n))+)`(?!`)")
 _QUOTE = re.compile(r"(?m)^[ ]{0,3}>[ \t]?(?=\S)")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 CODE, FORMULA, GONE = "\ue000", "\ue001", "\ue002"
@@ -248,17 +250,7 @@ class Document:
 
             self.work = _WIKI_LINK.sub(lambda m: (setattr(self, "marked", True), link(m), GONE * (m.start(2 if m[2] else 1) - m.start()) + (m[2] or m[1]) + GONE * (m.end() - m.end(2 if m[2] else 1)))[2], self.work)
         if "{{" in self.work:
-
-            def template(m: re.Match) -> None:
-                last = m[0].rfind("|") + 1
-                if _SHOWN.match(m[0]) and last:
-                    self._cut(m.start(), m.start() + last)
-                    self._cut(m.end() - 2, m.end())
-                else:
-                    self._cut(*m.span())
-
-            for _ in range(3):
-                self._mask(_TEMPLATE, template)
+            self._templates()
         if "__" in self.work:
             self._mask(_MAGIC, lambda m: self._cut(*m.span()))
         if "](" in self.work:
@@ -280,6 +272,45 @@ class Document:
         if "{|" in self.work or "|}" in self.work or "\n|-" in self.work:
             self._mask(_TABLE, lambda m: self._cut(*m.span(), " "))
 
+    def _templates(self) -> None:
+        """Templates of any depth in one pass; some show their last part, the others go whole."""
+        stack, found = [], []  # open ones: start, place after the last bar, whether a single brace stands in them
+        for m in _BRACES.finditer(self.work):
+            run, at = m[0], m.start()
+            if run == "|":
+                if stack:
+                    stack[-1][1] = at + 1
+            elif run[0] == "{":
+                if len(run) % 2 and stack:
+                    stack[-1][2] = True
+                stack += [[k, 0, False] for k in range(at + len(run) % 2, m.end(), 2)]
+            else:
+                left = len(run)
+                while left > 1 and stack:
+                    start, last, broken = stack.pop()
+                    left -= 2
+                    if not broken:
+                        found.append((start, m.end() - left, last))
+                    elif stack:
+                        stack[-1][2] = True
+                if left and stack:
+                    stack[-1][2] = True
+        parts, at, gone = [], 0, 0
+        for start, end, last in sorted(found):
+            self.marked = True
+            if start < gone:
+                continue
+            if last and _SHOWN.match(self.work, start):
+                self._cut(start, last)
+                self._cut(end - 2, end)
+            else:
+                self._cut(start, end)
+                gone = end
+            if start >= at:
+                parts += [self.work[at:start], _SEEN.sub(GONE, self.work[start:end])]
+                at = end
+        self.work = "".join([*parts, self.work[at:]])
+
     def _blocks(self) -> None:
         """Headings, rules, list items and quotes at the start of lines, paragraph by paragraph."""
         low = 0
@@ -412,8 +443,6 @@ class Document:
             if len(mark) == 1 and not (self.markdown or self.marked) and m[3]:
                 return m[0]
             inner = m[2] or m[4]
-            if len(inner.split()) > 12:
-                return m[0]
             self.marked = True
             self._cut(m.start(), m.start() + len(mark))
             self._cut(m.end() - len(mark), m.end())
@@ -472,72 +501,124 @@ class Document:
         return "".join(self.cells), starts
 
 
-def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
-    """Ranges of the containers that tree scoring leaves out.
+#: Least code points of a paragraph that passes points, of a sibling that reads like text, and the share of the best points that is enough.
+LEAST_PARAGRAPH, LEAST_TEXT, ENOUGH = 25, 80, 0.2
+#: Weight of a container named like page furniture, link density up to which text is text and structure is structure.
+FURNITURE, FEW_LINKS, SOME_LINKS = 0.3, 0.25, 0.5
+
+
+@dataclass
+class Node:
+    """A container with what its text is like."""
+
+    start: int
+    parent: int
+    name: str
+    weight: float
+    end: int | None = None  # None while it isn't closed
+    points: float = 0.0
+    letters: int = 0  # of text, of links, and elements that are structure
+    linked: int = 0
+    structure: int = 0
+    last: str = ""
+
+    @property
+    def density(self) -> float:
+        return self.linked / self.letters if self.letters else 0.0
+
+    @property
+    def score(self) -> float:
+        return self.points * (1 - self.density) * self.weight
+
+    def stays(self, enough: float) -> bool:
+        """Whether a sibling of the best container is kept; each reason counts by its strength times the name's weight."""
+        if not self.letters:
+            return True
+        reads = self.density < FEW_LINKS if self.letters >= LEAST_TEXT else not self.linked and self.last in ".!?…。！？।"
+        holds = self.structure > 0 and self.density <= SOME_LINKS
+        return self.score >= enough or self.weight * max(reads, holds) >= 1
+
+
+def outline(work: str, tags: list[re.Match]) -> list[Node]:
+    """The tree of containers in one pass; node 0 is the whole text."""
+    nodes, stack, stretch, link = [Node(0, -1, "", 1.0)], [0], [], False
+    seen = [0, 0, 0, ""]  # letters, linked letters and structure so far, the last sign
+
+    def paragraph() -> None:
+        """The stretch of text since the last boundary passes its points up the tree."""
+        text = "".join(stretch).strip()
+        stretch.clear()
+        if len(text) >= LEAST_PARAGRAPH:
+            points, share, k = 1 + text.count(",") + min(len(text) / 100, 3), 1.0, stack[-1]
+            for level in range(4):
+                nodes[k].points += points * share
+                k, share = nodes[k].parent, 1 / (level + 2)
+                if k < 0:
+                    break
 
-    Each paragraph passes 1 point, one a comma and up to 3 for its length to its container, half of that
-    to the next and less to those above; link density takes its share. The container with most points wins.
-    It and its ancestors stay, and so do siblings with a fifth of its points, low link density or no links.
-    """
-    nodes, stack, open_links, links = [[0, len(work), -1, "", "", 0.0]], [0], None, []
+    def take(piece: str) -> None:
+        for n, part in enumerate(_BREAK.split(piece)):
+            if n:
+                paragraph()
+            stretch.append(part)
+            if text := part.strip():
+                letters = len(text)
+                seen[0] += letters
+                seen[1] += letters * link
+                seen[2] += CODE in text or FORMULA in text
+                seen[3] = text[-1]
+
+    def close(k: int, end: int | None) -> None:
+        node = nodes[k]
+        node.end, node.last = end, seen[3]
+        node.letters, node.linked, node.structure = (now - then for now, then in zip(seen, (node.letters, node.linked, node.structure)))
+
+    at = 0
     for m in tags:
+        take(work[at : m.start()])
+        at = m.end()
         name, closes = m[2].lower(), bool(m[1])
         if name == "a":
-            if not closes:
-                open_links = m.end()
-            elif open_links is not None:
-                links.append((open_links, m.start()))
-                open_links = None
+            link = not closes
+        if name not in INLINE:
+            paragraph()
+        if not closes and (name in ("li", "pre", "math", "tr", "dt") or name[0] == "h" and name[1:].isdigit()):
+            seen[2] += 1
         if name not in CONTAINERS:
             continue
         if not closes:
-            nodes.append([m.start(), len(work), stack[-1], name, m[3] or "", 0.0])
+            weight = FURNITURE if name in ("nav", "aside", "footer", "form") or DULL.search(m[3] or "") else 1.0
+            nodes.append(Node(m.start(), stack[-1], name, weight, letters=seen[0], linked=seen[1], structure=seen[2]))
             stack.append(len(nodes) - 1)
-        else:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]][3] == name:
-                    for n in stack[k:]:
-                        nodes[n][1] = m.end()
-                    del stack[k:]
-                    break
-    if len(nodes) == 1 or not any(n[3] in ("nav", "aside", "footer", "header", "form") or DULL.search(n[4]) for n in nodes) and not links:
+        elif (k := next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].name == name), 0)):
+            for n in stack[k + 1 :]:
+                close(n, None)
+            close(stack[k], m.end())
+            del stack[k:]
+    take(work[at:])
+    paragraph()
+    for n in stack:
+        close(n, None)
+    return nodes
+
+
+def dull(work: str, tags: list[re.Match]) -> list[tuple[int, int]]:
+    """Ranges of the containers that tree scoring leaves out.
+
+    Each paragraph passes 1 point, one a comma and up to 3 for its length to its container, half of that
+    to the next and less to those above; link density and furniture names take their share. Containers that are never closed,
+    and texts none of whose paragraphs give a point, are left alone.
+    """
+    nodes = outline(work, tags)
+    best = max(range(len(nodes)), key=lambda k: (nodes[k].score, -k))
+    if nodes[best].score <= 0:
         return []
-    owner, edges = 0, sorted([(n[0], 1, k) for k, n in enumerate(nodes)] + [(n[1], 0, k) for k, n in enumerate(nodes)])
-    cuts = sorted({0, len(work), *(e[0] for e in edges), *(m.start() for m in tags if m[2].lower() == "p"), *(m.end() for m in _BREAK.finditer(work))})
-    events = iter(edges)
-    event, inside = next(events, None), []
-    for a, b in zip(cuts, cuts[1:]):
-        while event and event[0] <= a:
-            (inside.append if event[1] else (lambda k: inside.remove(k) if k in inside else None))(event[2])
-            event = next(events, None)
-        text = _TAG.sub("", work[a:b]).strip()
-        owner = inside[-1] if inside else 0
-        if len(text) >= 25:
-            points, share, k = 1 + text.count(",") + min(len(text) / 100, 3), 1.0, owner
-            for level in range(4):
-                nodes[k][5] += points * share
-                k, share = nodes[k][2], 1 / (level + 2)
-                if k < 0:
-                    break
-    density, opens, total = [], [s for s, _ in links], [0, *accumulate(e - s for s, e in links)]
-    for n in nodes:
-        inner = total[bisect_left(opens, n[1])] - total[bisect_left(opens, n[0])]
-        size = len(_TAG.sub("", work[n[0] : n[1]]).strip())
-        density.append(inner / size if size else 0.0)
-        n[5] *= 1 - density[-1]
-    best = max(range(len(nodes)), key=lambda k: (nodes[k][5], -k))
-    kept, k = set(), best
-    while k >= 0:
-        kept.add(k)
-        k = nodes[k][2]
-    out = []
-    for k, n in enumerate(nodes):
-        if k in kept or n[5] >= max(2.0, nodes[best][5] / 5) or nodes[best][0] <= n[0] and n[1] <= nodes[best][1] and n[3] not in ("nav", "aside", "footer") and not DULL.search(n[4]):
-            continue
-        named = n[3] in ("nav", "aside", "footer", "form") or DULL.search(n[4])
-        if named or density[k] > 0.8 and n[3] in ("div", "section", "table", "header"):
-            out.append((n[0], n[1]))
-    return out
+    path, k = {best}, best
+    while (k := nodes[k].parent) >= 0:
+        path.add(k)
+    enough = nodes[best].score * ENOUGH
+    judged = (n for k, n in enumerate(nodes) if k not in path and n.parent in path and n.end is not None)
+    return [(n.start, n.end) for n in judged if not n.stays(enough)]
 
 
 ELEMENT = "array<struct<kind:string,content:string>>"

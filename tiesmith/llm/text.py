@@ -12,7 +12,7 @@ _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]\w{1,30});")
 _INVISIBLE = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑](?:[ \t]*\r?\n[ \t]*)?(?=[^\W\d_])")
 _TARGET = re.compile(r"(?<=\])\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*\)|(?<=\[\[)[^\[\]|\n]*\||\{\{\s*(?:lang|transl|nowrap)\s*\|(?:[^{}|]*\|)?|\{\{(?!\s*(?:lang|transl|nowrap)\s*\|)[^{}]*\}\}")
-_FORMULA = re.compile(r"<math\b[^<>]*>.*?</math\s*>|\\\(.{1,300}?\\\)|(?<![\\$\w])\$(?![\s$])[^$\n]{1,300}?(?<![\s\\])\$(?![\d$])", re.I | re.S)
+_FORMULA = re.compile(r"<math\b[^<>]*>.*?</math\s*>|\\\((?:(?!\\\(|\n[ \t\r]*\n).)+?\\\)|(?<![\\$\w])\$(?![\s$])(?:[^$\n]|\n(?![ \t\r]*\n))+(?<![\s\\])\$(?![\d$])", re.I | re.S)
 _COMMAND = re.compile(r"\\href\{(?:[^{}\\]|\\.)*\}|\\(?:cite|ref|label|footnote)\{[^{}]*\}|\\[A-Za-z]+")
 _MARKS = re.compile(r"(?<=[^\W_])(?:\*{1,3}|'{2,5}|_{1,2}|`)(?=[^\W_])")
 _INLINE = {"a", "abbr", "b", "big", "cite", "em", "font", "i", "mark", "small", "span", "strong", "tt", "u"}
