@@ -47,6 +47,14 @@ def test_large_groups_are_closed(spark):
     assert len(rows) == 100 and len({r.container_id.rsplit(":", 1)[0] for r in rows}) >= 10
 
 
+def test_filling(spark):
+    packed = p.pack(spark.createDataFrame([(k, n) for k, n in enumerate([2048, 1500, 500, 2000, 5000])], "item bigint, n_tokens bigint"))
+    row = p.filling(packed).head()
+    assert (row.containers, row.pieces, row.tokens, row.unused, row.filled, row.least_containers) == (6, 7, 11048, 6 * 2048 - 11048, round(11048 / 12288, 6), 6)
+    none = p.filling(packed.limit(0)).head()
+    assert (none.containers, none.unused, none.filled) == (0, 0, None)
+
+
 def test_nothing(spark):
     assert p.pack(spark.createDataFrame([], "item bigint, n_tokens bigint")).count() == 0
 

@@ -54,6 +54,18 @@ def test_shares_against_brute_force(spark):
         assert rows[i].n_chars == len(t)
 
 
+def test_shares_of_a_passage_in_many_records(spark, monkeypatch):
+    monkeypatch.setattr(s, "BROADCAST_KEYS", 0)
+    rng = random.Random(5)
+    hot, other = words(rng, 320), words(rng, 260)
+    texts = {k: words(rng, rng.randrange(0, 60)) + hot[k % 7 :] + words(rng, rng.randrange(0, 60)) + (other[: 190 + k] if k % 4 == 0 else "") for k in range(60)}
+    texts |= {100 + k: words(rng, 40) + hot[k : k + 200 + 3 * k] + words(rng, 40) for k in range(40)}
+    rows = {r.doc_id: r.shared_chars for r in s.shared_share(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    for i, t in texts.items():
+        others = {o[k : k + 200] for j, o in texts.items() if j != i for k in range(len(o) - 199)}
+        assert rows[i] == len({c for k in range(len(t) - 199) if t[k : k + 200] in others for c in range(k, k + 200)})
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert s.shared_pairs(empty).count() == 0
@@ -92,5 +104,6 @@ def test_stock_phrases_give_way_to_longer_anchors(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     monkeypatch.setattr(s, "HOT", 4)
     candidates = s._candidates(df, 200, 130)
+    assert all(r.a < r.b for r in candidates.collect())
     assert {(r.doc_id_a, r.doc_id_b) for r in s.shared_pairs(df).collect()} == brute(texts, 200)
     assert candidates.count() < 60

@@ -40,6 +40,7 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[list[tuple[int, int]]] = [[]]
+        self.owned: dict[int, frozenset[int]] = {}
         for number, sequence in enumerate(sequences):
             last = 0
             for at, symbol in enumerate(sequence):
@@ -104,12 +105,27 @@ class SuffixAutomaton:
         """Sequence to the length of its longest fragment that ends a match."""
         out: dict[int, int] = {}
         while state > 0 and length >= least:
-            for number, _ in self.ends[state]:
+            for number in self.owners(state):
                 out.setdefault(number, length)
             state = self.link[state]
             length = self.length[state]
         return out
 
+    def owners(self, state: int) -> frozenset[int]:
+        """The sequences that hold a fragment, found once however often it occurs."""
+        if (found := self.owned.get(state)) is None:
+            found = self.owned[state] = frozenset(number for number, _ in self.ends[state])
+        return found
+
+    def held(self, state: int, length: int, number: int, least: int = 2) -> int:
+        """Length of the longest fragment of one sequence that ends a match, 0 if it is below `least`; other sequences cost nothing."""
+        while state > 0 and length >= least:
+            if number in self.owners(state):
+                return length
+            state = self.link[state]
+            length = self.length[state]
+        return 0
+
 
 class Matcher:
     """Items of one block, ready to be looked for in documents."""
@@ -234,7 +250,7 @@ class Matcher:
             return best
         total, last = 0, low - 1
         for end, length, state in self.automaton.matches(ids[low:high].tolist(), low):
-            if held := self.automaton.holders(state, length).get(item):
+            if held := self.automaton.held(state, length, item):
                 total, last = total + end - max(last, end - held), end
         if total >= min(self.need[item], max(2, 0.35 * n)):
             return best

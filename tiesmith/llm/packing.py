@@ -129,3 +129,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(starts, pa.int64()), batch.column(3), pa.array(names, pa.string()), pa.array(order, pa.int32())], ["item", "piece", "start_token", "n_tokens", "container_id", "place"])
 
     return ordered.mapInArrow(fill, "item bigint, piece int, start_token bigint, n_tokens int, container_id string, place int")
+
+
+def filling(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(containers, pieces, tokens, unused, filled, least_containers) of the rows of `pack`: one row.
+
+    `filled` is the share of the capacity in use, null without containers; no packing needs fewer than `least_containers`.
+    """
+    each = packed.groupBy("container_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    whole = each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    room = F.col("containers") * capacity
+    return whole.select("containers", "pieces", "tokens", (room - F.col("tokens")).alias("unused"), F.round(F.col("tokens") / F.nullif(room, F.lit(0)), 6).alias("filled"), F.ceil(F.col("tokens") / capacity).alias("least_containers"))

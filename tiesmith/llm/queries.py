@@ -123,6 +123,15 @@ def p7_containers(documents: DataFrame) -> DataFrame:
     return packing.pack(sized).withColumnRenamed("item", "doc_id")
 
 
+@_over("documents")
+def p7_filling(documents: DataFrame) -> DataFrame:
+    """How full the containers are, beside the least number that could hold all tokens."""
+    import public_tokenizers
+
+    sized = durable(packing.measure(documents, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", public_tokenizers.PATTERN))
+    return packing.filling(packing.pack(sized))
+
+
 @_over("documents", "eval_items")
 def p8_found(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leakage.leaks(documents, items).select("doc_id", "item_id")
@@ -163,6 +172,24 @@ met AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM named a JOIN named b
   ON a.doc_id = b.doc_id AND a.section_idx = b.section_idx AND a.sent_idx = b.sent_idx AND a.e < b.e GROUP BY 1, 2)
 """
 
+_GRAMS = """
+held AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, p, hash(substr(text, p, 200)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM held WHERE length(text) >= 200)),
+several AS (SELECT g FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)),
+places AS (SELECT doc_id, p, g FROM grams WHERE g IN (SELECT g FROM several))
+"""
+
+_WORDS = r"""
+word AS (SELECT DISTINCT sentence_id, unnest(regexp_extract_all(lower(strip_accents(wording)), '[\p{L}\p{N}]+')) AS w
+  FROM (SELECT sentence_id, min(masked_sentence) AS wording FROM sentences WHERE masked_sentence IS NOT NULL AND sentence_id IS NOT NULL GROUP BY 1)),
+size AS (SELECT sentence_id, count(*) AS n, list(w ORDER BY w) AS ws FROM word GROUP BY 1),
+kind AS (SELECT ws, n, row_number() OVER () AS k FROM (SELECT DISTINCT ws, n FROM size)),
+each AS (SELECT k, n, unnest(ws) AS w FROM kind),
+met AS (SELECT a.k AS a, b.k AS b FROM each a JOIN each b ON a.w = b.w AND a.k < b.k AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 8 >= 3 * (a.n + b.n)),
+near AS (SELECT a, b FROM met UNION ALL SELECT b, a FROM met UNION ALL SELECT k, k FROM kind),
+member AS (SELECT sentence_id, k FROM size JOIN kind USING (ws))
+"""
+
 _TITLES = r"""
 raw AS (SELECT doc_id, unnest(links).target_title AS t FROM documents),
 plain AS (SELECT doc_id, replace(replace(replace(replace(t, '&#x27;', ''''), '&#39;', ''''), '&quot;', '"'), '&amp;', '&') AS t FROM raw WHERE t IS NOT NULL),
@@ -176,6 +203,9 @@ marked AS (SELECT *, CASE WHEN records < 2 THEN 'rare' WHEN records > 0.05 * (SE
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH {_WORDS} SELECT x.sentence_id AS sentence_id_a, y.sentence_id AS sentence_id_b FROM near JOIN member x ON x.k = a JOIN member y ON y.k = b WHERE x.sentence_id < y.sentence_id",
+        "p9_found": f"WITH {_GRAMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM places a JOIN places b ON a.g = b.g AND a.doc_id < b.doc_id",
+        "p9_shares": f"WITH {_GRAMS}, fresh AS (SELECT doc_id, least(200, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), p - 200)) AS n FROM (SELECT DISTINCT doc_id, p FROM places)), shared AS (SELECT doc_id, sum(n)::BIGINT AS n FROM fresh GROUP BY doc_id) SELECT held.doc_id, length(text)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0 END AS shared_ratio FROM held LEFT JOIN shared USING (doc_id)",
         "p3_found": f"WITH {_NAMED} SELECT a AS entity_id_a, b AS entity_id_b FROM met JOIN single x ON x.e = a JOIN single y ON y.e = b, total WHERE met.n >= 5 AND met.n * total.n >= 10 * x.n * y.n",
         "p3_pairs": f"WITH {_NAMED} SELECT a AS item_a, b AS item_b, met.n AS n_ab, x.n AS n_a, y.n AS n_b, total.n AS n, round(met.n * total.n / (x.n * y.n), 4) AS lift, round(((met.n + 0.5::DOUBLE) * (total.n - x.n - y.n + met.n + 0.5::DOUBLE)) / ((x.n - met.n + 0.5::DOUBLE) * (y.n - met.n + 0.5::DOUBLE)), 4) AS odds_ratio FROM met JOIN single x ON x.e = a JOIN single y ON y.e = b, total",
         "p4_found": f"WITH {_TITLES} SELECT target_title, mark FROM marked WHERE mark <> ''",

@@ -13,6 +13,9 @@ so its work grows with the square of the corpus; the README has figures. Here in
    code points long. Stock phrases shorter than `span` thus never pair the texts that hold them.
 4. Every candidate pair is decided exactly: all grams of `span` code points of both texts are
    hashed and compared, and a hit is confirmed on the texts themselves.
+5. How much of a text stands elsewhere needs no pairs. Around each shared anchor a text gives one hash of all
+   that a run through it can hold; where another text gives the same, all runs through it are shared. Only at
+   anchors where some text has no such match, near the ends of shared runs, is each gram of `span` code points asked for.
 
 Defined cases: null texts and texts under `span` code points share nothing; rows repeated with
 the same id and text are one record; rows of one id with other texts are parts of one record and
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tiesmith.session import durable
 
@@ -146,6 +150,8 @@ def _representatives(documents: DataFrame, span: int) -> tuple[DataFrame, DataFr
 
 #: Rows of a key table that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Code points of texts whose grams a task keeps, 16 bytes each, besides those of the pair at hand.
+HELD_POINTS = 4_000_000
 #: Texts that share an anchor before it gives way to longer ones.
 HOT = 256
 
@@ -164,19 +170,28 @@ def _emit(keys: pa.Array, hashes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), keys.take(pa.array(owner))], ["anchor", "key"])
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """Distinct (anchor, key, texts) of the anchors that several texts hold; `texts` counts them.
+def _several(found: DataFrame, by: str) -> DataFrame:
+    """Distinct (by, key, ...) rows whose `by` several texts hold.
 
-    Least and greatest key tell shared anchors from those of one text and its copies, and are added up in each task.
+    Least and greatest key tell what is shared from what stands in one text and its copies, and are added up in each task.
     """
-    several = durable(found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor"))
-    rows = durable(found.join(_checked(several), "anchor", "left_semi").distinct())
+    several = durable(found.groupBy(by).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select(by))
+    return durable(found.join(_checked(several), by, "left_semi").distinct())
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """Distinct (anchor, key, texts) of the anchors that several texts hold; `texts` counts them."""
+    rows = _several(found, "anchor")
     return rows.join(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")), "anchor")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    a, b = rows.select("anchor", F.col("key").alias("a")), rows.select("anchor", F.col("key").alias("b"))
-    return a.join(b, "anchor").where("a < b").select("a", "b")
+    """Pairs of the texts of each anchor; the texts of a hot one meet in blocks of about `HOT`."""
+    blocks = F.ceil(F.col("texts") / HOT).cast("int")
+    mine, other = F.pmod(F.hash("key"), blocks), F.explode(F.sequence(F.lit(0), blocks - 1))
+    cells = rows.select("anchor", "key", mine.alias("mine"), other.alias("other")).select("anchor", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    one, two = cells.where("mine = i").select("anchor", "i", "j", F.col("key").alias("one")), cells.where("mine = j").select("anchor", "i", "j", F.col("key").alias("two"))
+    return one.join(two, ["anchor", "i", "j"]).where("i < j OR one < two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
 
 
 def _longer(documents: DataFrame, hot: DataFrame, span: int, gram: int, reach: int) -> DataFrame:
@@ -199,15 +214,20 @@ def _longer(documents: DataFrame, hot: DataFrame, span: int, gram: int, reach: i
     return held.select("key", "text", "anchors").mapInArrow(scan, "anchor bigint, key bigint")
 
 
-def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
-    """Distinct pairs (a < b) of 64-bit text keys that share an anchor no text is too many for."""
+def _anchored(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """(anchor, key) of each text that is long enough, stored once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(gram)
         for batch in batches:
             yield _emit(batch.column(0), [anchors(t.as_py(), span, gram, rolling) for t in batch.column(1)])
 
-    rows = durable(_shared(durable(_keyed(documents, span).mapInArrow(scan, "anchor bigint, key bigint"))))
+    return durable(_keyed(documents, span).mapInArrow(scan, "anchor bigint, key bigint"))
+
+
+def _candidates(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """Distinct pairs (a < b) of 64-bit text keys that share an anchor no text is too many for."""
+    rows = durable(_shared(_anchored(documents, span, gram)))
     out = []
     while gram < span:
         hot = rows.where(F.col("texts") > HOT)
@@ -233,13 +253,15 @@ def shared_runs(documents: DataFrame, span: int = 200, gram: int = 130) -> DataF
     sides = pairs.join(one, "a").join(two, "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, held = Rolling(span), {}
+        rolling, held, size = Rolling(span), {}, 0
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
         def grams(copy: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
             if copy not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
+                size += len(text)
+                while held and size > HELD_POINTS:
+                    size -= len(held.pop(next(iter(held)))[0]) + span - 1
                 held[copy] = _grams(text, rolling)
             return held[copy]
 
@@ -270,24 +292,89 @@ def shared_pairs(documents: DataFrame, span: int = 200, gram: int = 130) -> Data
     return ordered.select(F.least("one", "two").alias("doc_id_a"), F.greatest("one", "two").alias("doc_id_b")).distinct()
 
 
+def _runs_of(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the unions of [p, p + length) over sorted places."""
+    if not len(places):
+        return places, places
+    cuts = np.flatnonzero(np.diff(places) > length)
+    return places[np.r_[0, cuts + 1]], places[np.r_[cuts, len(places) - 1]] + length
+
+
+def _marked(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any [start, stop)."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.clip(starts, 0, n), 1)
+    np.add.at(steps, np.clip(stops, 0, n), -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def _shared_intervals(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, start, stop): stretches of texts, by 64-bit key, that other texts hold in runs of `span` code points or more."""
+    reach = span - gram
+    lists = durable(_several(_anchored(documents, span, gram), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
+    texts = _keyed(documents, span).join(_checked(lists.select("key")), "key", "left_semi").dropDuplicates(["key"])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shared anchors with the hash of the `reach` code points before, themselves and the `reach` after; null where a text ends before."""
+        short, long = Rolling(gram), Rolling(gram + 2 * reach)
+        for batch in batches:
+            for key, text, given in zip(*batch.columns):
+                points = codes(text.as_py())
+                small, large = short(points).view(np.int64), long(points).view(np.int64)
+                at = np.flatnonzero(np.isin(small, given.values.to_numpy()))
+                cut = (at < reach) | (at - reach >= len(large))
+                whole = np.zeros(len(at), np.int64)
+                whole[~cut] = large[at[~cut] - reach]
+                yield pa.record_batch([pa.array(np.full(len(at), key.as_py())), pa.array(small[at]), pa.array(whole, mask=cut)], ["key", "anchor", "whole"])
+
+    rows = durable(texts.join(lists, "key").select("key", "text", "anchors").mapInArrow(around, "key bigint, anchor bigint, whole bigint").distinct())
+    sure = durable(rows.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("whole", F.lit(True).alias("sure")))
+    judged = durable(rows.join(sure, "whole", "left"))
+    # An anchor that is not sure somewhere is asked for by all that hold it, or no one would answer.
+    doubtful = judged.join(_checked(judged.where("sure IS NULL").select("anchor").distinct()), "anchor", "left_semi")
+    known = judged.where("sure").groupBy("key").agg(F.collect_set("whole").alias("wholes"))
+    asking = doubtful.groupBy("key").agg(F.collect_set("anchor").alias("doubts"))
+    held = durable(known.join(asking, "key", "full_outer"))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches that are known to be shared (stop is set), and the grams to ask for (hash is set)."""
+        short, long, full = Rolling(gram), Rolling(gram + 2 * reach), Rolling(span)
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            for key, text, wholes, doubts in zip(*batch.columns):
+                points = codes(text.as_py())
+                sure = np.flatnonzero(np.isin(long(points).view(np.int64), wholes.values.to_numpy())) if wholes.is_valid else none
+                starts, stops = _runs_of(sure, gram + 2 * reach)
+                grams, ask = full(points).view(np.int64), none
+                if doubts.is_valid:
+                    small, given = short(points), doubts.values.to_numpy()
+                    at = np.flatnonzero(np.isin(small.view(np.int64), given))
+                    ask = np.flatnonzero(np.isin(window_least(small, reach + 1).view(np.int64), given) & _marked(len(grams), at - reach, at + 1))
+                n, m = len(starts), len(ask)
+                known = np.r_[np.ones(n, bool), np.zeros(m, bool)]
+                columns = [pa.array(np.full(n + m, key.as_py())), pa.array(np.r_[starts, ask].astype(np.int32)), pa.array(np.r_[stops, ask].astype(np.int32), mask=~known), pa.array(np.r_[np.zeros(n, np.int64), grams[ask]], mask=known)]
+                yield pa.record_batch(columns, ["key", "start", "stop", "hash"])
+
+    schema = "key bigint, start int, stop int, hash bigint"
+    found = durable(texts.join(held, "key").select("key", "text", "wholes", "doubts").mapInArrow(apart, schema))
+    asked = _several(found.where("hash IS NOT NULL").select("hash", "key", "start"), "hash")
+    return found.where("stop IS NOT NULL").select("key", "start", "stop").unionByName(asked.select("key", "start", (F.col("start") + span).alias("stop")))
+
+
 def shared_share(documents: DataFrame, span: int = 200, gram: int = 130) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, shared_ratio, partners) of each distinct record with a text that isn't null.
+    """(doc_id, n_chars, shared_chars, shared_ratio) of each distinct record with a text that isn't null.
 
     `shared_chars` counts the code points that lie in a run of `span` or more which another record
-    also holds; `partners` counts the other texts that share one with it. A text with a copy under another id is shared wholly.
+    also holds; a text with a copy under another id is shared wholly. No pairs are made, so a passage of
+    any number of records costs as much as so many different ones; `shared_pairs` has the partners.
+    Equal hashes of 64 bits are taken for equal runs.
     """
-    runs = durable(shared_runs(documents, span, gram))
-    sides = runs.select(F.col("a").alias("copy"), F.col("in_a").alias("spans")).union(runs.select("b", "in_b"))
-    partners = sides.groupBy("copy").agg(F.count(F.lit(1)).alias("links"))
-    each = sides.select("copy", F.explode("spans").alias("s")).select("copy", "s.start", "s.stop").distinct()
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("copy").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0)))
-    chars = each.withColumn("fresh", F.greatest(F.lit(0), fresh)).groupBy("copy").agg(F.sum("fresh").alias("chars"))
+    chars = _shared_intervals(documents, span, gram).withColumn("fresh", F.greatest(F.lit(0), fresh)).groupBy("key").agg(F.sum("fresh").alias("chars"))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("copy"), F.length("text").cast("bigint").alias("n_chars")).distinct()
-    copies = rows.where(F.col("n_chars") >= span).groupBy("copy").agg(F.countDistinct("doc_id").alias("holders"))
-    joined = rows.join(copies, "copy", "left").join(chars, "copy", "left").join(partners, "copy", "left")
-    shared = F.when(F.col("holders") > 1, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint")
-    return joined.select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(shared / F.col("n_chars"), 6)).otherwise(0.0).alias("shared_ratio"), F.coalesce("links", F.lit(0)).cast("bigint").alias("partners"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").cast("bigint").alias("n_chars")).distinct()
+    copies = rows.where(F.col("n_chars") >= span).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", F.lit(True).alias("copied"))
+    joined = rows.join(copies, "key", "left").join(chars, "key", "left")
+    shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint")
+    return joined.select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(shared / F.col("n_chars"), 6)).otherwise(0.0).alias("shared_ratio"))
