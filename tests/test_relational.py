@@ -105,6 +105,23 @@ def test_link_mentions(spark):
     assert [(r.mention_id, r.sent_idx, r.entity_id) for r in mentions.link_mentions(links, humans, sentences).collect()] == [("1:0:5", 0, "Q7085")]
 
 
+def test_names_and_counts_of_links(spark):
+    links = spark.createDataFrame([(1, 0, 5, 9, "Bohr", "N Bohr"), (1, 0, 21, 25, "gap", "N Bohr"), (1, 0, 6, 9, "x", "City"), (1, 0, 24, 26, "Ann", "Ann Lee")], "doc_id int, section_idx int, start int, end int, surface string, target_title string")
+    sentences = spark.createDataFrame([(1, 0, 0, 0, 20), (1, 0, 1, 22, 40)], "doc_id int, section_idx int, sent_idx int, start int, end int")
+    cache = spark.createDataFrame([("N Bohr", "Niels Bohr", "Q7", True), ("N Bohr", "Bohr", "Q7", True), ("Ann Lee", "", "Q8", True), ("City", "City", "Q9", False)], "title string, resolved_title string, qid string, is_human boolean")
+    found = mentions.person_links(links, resolve.human_index(cache), sentences)
+    assert tuple(mentions.link_counts(links, found).first()) == (1, 1)
+    rolled = mentions.roll_up(mentions.as_mentions(found), spark.createDataFrame([], "qid string")).collect()
+    assert {r.entity_id: r.canonical_name for r in rolled} == {"Q7": "Niels Bohr", "Q8": "Ann Lee"}
+
+
+def test_limit_keeps_the_most_frequent_titles(spark):
+    rows = [(1, n, t) for n, t in enumerate("zzbbbac")]
+    frequency = resolve.target_frequency(spark.createDataFrame(rows, "doc int, n int, target_title string"), ["doc", "n"])
+    assert [(r.title, r.link_instances) for r in resolve.most_frequent(frequency, 3).collect()] == [("b", 3), ("z", 2), ("a", 1)]
+    assert resolve.most_frequent(frequency, 0).count() == 0 and resolve.most_frequent(frequency, None).count() == 4
+
+
 def test_estimate_of_nothing_and_something(spark):
     df = spark.createDataFrame([(10, 20), (20, 80), (0, 5)], "plain int, rich int")
     r = fetching.size_estimate(df, "plain", "rich").first()

@@ -5,6 +5,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from tiesmith.operators import resolve
 from tiesmith.sources import jsonl, runs, wiki
 
 
@@ -48,9 +49,38 @@ def test_long_queries_go_by_post_and_broken_answers_are_seen():
     c.sparql("q" * 3000)
     c.sparql("q")
     assert [m for m, *_ in t.asked] == ["POST", "GET"]
-    for body in ('{"results": {"bindings": [{"x"', '{"results": {"bindings": []}} java.util.concurrent.TimeoutException'):
+    for body in ('{"results": {"bindings": [{"x"\nSPARQL-QUERY: queryStr=q', '{"results": {"bindings": []}} java.util.concurrent.TimeoutException'):
         with pytest.raises(wiki.QueryTruncated):
             client(lambda *_, body=body: wiki.Answer(200, body, {}))[0].sparql("q")
+    for body in ('{"results": {"bindings": [{"x"', "[]", '{"results": 1}', "<html>"):
+        with pytest.raises(wiki.WikiError, match="no answer") as error:
+            client(lambda *_, body=body: wiki.Answer(200, body, {}))[0].sparql("q")
+        assert not isinstance(error.value, wiki.QueryTruncated)
+
+
+def test_connection_errors_are_tried_again():
+    answers = [ConnectionError("down"), TimeoutError("slow"), wiki.Answer(400, "", {}), {"results": {"bindings": []}}]
+
+    def answer(*_):
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    c, t, clock = client(answer)
+    assert c.sparql("q") == [] and len(t.asked) == 4 and {1.0, 2.0, 4.0} <= set(clock["slept"])
+    answers[:] = [ConnectionError("down")] * 3
+    with pytest.raises(wiki.WikiError, match="gave up after 3 tries.*down"):
+        client(answer, tries=3)[0].page_html("X")
+
+
+def test_steps_and_items(spark):
+    found = {"query": {"normalized": [{"from": "a_b", "to": "A b"}, {"from": "t", "to": "T"}], "redirects": [{"from": "A b", "to": "C"}, {"from": "t", "to": "U"}], "pages": [{"title": "C", "pageprops": {"wikibase_item": "Q3"}}, {"title": "U"}, {"title": "T", "pageprops": {"wikibase_item": "Q9"}}]}}
+    c, *_ = client(lambda *_: found)
+    steps = spark.createDataFrame([tuple(s.values()) for s in c.page_steps(["a_b", "t", "x"])], "kind string, source string, target string")
+    titles = spark.createDataFrame([("a_b",), ("t",), ("x",)], "title string")
+    got = {(r.title, r.resolved_title, r.qid) for r in resolve.items_of_titles(titles, steps).collect()}
+    assert got == {("a_b", "C", "Q3"), ("t", "U", None), ("x", "x", None)} == {tuple(r.values()) for r in c.page_props(["a_b", "t", "x"])}
 
 
 def test_halving_asks_each_id_once():
@@ -78,6 +108,7 @@ def test_titles_and_pages():
 
     c, t, _ = client(answer)
     assert [(r["title"], r["resolved_title"], r["length"]) for r in c.page_info(["a_b", "D"])] == [("a_b", "C", 5), ("D", "D", None)]
+    assert [(r["redirected_from"], r["lastrevid"], r["missing"]) for r in c.page_info(["a_b", "D"])] == [("A b", None, False), (None, None, True)]
     assert list(c.page_props(["a_b", "x"])) == [{"title": "a_b", "resolved_title": "C", "qid": "Q3"}, {"title": "x", "resolved_title": "x", "qid": None}]
     page = c.page_html("A b/c")
     assert (page.revision_id, page.html.decode(), page.url.endswith("title=A_b/c&oldid=77")) == (77, "<p>é", True) and t.asked[-1][1].endswith("A_b%2Fc")
@@ -122,12 +153,27 @@ def test_manifests_and_layers(tmp_path):
     (tmp_path / "v.json").write_text('{"corpus": "0.0.2"}')
     versions = runs.load_versions(tmp_path / "v.json")
     assert runs.layer_dir("corpus", tmp_path, versions) == tmp_path / "corpus" / "0.0.2"
+    assert runs.load_versions(tmp_path / "v.json", {"corpus"}) == versions
+    with pytest.raises(KeyError, match="graph"):
+        runs.load_versions(tmp_path / "v.json", {"corpus", "graph"})
+    with pytest.raises(ValueError, match="corpus"):
+        runs.load_versions(tmp_path / "v.json", set())
     with pytest.raises(KeyError):
         runs.layer_dir("graph", tmp_path, versions)
     with pytest.raises(ValueError, match="unknown"):
         runs.layer_dir("graph", tmp_path, versions, {"corpus"})
 
 
+def test_manifests_on_any_file_system(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    (tmp_path / "one").write_text("x")
+    uri = tmp_path.as_uri()
+    path = runs.write_manifest(f"{uri}/out", stage="seed", config={}, counts={}, inputs={"t": f"{uri}/t.parquet", "one": f"{uri}/one", "none": f"{uri}/none"}, spec="s1", spark=spark)
+    held = json.loads((tmp_path / "out" / "_manifest.seed.json").read_text())
+    assert path == f"{uri}/out/_manifest.seed.json" and held["spec"] == "s1" and held["inputs"]["none"]["sha256"] is None
+    assert held["inputs"]["t"]["sha256"] == runs.file_hash(tmp_path / "t.parquet") and held["inputs"]["one"]["sha256"] == runs.file_hash(tmp_path / "one")
+
+
 GOOD = {"type_id": "mentor", "label": "m", "definition": "d", "direction": "directed", "cluster_ids": [0, 2], "clustering_run_id": "r", "wikidata_properties": ["P184"], "examples": ["e"]}
 
 
@@ -136,11 +182,13 @@ def test_typology(spark, tmp_path):
     path.write_text(yaml.safe_dump([GOOD]))
     types = runs.load_typology(path)
     table = runs.typology_table(spark, types)
+    path.write_text(yaml.safe_dump([GOOD | {"direction": "symmetric"}]))
+    assert runs.load_typology(path)[0].direction == "symmetric"
     summary = spark.createDataFrame([(0, "r"), (2, "r")], "cluster_id int, clustering_run_id string")
     runs.require_clusters(table, summary)
     with pytest.raises(runs.TypologyError, match="mentor: 2"):
         runs.require_clusters(table, summary.where("cluster_id = 0"))
-    for bad in [{"direction": "up"}, {"cluster_ids": [True]}, {"cluster_ids": []}, {"label": " "}, {"wikidata_properties": ["184"]}, {"wikidata_properties": ["P1\n"]}, {"examples": "e"}]:
+    for bad in [{"direction": "up"}, {"direction": "undirected"}, {"cluster_ids": [True]}, {"cluster_ids": []}, {"label": " "}, {"wikidata_properties": ["184"]}, {"wikidata_properties": ["P1\n"]}, {"examples": "e"}]:
         path.write_text(yaml.safe_dump([GOOD | bad]))
         with pytest.raises(runs.TypologyError):
             runs.load_typology(path)

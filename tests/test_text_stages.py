@@ -61,6 +61,37 @@ def test_splitters_plug_in(spark):
     assert [r.text for r in segment.segment(df, by_bar).orderBy("sent_idx").collect()] == ["ab", "cd"]
 
 
+def test_counts_of_units(spark):
+    df = spark.createDataFrame([(1, 0, "A [b. Cc] d. Eee.\n\nNext."), (1, 1, "One."), (2, 0, ""), (3, 0, None)], "doc_id int, section_idx int, text string")
+    row = segment.segment_counts(segment.units(df)).first()
+    assert (row.documents, row.sections, row.paragraphs, row.sentences, row.merges) == (1, 2, 3, 4, 1)
+    with pytest.raises(Exception, match="a sentence from"):
+        segment.segment(df, segment.splitter(lambda t: [(0, 1), (0, 2)])).collect()
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    import time
+
+    long = "It was cold [so they said. Nobody minded] and Dr. Bo left. " * 170_000  # 10 MB in one paragraph
+    df = spark.createDataFrame([(1, 0, long)], "doc_id int, section_idx int, text string")
+    began = time.time()
+    assert segment.segment(df).count() == 170_000
+    t = assemble.tokens(F.col("text"), F.array(F.lit("it"), F.lit("was")))
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(5_000_000).alias("end")))
+    row = df.select(assemble.coverage(t, spans).alias("c"), F.size(assemble.uncovered(F.col("text"), t, spans)).alias("n")).first()
+    assert 0.4 < row.c < 0.6 and row.n == 1
+    assert df.select(F.size(segment.paragraphs(F.repeat(F.lit("a b\n\n"), 500_000))).alias("n")).first().n == 500_000
+    assert time.time() - began < 60
+
+
+def test_deep_trees_take_time_in_proportion(spark):
+    n = 100_000
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.cast("int").alias("i"), (2 * i).cast("int").alias("idx"), F.lit("x").alias("text"), F.greatest(i - 1, F.lit(0)).cast("int").alias("head")))
+    place = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    row = spark.range(1).select(attributes.between(tokens, place(0, 2 * n), place(2 * n - 40, 2 * n)).alias("s")).first().s
+    assert (row.start, row.end) == (0, 2 * (n - 20) + 1)
+
+
 def test_paragraph_offsets(spark):
     rows = spark.createDataFrame([("a\n\n\U0001f600b\n\n\n\nc",)], "t string").select(F.explode(segment.paragraphs(F.col("t"))).alias("p")).select("p.*").collect()
     assert [(r.idx, r.start, r.text) for r in rows] == [(0, 0, "a"), (1, 3, "\U0001f600b"), (3, 9, "c")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +20,6 @@ def valid(span: Column, text: Column) -> Column:
     return (span["start"] >= 0) & (span["start"] < span["end"]) & (span["end"] <= F.length(text))
 
 
-def inside(position: Column, spans: Column) -> Column:
-    """Whether a position lies in any span."""
-    return F.exists(spans, lambda s: (s["start"] <= position) & (position < s["end"]))
-
-
 def mask(text: Column, spans: Column, names: Column, placeholder: str = PLACEHOLDER) -> Column:
     """Spans, from right to left and each once, then whole-word names, the longest first, give way to the placeholder.
 
@@ -37,20 +35,36 @@ def mask(text: Column, spans: Column, names: Column, placeholder: str = PLACEHOL
     return F.aggregate(order, hidden, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), literal(n["name"]), F.lit(r"(?![\p{L}\p{N}_])")), F.lit(placeholder)))
 
 
+def runs(row: np.ndarray, hit: np.ndarray, bridge: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last number of each run of marked tokens with at most `bridge` others between two; `row` says whose they are."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at, at
+    fresh = np.flatnonzero((row[at][1:] != row[at][:-1]) | (np.diff(at) - 1 > bridge)) + 1
+    return at[np.r_[0, fresh]], at[np.r_[fresh - 1, len(at) - 1]]
+
+
+def owners(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of `lists.flatten()`."""
+    return np.repeat(np.arange(len(lists)), np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))
+
+
+def field(lists: pa.ListArray, name: str) -> np.ndarray:
+    return lists.flatten().field(name).to_numpy(zero_copy_only=False)
+
+
 def islands(tokens: Column, bridge: int = 2) -> Column:
     """Runs of marked tokens with at most `bridge` others between two: array<struct<start,end>>.
 
-    `tokens` is array<struct<start,end,hit>> in order; the fold carries the runs and the gap since the last hit.
+    `tokens` is array<struct<start,end,hit>> in order.
     """
-    kind = "struct<runs:array<struct<start:int,end:int>>,gap:int>"
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.lit(1 << 20).alias("gap")).cast(kind)
-
-    def step(state: Column, t: Column) -> Column:
-        last = F.element_at(state["runs"], -1)
-        new = F.concat(state["runs"], F.array(F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"))))
-        longer = F.concat(F.slice(state["runs"], 1, F.greatest(F.size(state["runs"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), t["end"].cast("int").alias("end"))))
-        runs = F.when(t["hit"], F.when(state["gap"] <= bridge, longer).otherwise(new)).otherwise(state["runs"])
-        gap = F.when(t["hit"], 0).otherwise(F.least(state["gap"] + 1, F.lit(1 << 20)))
-        return F.struct(runs.alias("runs"), gap.cast("int").alias("gap")).cast(kind)
-
-    return F.aggregate(tokens, zero, step, lambda s: s["runs"])
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(given: pa.Array) -> pa.Array:
+        row = owners(given)
+        first, last = runs(row, field(given, "hit").astype(bool), bridge)
+        counts = np.bincount(row[first], minlength=len(given)) if len(first) else np.zeros(len(given), np.int64)
+        found = pa.StructArray.from_arrays([pa.array(field(given, "start")[first].astype(np.int32)), pa.array(field(given, "end")[last].astype(np.int32))], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), found)
+
+    return run(tokens)

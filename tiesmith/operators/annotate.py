@@ -7,7 +7,7 @@ The default annotator is a set of rules and only approximates a statistical mode
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,10 +17,11 @@ from tiesmith.schemas import ENTITIES, TOKENS
 
 # Words without content of their own.
 STOP = set(
-    "a about after again against all also although am among an and another any are as at be because been before being below between beyond both but by can could did do does down during each either else every "
-    "few for from further had has have he her here hers herself him himself his how i if in into is it its itself just may me might more most much must my neither no nobody nor not nothing now of off often on once "
-    "one only or other our out over own per same several she should since so some such than that the their them then there these they this those through to too toward under until up upon us very was we were what "
-    "when where whether which while who whom whose why will with within without would yet you your".split()
+    "a about above across after afterwards again against all almost alone along already also although always am among an and another any anyone anything are around as at be became because become been before behind being below beside "
+    "besides between beyond both but by can cannot could did do does doing done down during each either else ever every everyone few for former from further get give had has have he hence her here hers herself him himself his how however "
+    "i if in into is it its itself just last least less made make many may me might mine more most much must my myself neither never no nobody none nor not nothing now of off often on once one only onto or other others our ours out over own "
+    "per perhaps put quite rather same see seem several she should since so some such than that the their theirs them then there these they this those through thus to together too toward under until up upon us very via was we well were "
+    "what when where whether which while who whom whose why will with within without would yet you your yours".split()
 )
 # Words by which institutions and dates are known.
 INSTITUTIONS = {"university", "institute", "college", "laboratory", "academy", "observatory", "museum", "polytechnic", "society", "school", "council", "company", "hospital"}
@@ -31,9 +32,12 @@ _NAMES = re.compile(r"\b(?:[A-ZÀ-Þ][\w'’-]*)(?:(?: (?:of|for|the|and|de|von)
 _PLACE = re.compile(r"\b(?:in|at|from|near|to|of) $")
 
 
-def by_rule(text: str) -> tuple[list[dict], list[dict]]:
-    """(tokens, named spans) of one sentence. Every word hangs on the first verb-like word, modifiers on the next word."""
-    tokens = [{"i": i, "idx": m.start(), "text": m[0], "head": 0, "is_space": m[0].isspace(), "is_stop": m[0].lower() in STOP, "is_punct": not m[0].isspace() and not any(c.isalnum() for c in m[0])} for i, m in enumerate(_TOKEN.finditer(text))]
+def by_rule(text: str, stop: Collection[str] = STOP) -> tuple[list[dict], list[dict]]:
+    """(tokens, named spans) of one sentence. Every word hangs on the first verb-like word, modifiers on the next word.
+
+    Another list of stop words goes in by `functools.partial(by_rule, stop=...)`.
+    """
+    tokens = [{"i": i, "idx": m.start(), "text": m[0], "head": 0, "is_space": m[0].isspace(), "is_stop": m[0].lower() in stop, "is_punct": not m[0].isspace() and not any(c.isalnum() for c in m[0])} for i, m in enumerate(_TOKEN.finditer(text))]
     words = [t for t in tokens if not t["is_space"] and not t["is_punct"]]
     verbs = [t for t in words if not t["is_stop"] and t["text"][0].islower() and re.search(r"(?:ed|wrote|built|met|taught|led|won|held|left|found)$", t["text"])]
     root = (verbs or [t for t in words if not t["is_stop"]] or tokens or [{"i": 0}])[0]["i"]

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiesmith.functions.spans import inside, islands
+from tiesmith.functions.spans import field, owners, runs
 
 LEAST_COVERAGE, BRIDGE = 0.5, 2
 ATTRIBUTE = "array<struct<attr_type:string,value:string,span:struct<start:int,end:int>,source:string>>"
 SPANS = "array<struct<start:int,end:int>>"
 
 
+PARTS = "array<struct<start:int,end:int,content:boolean>>"
+
+
 def tokens(text: Column, stop: Column) -> Column:
-    """array<struct<start,end,content>>: parts between blanks, in the JVM; content unless it is a stop word or without letter and digit."""
-    parts = F.split(text, " ")
-    step = lambda s, p: F.struct(
-        F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), (p.rlike(r"[\p{L}\p{N}]") & ~F.array_contains(stop, F.lower(p))).alias("content")))).alias("out"),
-        (s["at"] + F.length(p) + 1).alias("at"),
-    )
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int,content:boolean>>").alias("out"), F.lit(0).alias("at"))
-    return F.filter(F.aggregate(parts, zero, step, lambda s: s["out"]), lambda t: t["end"] > t["start"])
+    """array<struct<start,end,content>>: parts between blanks; content unless it is a stop word or without letter and digit."""
+
+    @F.arrow_udf(PARTS)
+    def run(texts: pa.Array, stops: pa.Array) -> pa.Array:
+        sets: dict[tuple, set] = {}
+        sizes, rows = [], ([], [], [])
+        for t, given in zip(texts.to_pylist(), stops.to_pylist()):
+            words = sets.setdefault(tuple(given or ()), set(given or ()))
+            at = n = 0
+            for part in (t or "").split(" "):
+                if part:
+                    for column, value in zip(rows, (at, at + len(part), any(map(str.isalnum, part)) and part.lower() not in words)):
+                        column.append(value)
+                    n += 1
+                at += len(part) + 1
+            sizes.append(n)
+        found = pa.StructArray.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.bool_())], ["start", "end", "content"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), found)
+
+    return run(text, stop)
 
 
 def content(parsed: Column) -> Column:
@@ -29,16 +46,46 @@ def content(parsed: Column) -> Column:
     return F.transform(kept, lambda t: F.struct(t["idx"].alias("start"), (t["idx"] + F.length(t["text"])).alias("end"), (~t["is_stop"] & ~t["is_punct"]).alias("content")))
 
 
+def _covered(parts: pa.ListArray, spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, content, covered) of each token: covered if it starts in a span of its row. Sorted spans are searched, all rows at once."""
+    row, base = owners(parts), np.int64(1) << 32
+    whose, start, end = owners(spans), field(spans, "start"), field(spans, "end")
+    good = ~(np.isnan(start.astype(float)) | np.isnan(end.astype(float)))
+    begins, ends = whose[good] * base + start[good].astype(np.int64), whose[good] * base + end[good].astype(np.int64)
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    place = row * base + field(parts, "start").astype(np.int64)
+    at = np.searchsorted(begins, place, "right") - 1
+    covered = (at >= 0) & (ends[np.maximum(at, 0)] > place) if len(ends) else np.zeros(len(row), bool)
+    return row, field(parts, "content").astype(bool), covered
+
+
 def coverage(parts: Column, spans: Column) -> Column:
     """Share of content tokens that start in a span; 1.0 if there are none."""
-    counted = F.filter(parts, lambda t: t["content"])
-    return F.when(F.size(counted) == 0, 1.0).otherwise(F.size(F.filter(counted, lambda t: inside(t["start"], spans))) / F.size(counted))
+
+    @F.arrow_udf("double")
+    def run(parts: pa.Array, spans: pa.Array) -> pa.Array:
+        row, content, covered = _covered(parts, spans)
+        every, held = (np.bincount(row[x], minlength=len(parts)) for x in (content, content & covered))
+        return pa.array(np.where(every > 0, held / np.maximum(every, 1), 1.0))
+
+    return run(parts, spans)
 
 
 def uncovered(text: Column, parts: Column, spans: Column, bridge: int = BRIDGE) -> Column:
     """Texts of the runs of content tokens outside all spans, bridged over at most `bridge` other tokens."""
-    hits = F.transform(parts, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), (t["content"] & ~inside(t["start"], spans)).alias("hit")))
-    return F.transform(islands(hits, bridge), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, parts: pa.Array, spans: pa.Array) -> pa.Array:
+        row, content, covered = _covered(parts, spans)
+        first, last = runs(row, content & ~covered, bridge)
+        start, end, held = field(parts, "start"), field(parts, "end"), texts.to_pylist()
+        out: list[list[str]] = [[] for _ in held]
+        for r, s, e in zip(row[first].tolist(), start[first].tolist(), end[last].tolist()):
+            out[r].append((held[r] or "")[int(s) : int(e)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(text, parts, spans)
 
 
 def gathered(spans: DataFrame, key: str) -> DataFrame:
@@ -61,7 +108,7 @@ def relations(located: DataFrame, spans: DataFrame, annotated: DataFrame | None,
     else:
         joined = joined.withColumn("_t", tokens(F.col("sentence"), F.array(*[F.lit(w) for w in stop or []]).cast("array<string>")))
     empty = F.array().cast(ATTRIBUTE)
-    joined = joined.withColumn("attributes", F.concat(F.coalesce("_s", empty), F.coalesce("_c", empty))).withColumn("_t", F.coalesce("_t", F.array().cast("array<struct<start:int,end:int,content:boolean>>")))
+    joined = joined.withColumn("attributes", F.concat(F.coalesce("_s", empty), F.coalesce("_c", empty))).withColumn("_t", F.coalesce("_t", F.array().cast(PARTS)))
     place = lambda p: F.when(F.col(p).isNotNull(), F.array(F.struct(F.col(f"{p}.start").alias("start"), F.col(f"{p}.end").alias("end")))).otherwise(F.array()).cast(SPANS)
     held = F.concat(F.filter(F.transform("attributes", lambda a: a["span"]), lambda s: s.isNotNull()).cast(SPANS), place("head"), place("tail"))
     joined = joined.withColumn("_spans", held)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +36,67 @@ def locate_participant(text: Column, span: Column, sentence_start: Column, name:
     return F.when(span.isNotNull(), given).otherwise(F.coalesce(named, spoken))
 
 
-def _chain(tokens: Column, start: Column) -> Column:
-    """Token numbers from `start` up to the root."""
-    step = lambda c, _: F.when(F.get(tokens, F.element_at(c, -1))["head"] == F.element_at(c, -1), c).otherwise(F.concat(c, F.array(F.get(tokens, F.element_at(c, -1))["head"])))
-    return F.aggregate(F.sequence(F.lit(1), F.size(tokens)), F.array(start), step, lambda c: F.array_distinct(c))
+def _chain(heads: list[int], at: int) -> list[int]:
+    """Token numbers from `at` up to the root; a circle is gone round once."""
+    out: dict[int, None] = {}
+    while at is not None and 0 <= at < len(heads) and at not in out:
+        out[at] = None
+        at = heads[at]
+    return list(out)
+
+
+def _depth(heads: list[int], at: int, depths: dict[int, int]) -> int:
+    """Tokens from `at` to the root, both counted; what is known already is not walked again."""
+    walked: dict[int, None] = {}
+    while at is not None and 0 <= at < len(heads) and at not in walked and at not in depths:
+        walked[at] = None
+        at = heads[at]
+    under = 0 if at in walked else depths.get(at, 0)
+    for k, x in enumerate(reversed(walked), 1):
+        depths[x] = under + k
+    return under + len(walked)
+
+
+def _root(tree: list[dict], start: int | None, end: int | None, depths: dict[int, int]) -> int | None:
+    """Number of the token of a span nearest to the root, the lowest of equals."""
+    if start is None or end is None:
+        return None
+    heads = [t["head"] for t in tree]
+    best = min(((depths[i] if i in depths else _depth(heads, i, depths), i) for i, t in enumerate(tree) if t["start"] < end and t["end"] > start), default=None)
+    return best and best[1]
+
+
+def _path(tree: list[dict], head: int | None, tail: int | None) -> dict | None:
+    """From the leftmost to the rightmost token on the path between two tokens; None if their chains never meet."""
+    if head is None or tail is None:
+        return None
+    heads = [t["head"] for t in tree]
+    a, b = _chain(heads, head), _chain(heads, tail)
+    above = {x: k for k, x in enumerate(b)}
+    k = next((k for k, x in enumerate(a) if x in above), None)
+    if k is None:
+        return None
+    on = [tree[x] for x in [*a[: k + 1], *b[: above[a[k]]]]]
+    return {"start": min(t["start"] for t in on), "end": max(t["end"] for t in on)}
+
+
+SPAN = "struct<start:int,end:int>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+
+def tree(tokens: Column) -> Column:
+    """What paths need of annotated tokens: array<struct<start,end,head>>."""
+    return F.transform(tokens, lambda t: F.struct(t["idx"].alias("start"), (t["idx"] + F.length(t["text"])).cast("int").alias("end"), t["head"].alias("head")))
 
 
 def span_root(tokens: Column, start: Column, end: Column) -> Column:
     """Number of the token of a span nearest to the root of the sentence, the lowest of equals; null if none touches it."""
-    inside = F.filter(tokens, lambda t: (t["idx"] < end) & (t["idx"] + F.length(t["text"]) > start))
-    ranked = F.transform(inside, lambda t: F.struct(F.size(_chain(tokens, t["i"])).alias("depth"), t["i"].alias("i")))
-    return F.array_min(ranked)["i"]
+
+    @F.arrow_udf("int")
+    def run(trees: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([_root(t or [], s, e, {}) for t, s, e in zip(trees.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.int32())
+
+    return run(tree(tokens), start, end)
 
 
 def path_span(tokens: Column, head: Column, tail: Column) -> Column:
@@ -53,13 +104,26 @@ def path_span(tokens: Column, head: Column, tail: Column) -> Column:
 
     `head` and `tail` are token numbers; null where a participant has none or their chains never meet.
     """
-    a, b = _chain(tokens, head), _chain(tokens, tail)
-    joint = F.get(F.filter(a, lambda t: F.array_contains(b, t)), F.lit(0))
-    path = F.array_distinct(F.concat(F.slice(a, 1, F.array_position(a, joint).cast("int")), F.slice(b, 1, F.array_position(b, joint).cast("int"))))
-    on = F.transform(path, lambda i: F.get(tokens, i))
-    start = F.array_min(F.transform(on, lambda t: t["idx"]))
-    end = F.array_max(F.transform(on, lambda t: t["idx"] + F.length(t["text"])))
-    return F.when(joint.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+    @F.arrow_udf(SPAN)
+    def run(trees: pa.Array, heads: pa.Array, tails: pa.Array) -> pa.Array:
+        return pa.array([_path(t or [], h, o) for t, h, o in zip(trees.to_pylist(), heads.to_pylist(), tails.to_pylist())], _SPAN)
+
+    return run(tree(tokens), head, tail)
+
+
+def between(tokens: Column, head: Column, tail: Column) -> Column:
+    """struct<start,end> of the path between the roots of two spans in one pass over the tokens."""
+
+    @F.arrow_udf(SPAN)
+    def run(trees: pa.Array, *places: pa.Array) -> pa.Array:
+        out = []
+        for t, a, b, c, d in zip(trees.to_pylist(), *(p.to_pylist() for p in places)):
+            depths: dict[int, int] = {}
+            out.append(_path(t or [], _root(t or [], a, b, depths), _root(t or [], c, d, depths)))
+        return pa.array(out, _SPAN)
+
+    return run(tree(tokens), head["start"], head["end"], tail["start"], tail["end"])
 
 
 def with_participants(candidates: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -81,8 +145,7 @@ def with_participants(candidates: DataFrame, entities: DataFrame, sentences: Dat
 def action_spans(located: DataFrame, annotated: DataFrame) -> DataFrame:
     """Action rows of candidates whose participants and path are found; candidates without annotated sentence are skipped."""
     both = located.join(annotated.select("sentence_id", "tokens"), "sentence_id").where("head IS NOT NULL AND tail IS NOT NULL")
-    roots = both.withColumn("_h", span_root(F.col("tokens"), F.col("head.start"), F.col("head.end"))).withColumn("_t", span_root(F.col("tokens"), F.col("tail.start"), F.col("tail.end")))
-    spans = roots.where("_h IS NOT NULL AND _t IS NOT NULL").withColumn("span", path_span(F.col("tokens"), F.col("_h"), F.col("_t"))).where("span IS NOT NULL")
+    spans = both.withColumn("span", between(F.col("tokens"), F.col("head"), F.col("tail"))).where("span IS NOT NULL")
     value = F.substring(F.col("sentence"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
     pronoun = (F.col("head.method") == "pronoun") | (F.col("tail.method") == "pronoun")
     return spans.select("sentence_id", "candidate_id", F.lit("action").alias("attr_type"), value.alias("value"), "span", F.lit("dependency").alias("detector"), pronoun.alias("pronoun_resolved"))

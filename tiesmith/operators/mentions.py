@@ -28,31 +28,55 @@ def locate(points: DataFrame, intervals: DataFrame, by: list[str], at: str, keep
     return out.select(*points.columns, *[F.col(f"_v_{k}").alias(k) for k in keep])
 
 
-def link_mentions(links: DataFrame, humans: DataFrame, sentences: DataFrame) -> DataFrame:
-    """One row for each link to a person that starts within a sentence.
+def person_links(links: DataFrame, humans: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The links to people with `entity_id`, `name` and the `sent_idx` of the sentence they start in, null where there is none.
 
-    links: doc_id, section_idx, start, end, surface, target_title; humans: title, qid; sentences: the
-    sentence key with start and end. The start alone decides; a link may reach beyond its sentence.
+    links: doc_id, section_idx, start, end, surface, target_title; humans: title, qid and, if it is known, resolved_title;
+    sentences: the sentence key with start and end. The start alone decides; a link may reach beyond its sentence.
     """
-    people = links.join(humans.select(F.col("title").alias("target_title"), F.col("qid").alias("entity_id")), "target_title")
-    found = locate(people, sentences, ["doc_id", "section_idx"], "start", ["sent_idx"]).where("sent_idx IS NOT NULL")
+    title = F.col("title")
+    name = F.coalesce(F.nullif("resolved_title", F.lit("")), title) if "resolved_title" in humans.columns else title
+    people = links.join(humans.select(title.alias("target_title"), F.col("qid").alias("entity_id"), name.alias("name")), "target_title")
+    return locate(people, sentences, ["doc_id", "section_idx"], "start", ["sent_idx"])
+
+
+def as_mentions(found: DataFrame) -> DataFrame:
+    """Mentions of the rows of `person_links` that lie in a sentence."""
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("section_idx").cast("string"), F.col("start").cast("string"))
-    return found.select(name.alias("mention_id"), *SENTENCE, "start", "end", "surface", "entity_id", F.lit("link").alias("mention_type"), F.lit("wikilink").alias("link_method"), F.lit(1.0).alias("confidence"))
+    return found.where("sent_idx IS NOT NULL").select(name.alias("mention_id"), *SENTENCE, "start", "end", "surface", "entity_id", F.lit("link").alias("mention_type"), F.lit("wikilink").alias("link_method"), F.lit(1.0).alias("confidence"), "name")
+
+
+def link_mentions(links: DataFrame, humans: DataFrame, sentences: DataFrame) -> DataFrame:
+    """One row for each link to a person that starts within a sentence."""
+    return as_mentions(person_links(links, humans, sentences))
+
+
+def link_counts(links: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: links to others than people, and links to people outside all sentences, from the rows of `person_links`."""
+    every = links.agg(F.count(F.lit(1)).alias("links"))
+    people = found.agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("sent_idx").isNull()).alias("links_outside_sentence"))
+    return every.crossJoin(people).select((F.col("links") - F.col("people")).alias("non_person_links"), "links_outside_sentence")  # one row each
 
 
 def subject_mentions(documents: DataFrame) -> DataFrame:
     """One mention without a place for the person each document is about: its qid, else its id."""
     null = lambda kind: F.lit(None).cast(kind)
     subject = F.coalesce(F.nullif(F.col("qid"), F.lit("")), F.col("doc_id").cast("string"))
-    return documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(":subject")).alias("mention_id"), "doc_id", null("int").alias("section_idx"), null("int").alias("sent_idx"), null("int").alias("start"), null("int").alias("end"), F.col("title").alias("surface"), subject.alias("entity_id"), F.lit("subject").alias("mention_type"), F.lit("subject").alias("link_method"), F.lit(1.0).alias("confidence"))
+    return documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(":subject")).alias("mention_id"), "doc_id", null("int").alias("section_idx"), null("int").alias("sent_idx"), null("int").alias("start"), null("int").alias("end"), F.col("title").alias("surface"), subject.alias("entity_id"), F.lit("subject").alias("mention_type"), F.lit("subject").alias("link_method"), F.lit(1.0).alias("confidence"), F.col("title").alias("name"))
 
 
 def with_people(links: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Link mentions with their document's subject and the number of people in the sentence, the subject always among them."""
+    """Link mentions with their document's subject and the number of people in the sentence, the subject always among them.
+
+    Distinct people are counted by the last rank of a window, so a sentence streams through and is never gathered.
+    """
     known = links.join(subjects.select("doc_id", F.col("entity_id").alias("subject_id")), "doc_id", "left")
-    counts = known.groupBy(*SENTENCE).agg(F.countDistinct("entity_id").alias("linked"), F.max((F.col("entity_id") == F.col("subject_id")).cast("int")).alias("has_subject"), F.max("subject_id").alias("_s"))
-    people = (F.col("linked") + F.when(F.col("_s").isNotNull() & (F.coalesce("has_subject", F.lit(0)) == 0), 1).otherwise(0)).cast("int")
-    return known.join(counts.select(*SENTENCE, "linked", people.alias("people_in_sentence")), SENTENCE)
+    ranked = known.withColumn("_rank", F.dense_rank().over(W.partitionBy(*SENTENCE).orderBy("entity_id")))
+    whole = W.partitionBy(*SENTENCE)
+    subject, held = F.max("subject_id").over(whole), F.coalesce(F.max((F.col("entity_id") == F.col("subject_id")).cast("int")).over(whole), F.lit(0))
+    linked = F.max(F.when(F.col("entity_id").isNotNull(), F.col("_rank"))).over(whole) - F.max(F.col("entity_id").isNull().cast("int")).over(whole)
+    counted = ranked.withColumn("linked", F.coalesce(linked, F.lit(0)).cast("bigint")).withColumn("_more", F.when(subject.isNotNull() & (held == 0), 1).otherwise(0))
+    return counted.withColumn("people_in_sentence", (F.col("linked") + F.col("_more")).cast("int")).drop("_rank", "_more")
 
 
 def candidate_pairs(people: DataFrame, most_people: int = MOST_PEOPLE) -> DataFrame:
@@ -87,12 +111,14 @@ def without_pairs(documents: DataFrame, candidates: DataFrame) -> DataFrame:
 def roll_up(mentions: DataFrame, seed: DataFrame, most_docs: int = 50) -> DataFrame:
     """(entity_id, canonical_name, in_seed, mention_count, doc_count, doc_ids) of every entity.
 
-    The name comes from the first mention by (doc_id, place), a subject before the links of its document.
+    The name is the `name` of the first mention by (doc_id, place), a subject before the links of its document:
+    a subject's title and a link's resolved title; the surface stands in where mentions have no `name`.
     The window's limit keeps the first `most_docs` ids in each task before the exchange, and the counts are
     added up in part, so an entity with a third of all rows is no hot group.
     """
     place = F.struct("doc_id", F.coalesce("section_idx", F.lit(-1)), F.coalesce("start", F.lit(-1)))
-    counts = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mention_count"), F.min_by("surface", place).alias("canonical_name"))
+    name = "name" if "name" in mentions.columns else "surface"
+    counts = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mention_count"), F.min_by(name, place).alias("canonical_name"))
     docs = mentions.select("entity_id", "doc_id").distinct()
     doc_counts = docs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("doc_count"))
     order = W.partitionBy("entity_id").orderBy("doc_id")

@@ -34,6 +34,23 @@ def chase_aliases(titles: DataFrame, aliases: DataFrame, hops: int = 4) -> DataF
     return out
 
 
+def most_frequent(frequency: DataFrame, limit: int | None) -> DataFrame:
+    """(title, link_instances) of the rows of `target_frequency`; `limit` keeps the most frequent (0: none, None: all)."""
+    kept = frequency if limit is None else frequency.orderBy(F.desc("n"), "first").limit(limit)
+    return kept.select(F.col("target_title").alias("title"), F.col("n").alias("link_instances"))
+
+
+def items_of_titles(titles: DataFrame, steps: DataFrame) -> DataFrame:
+    """(title, resolved_title, qid) of titles through the steps that a server took: (kind, source, target).
+
+    `normalized` and `redirects` steps lead on, a redirect before a normalisation of the same title; `item` gives a title's item.
+    """
+    order = F.when(F.col("kind") == "redirects", 1).otherwise(0).alias("ord")
+    chased = chase_aliases(titles, steps.where("kind <> 'item'").select("source", "target", order))
+    items = steps.where("kind = 'item'").groupBy(F.col("source").alias("resolved_title")).agg(F.max("target").alias("qid"))
+    return chased.join(items, "resolved_title", "left").select("title", "resolved_title", "qid")
+
+
 def resolve_titles(titles: DataFrame, cache: DataFrame, claims: DataFrame) -> DataFrame:
     """Titles of the title cache with their claims.
 
@@ -75,7 +92,7 @@ def require_coverage(targets: DataFrame, cache: DataFrame, strict: bool = True)
 def human_index(cache: DataFrame) -> DataFrame:
     """(title, ...) of the cache rows that are people with an item; the last row of a title wins by `ord` if there is one."""
     people = cache.where("is_human AND qid IS NOT NULL AND qid <> ''")
-    if "ord" not in cache.columns:
-        return people.dropDuplicates(["title"])
-    last = F.max_by(F.struct(*[F.col(c) for c in people.columns]), "ord")
+    # Without an order the greatest row wins, so that the answer doesn't depend on how the cache is read.
+    order = F.col("ord") if "ord" in cache.columns else F.struct("qid", F.to_json(F.struct("*")))
+    last = F.max_by(F.struct(*[F.col(c) for c in people.columns]), order)
     return people.groupBy("title").agg(last.alias("r")).select("r.*")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,78 +14,126 @@ MOST_MERGES = 4
 #: Abbreviations after which the default rule doesn't split.
 ABBREVIATIONS = ("Dr", "Prof", "Mr", "Mrs", "Ms", "St", "Mt", "Jr", "Sr", "No", "Vol", "Fig", "vs", "cf", "approx", "etc", "e.g", "i.e", "al", "ca", "U.S", "Ph.D")
 SPANS = "array<struct<start:int,end:int,text:string>>"
+#: A function from a text to the (start, end) of its sentences, in order.
+Split = Callable[[str], Iterable[tuple[int, int]]]
+_BOUNDARY = regex.compile(r"(?<!\b(?:" + "|".join(map(regex.escape, ABBREVIATIONS)) + r"|\p{Lu}))[.!?]+[\"”’)\]]*\s+(?=[\"“(\[¿¡]?[\p{Lu}\d])")
+
+
+def parted(text: str, separator: str) -> Iterator[tuple[int, int, str]]:
+    """(number, start, text) of the parts between separators that aren't blank."""
+    at = 0
+    for n, part in enumerate(text.split(separator)):
+        if part.strip():
+            yield n, at, part
+        at += len(part) + len(separator)
 
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     """array<struct<idx,start,text>>: parts between separators with their offsets; blank ones keep their place but are left out."""
-    parts = F.split(text, F.lit("\\Q" + separator + "\\E"), -1)
-    step = lambda s, p: F.struct(
-        F.concat(s["out"], F.array(F.struct(F.size(s["out"]).alias("idx"), s["at"].alias("start"), p.alias("text")))).alias("out"),
-        (s["at"] + F.length(p) + len(separator)).alias("at"),
-    )
-    zero = F.struct(F.array().cast("array<struct<idx:int,start:int,text:string>>").alias("out"), F.lit(0).alias("at"))
-    return F.filter(F.aggregate(parts, zero, step, lambda s: s["out"]), lambda p: p["text"].rlike(r"(?U)\S"))
 
+    @F.arrow_udf("array<struct<idx:int,start:int,text:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("idx", pa.int32()), ("start", pa.int32()), ("text", pa.string())]))
+        return pa.array([None if t is None else [dict(zip(("idx", "start", "text"), p)) for p in parted(t, separator)] for t in texts.to_pylist()], kind)
 
-def ruled(text: Column) -> Column:
-    """array<struct<start,end,text>>: sentences that end at a full stop, question or exclamation mark before blanks.
+    return run(text)
 
-    Built-in expressions only. Sentences are trimmed; an abbreviation, a single capital or an open ending doesn't split.
-    """
-    marked = F.regexp_replace(text, r"(?U)(?<!\b(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|\p{Lu}))([.!?]+[\"”’)\]]*)(\s+)(?=[\"“(\[¿¡]?[\p{Lu}\d])", "$1$2\u0001")
-    step = lambda s, p: F.struct(
-        F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.regexp_extract(p, r"(?U)^(\s*)", 1))).alias("start"), F.regexp_replace(p, r"(?U)^\s+|\s+$", "").alias("text")))).alias("out"),
-        (s["at"] + F.length(p)).alias("at"),
-    )
-    zero = F.struct(F.array().cast("array<struct<start:int,text:string>>").alias("out"), F.lit(0).alias("at"))
-    found = F.filter(F.aggregate(F.split(marked, "\u0001"), zero, step, lambda s: s["out"]), lambda p: p["text"] != "")
-    return F.transform(found, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), p["text"].alias("text")))
 
+def ruled(text: str) -> Iterator[tuple[int, int]]:
+    """Sentences that end at a full stop, question or exclamation mark before blanks.
 
-def merge_brackets(spans: Column, text: Column, most: int = MOST_MERGES) -> Column:
-    """Sentences joined with those after them while `[` outnumbers `]`, at most `most` times, then given as they are."""
-    opened = lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("["), F.lit("")))
-    closed = lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("]"), F.lit("")))
-    kind = "struct<out:array<struct<start:int,end:int>>,balance:int,merges:int>"
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(0).alias("balance"), F.lit(0).alias("merges")).cast(kind)
+    They are trimmed; an abbreviation, a single capital or an open ending doesn't split.
+    """
+    at = 0
+    for end in [*(m.end() for m in _BOUNDARY.finditer(text)), len(text)]:
+        part = text[at:end]
+        start = at + len(part) - len(part.lstrip())
+        if part := part.strip():
+            yield start, start + len(part)
+        at = end
+
+
+def splitter(split: Split) -> Split:
+    """A split function whose spans are checked: in order, apart and within the text."""
+
+    def run(text: str) -> Iterator[tuple[int, int]]:
+        last = 0
+        for start, end in split(text):
+            if not last <= start < end <= len(text):
+                raise ValueError(f"a sentence from {start} to {end} after {last} in a text of {len(text)}")
+            yield start, end
+            last = end
 
-    def step(state: Column, s: Column) -> Column:
-        joins = (state["balance"] > 0) & (state["merges"] < most) & (F.size(state["out"]) > 0)
-        last = F.element_at(state["out"], -1)
-        longer = F.concat(F.slice(state["out"], 1, F.greatest(F.size(state["out"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))
-        fresh = F.concat(state["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        balance = opened(s) - closed(s)
-        return F.struct(F.when(joins, longer).otherwise(fresh).alias("out"), F.when(joins, state["balance"] + balance).otherwise(balance).alias("balance"), F.when(joins, state["merges"] + 1).otherwise(0).alias("merges")).cast(kind)
+    return run
 
-    merged = F.aggregate(spans, zero, step, lambda s: s["out"])
-    return F.transform(merged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
 
+def joined(spans: Iterable[tuple[int, int, int]], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end, open brackets less closed ones) joined with those after them while brackets are open, at most `most` times."""
+    held, balance, merges = None, 0, 0
+    for start, end, more in spans:
+        if held and balance > 0 and merges < most:
+            held, balance, merges = (held[0], end), balance + more, merges + 1
+            continue
+        if held:
+            yield held
+        held, balance, merges = (start, end), more, 0
+    if held:
+        yield held
 
-def splitter(split: Callable[[str], list[tuple[int, int]]]) -> Callable[[Column], Column]:
-    """An Arrow UDF of spans from a function of one text; the function travels to the workers once."""
 
-    @F.pandas_udf(SPANS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: [{"start": s, "end": e, "text": t[s:e]} for s, e in split(t)] if t else [])
+def merge_brackets(spans: Column, text: Column, most: int = MOST_MERGES) -> Column:
+    """Sentences joined with those after them while `[` outnumbers `]`, at most `most` times, then given as they are."""
 
-    return run
+    @F.arrow_udf(SPANS)
+    def run(given: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for row, t in zip(given.to_pylist(), texts.to_pylist()):
+            counted = ((s["start"], s["end"], (s["text"] or "").count("[") - (s["text"] or "").count("]")) for s in row or ())
+            out.append(None if row is None else [{"start": a, "end": b, "text": (t or "")[a:b]} for a, b in joined(counted, most)])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
+
+    return run(spans, text)
 
 
-def segment(sections: DataFrame, split: Callable[[Column], Column] = ruled, separator: str = "\n\n", most: int = MOST_MERGES) -> DataFrame:
-    """(doc_id, section_idx, sent_idx, start, end, text) of sections (doc_id, section_idx, text).
+def units(sections: DataFrame, split: Split = ruled, separator: str = "\n\n", most: int = MOST_MERGES) -> DataFrame:
+    """(doc_id, section_idx, sent_idx, start, end, text, paragraph, merged) of sections (doc_id, section_idx, text).
 
-    Each paragraph is split on its own; offsets and numbers run through the section.
+    Each paragraph is split on its own; offsets and numbers run through the section. `paragraph` numbers the
+    paragraphs of a section, `merged` counts the sentences that a bracket joined to this one. A section is one row, so nothing is exchanged.
     """
-    parts = sections.select("doc_id", "section_idx", F.explode(paragraphs(F.col("text"), separator)).alias("p"))
-    spans = parts.select("doc_id", "section_idx", "p", merge_brackets(split(F.col("p.text")), F.col("p.text"), most).alias("spans"))
-    flat = spans.select("doc_id", "section_idx", F.col("p.start").alias("base"), F.explode("spans").alias("s"))
-    from pyspark.sql import Window as W
 
-    order = W.partitionBy("doc_id", "section_idx").orderBy("start")
-    placed = flat.select("doc_id", "section_idx", (F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"), F.col("s.text").alias("text"))
-    return placed.select("doc_id", "section_idx", (F.row_number().over(order) - 1).alias("sent_idx"), "start", "end", "text")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], ([], [], [], [], [], [])
+            for at, text in enumerate(batch.column(2)):
+                n = 0
+                text = text.as_py() or ""
+                for paragraph, base, part in parted(text, separator):
+                    spans = [(a, b, part.count("[", a, b) - part.count("]", a, b)) for a, b in split(part)]
+                    ends, k = {b: i for i, (_, b, _) in enumerate(spans)}, -1
+                    for a, b in joined(spans, most):
+                        for column, value in zip(rows, (n, base + a, base + b, part[a:b], paragraph, ends[b] - k - 1)):
+                            column.append(value)
+                        owner.append(at)
+                        n, k = n + 1, ends[b]
+            took = pa.array(owner, pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.record_batch([batch.column(0).take(took), batch.column(1).take(took), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "section_idx", "sent_idx", "start", "end", "text", "paragraph", "merged"])
+
+    chosen = sections.select("doc_id", "section_idx", "text")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:2]]
+    return chosen.mapInArrow(scan, ", ".join(kinds) + ", sent_idx int, start int, end int, text string, paragraph int, merged int")
+
+
+def segment(sections: DataFrame, split: Split = ruled, separator: str = "\n\n", most: int = MOST_MERGES) -> DataFrame:
+    """(doc_id, section_idx, sent_idx, start, end, text): the sentences of `units`."""
+    return units(sections, split, separator, most).drop("paragraph", "merged")
 
 
 def segment_counts(sentences: DataFrame) -> DataFrame:
-    return sentences.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("doc_id", "section_idx").alias("sections"), F.count(F.lit(1)).alias("sentences"))
+    """Documents, sections, paragraphs and sentences of the rows of `units`, and how many joins brackets made."""
+    key = F.struct("doc_id", "section_idx")
+    return sentences.agg(
+        F.countDistinct("doc_id").alias("documents"), F.countDistinct(key).alias("sections"), F.countDistinct(F.struct("doc_id", "section_idx", "paragraph")).alias("paragraphs"),
+        F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum("merged"), F.lit(0)).alias("merges"),
+    )
