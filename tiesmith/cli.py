@@ -10,6 +10,7 @@ from pathlib import Path
 from tiesmith import stages
 from tiesmith.operators import render
 from tiesmith.session import session
+from tiesmith.sources import files
 from tiesmith.sources.wiki import WikiClient
 
 
@@ -20,10 +21,10 @@ def parser() -> argparse.ArgumentParser:
 
     def stage(name: str, *flags: str) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
-        p.add_argument("--src", type=Path, default=Path("data"))
-        p.add_argument("--out", type=Path, default=Path("data"))
+        p.add_argument("--src", default="data")
+        p.add_argument("--out", default="data")
         if "limit" in flags:
-            p.add_argument("--limit", type=int, help="first rows by key; 0 keeps none")
+            p.add_argument("--limit", type=int, help="first rows by key, most frequent titles in resolve; 0 keeps none")
         if "web" in flags:
             p.add_argument("--contact", required=True)
             p.add_argument("--delay", type=float, default=1.0)
@@ -63,21 +64,21 @@ def main(args: list[str] | None = None) -> int:
     spark = session("tiesmith", a.master)
     client = WikiClient(a.contact, delay=a.delay) if hasattr(a, "contact") else None
     if a.stage == "cluster-summary":
-        rows = spark.read.parquet(str(a.src / "cluster_summary.parquet")).orderBy("size", ascending=False)
+        rows = spark.read.parquet(files.join(a.src, "cluster_summary.parquet")).orderBy("size", ascending=False)
         print(render.clusters(list(rows.toLocalIterator())))
         return 0
     if a.stage == "relations-summary":
         from tiesmith.operators.assemble import rendered
 
         found = False
-        for r in rendered(spark.read.parquet(str(a.src / "relations.parquet"))).orderBy("relation_id").toLocalIterator():
+        for r in rendered(spark.read.parquet(files.join(a.src, "relations.parquet"))).orderBy("relation_id").toLocalIterator():
             print(r.block + "\n")
             found = True
         print("" if found else "(no relations)", end="")
         return 0
     run = {
         "seed": lambda: stages.run_seed(spark, a.out, client, a.query.read_text(encoding="utf-8")),
-        "estimate": lambda: stages.run_estimate(spark, a.out, client, [r.title for r in spark.read.parquet(str(a.src / "seed.parquet")).toLocalIterator()], a.sample),
+        "estimate": lambda: stages.run_estimate(spark, a.out, client, [r.title for r in spark.read.parquet(files.join(a.src, "seed.parquet")).toLocalIterator()], a.sample),
         "fetch": lambda: stages.run_fetch(spark, a.src, a.out, client, a.limit),
         "clean": lambda: stages.run_clean(spark, a.src, a.out, not a.lenient),
         "resolve": lambda: stages.run_resolve(spark, a.src, a.out, client, a.limit),
@@ -92,7 +93,7 @@ def main(args: list[str] | None = None) -> int:
     print(json.dumps(run(), indent=2, ensure_ascii=False, default=str))
     if a.stage == "cluster-sweep":
         by = ["n_components", "least_size", "method"]
-        print(render.sweep_table(spark.read.parquet(str(a.out / "sweep_results.parquet")).orderBy("largest_cluster_fraction", *by).collect(), by))
+        print(render.sweep_table(spark.read.parquet(files.join(a.out, "sweep_results.parquet")).orderBy("largest_cluster_fraction", *by).collect(), by))
     return 0
 
 

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiesmith.sources import files
 from tiesmith.functions.text import dot_escape, edge_id, html_escape, node_id, short_label, svg_box_id
 
 # Colours of the attribute types, in the order of their boxes, and of the page.
@@ -140,15 +141,18 @@ def to_html(svg: str, tips: dict[str, str], title: str = "relations") -> str:
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style></head><body>{bare}<div id="key">{legend}</div><div id="tip"></div><script>{script.replace("DATA", data)}</script></body></html>\n'
 
 
-def write_graph(found_nodes: DataFrame, found_edges: DataFrame, folder: Path, name: str, engine: str | None = None) -> dict:
-    """DOT text and, with an engine, drawing and page; returns what was written and the counts."""
-    folder.mkdir(parents=True, exist_ok=True)
+def write_graph(found_nodes: DataFrame, found_edges: DataFrame, folder: Path | str, name: str, engine: str | None = None) -> dict:
+    """DOT text and, with an engine, drawing and page, on any file system; returns what was written and the counts.
+
+    `engine` may be the path of a program in a folder of its own.
+    """
+    put = lambda kind, text: files.write_text(found_nodes.sparkSession, files.join(str(folder), f"{name}.{kind}"), text)
     dot = to_dot(found_nodes, found_edges)
-    (folder / f"{name}.dot").write_text(dot, encoding="utf-8")
+    put("dot", dot)
     counts = {"nodes": found_nodes.count(), "edges": found_edges.count(), "engine": engine}
     if engine:
         svg = to_svg(dot, engine)
         tips = {r.id: r.tooltip for r in box_tooltips(found_edges).toLocalIterator()} | {r.id: r.tooltip for r in found_edges.select(edge_id("a", "b").alias("id"), "tooltip").toLocalIterator()}
-        (folder / f"{name}.svg").write_text(svg, encoding="utf-8")
-        (folder / f"{name}.html").write_text(to_html(svg, tips, name), encoding="utf-8")
+        put("svg", svg)
+        put("html", to_html(svg, tips, name))
     return counts

@@ -9,11 +9,11 @@ ATTRIBUTES = f"array<struct<attr_type:string,value:string,span:{SPAN},source:str
 
 TABLES = {
     "seed": "qid string, title string, birth_year int, death_year int, gender string",
-    "fetch_log": "qid string, title string, fetched_at string, status string, revision_id bigint, error string, url string, bytes bigint",
+    "fetch_log": "qid string, title string, fetched_at string, status string, revision_id bigint, error string, url string, bytes bigint, seq bigint",
     "raw_html": "qid string, html binary",
     "documents": f"doc_id string, title string, qid string, revision_id bigint, url string, fetched_at string, license string, sections {SECTIONS}",
-    "title_qid": "title string, resolved_title string, qid string, fetched_at string",
-    "qid_claims": "qid string, missing boolean, is_human boolean, birth_year int, death_year int, gender string, occupations array<string>, fetched_at string, method string",
+    "title_qid": "title string, resolved_title string, qid string, fetched_at string, seq bigint",
+    "qid_claims": "qid string, missing boolean, is_human boolean, birth_year int, death_year int, gender string, occupations array<string>, fetched_at string, method string, seq bigint",
     "wikidata_cache": "title string, resolved_title string, qid string, claims_resolved boolean, no_wikidata_item boolean, is_human boolean, birth_year int, death_year int, gender string, occupations array<string>, link_instances bigint, fetched_at string",
     "sentences": "doc_id string, section_idx int, sent_idx int, start int, end int, text string",
     "mentions": "mention_id string, doc_id string, section_idx int, sent_idx int, start int, end int, surface string, entity_id string, mention_type string, link_method string, confidence double",

@@ -30,14 +30,15 @@ def durable(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint.
 
     The files go to the shared folder that the session names in spark.checkpoint.dir,
-    so they outlive any executor. A folder of our own is set only where none is named,
-    as in tests on one machine.
+    so they outlive any executor. A folder of our own is set only where none is named: a temporary one
+    on one machine, as in tests, else one beside the warehouse, which a cluster shares.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tiesmith-"))
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="tiesmith-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 
