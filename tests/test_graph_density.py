@@ -80,6 +80,37 @@ def test_frames(spark):
     assert swept.count() == 4 and all(r.n_sentences == 60 for r in swept.collect())
 
 
+@pytest.mark.parametrize("method", ["eom", "leaf"])
+def test_blocks_give_the_labels_of_all_points(spark, method):
+    rng = np.random.default_rng(5)
+    points = np.round(np.concatenate([rng.normal(k * 3, 0.6, (40, 3)) for k in range(3)] + [rng.uniform(-5, 12, (30, 3))]), 1)  # rounded: many equal distances
+    points = np.concatenate([points, points[:7]])
+    df = spark.createDataFrame([(f"{n:03}", p.tolist()) for n, p in enumerate(points)], "k string, v array<double>")
+    labels, strength = density.density_labels(points, 6, method)
+    for block in (20, 64, 1000):
+        rows = density.density_clusters(df, "k", "v", least_size=6, method=method, block=block).orderBy("k").collect()
+        assert [r.cluster_id for r in rows] == labels.tolist() and np.allclose([r.cluster_prob for r in rows], strength)
+
+
+def test_neighbours_and_metrics(spark):
+    rng = np.random.default_rng(3)
+    data = [(f"{n:02}", (rng.normal(0, 0.05, 4) + [1, 0, 0, 0] if n % 2 else rng.normal(0, 0.05, 4) + [0, 1, 0, 0]) * (1 + n)) for n in range(40)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in data] + [("null", None)], "k string, v array<double>").where("v IS NOT NULL")
+    spread = {}
+    for near in (0, 8):
+        rows = {r.k: np.array(r.reduced) for r in density.reduce(df, "k", "v", 2, near, "cosine").collect()}
+        assert len(rows) == 40
+        spread[near] = np.std([rows[k] for k, _ in data if int(k) % 2], axis=0).sum()
+    assert spread[8] < 0.7 * spread[0]
+    assert len(density.reduce(df, "k", "v", 2, 5, "euclidean").first().reduced) == 2 and density.reduce(df.limit(0), "k", "v").count() == 0
+    with pytest.raises(ValueError, match="metric"):
+        density.reduce(df, "k", "v", metric="other")
+    reduced = density.reductions(df, "k", "v", [2], [5, 8])
+    labels = density.settings_labels(reduced, "k", [(5, "eom")])
+    best = density.best_exemplars(reduced, labels, density.sweep_summary(labels, density.SETTING), "k", best=1, most_clusters=2, n=3).collect()
+    assert len(best) == 6 and {r["rank"] for r in best} == {1, 2, 3} and len({tuple(r[c] for c in density.SETTING) for r in best}) == 1
+
+
 def test_exemplars_and_summary(spark):
     data = [("a", 0, [0.0, 0.0], "A"), ("b", 0, [2.0, 0.0], "B"), ("c", 0, [1.0, 0.0], "C"), ("d", 1, [5.0, 5.0], "D"), ("n", -1, [9.0, 9.0], "N")]
     df = spark.createDataFrame(data, "k string, cluster_id int, v array<double>, t string")
@@ -100,5 +131,7 @@ def test_rendered():
 
     rows = [{"n": 5, "m": "eom", "n_clusters": 2, "noise_fraction": 0.25, "largest_cluster_fraction": 0.5, "top_cluster_sizes": [3, 2]}]
     assert render.sweep_table(rows, ["n", "m"]).splitlines() == ["n  m    n_clusters  noise_fraction  largest_cluster_fraction  top_cluster_sizes", "5  eom           2          0.2500                    0.5000  3,2"]
+    shown = render.sweep_exemplars([{"n": 5, "cluster_id": 1, "size": 9, "rank": k, "sentence": f"S{k}"} for k in (2, 1)], ["n"])
+    assert shown.splitlines() == ["n=5", "  1 (9)         S1", "                S2"] and render.sweep_exemplars([], ["n"]) == "(no settings expanded)"
     assert render.table([], ["a"]) == "(none)" and render.clusters([]) == "(no clusters)"
     assert render.clusters([{"cluster_id": 10, "size": 3, "exemplar_sentences": ["A", "B"]}, {"cluster_id": 2, "size": 1, "exemplar_sentences": []}]).splitlines() == ["10  3  A", "       B", " 2  1  "]

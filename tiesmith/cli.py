@@ -9,6 +9,7 @@ from pathlib import Path
 
 from tiesmith import stages
 from tiesmith.operators import render
+from tiesmith.operators.density import COMPONENTS, GRID, NEIGHBOURS, SETTING
 from tiesmith.session import session
 from tiesmith.sources import files
 from tiesmith.sources.wiki import WikiClient
@@ -44,10 +45,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--components", type=int, default=15)
     p.add_argument("--least-size", type=int, default=5)
     p.add_argument("--method", choices=("eom", "leaf"), default="eom")
+    p.add_argument("--neighbours", type=int, default=15)
+    p.add_argument("--metric", choices=("cosine", "euclidean"), default="cosine")
     p = stage("cluster-sweep")
     p.add_argument("--limit", type=int, default=5000)
-    p.add_argument("--components", type=int, nargs="+", default=[5, 15])
-    p.add_argument("--sizes", type=int, nargs="+", default=[5, 15])
+    p.add_argument("--components", type=int, nargs="+", default=list(COMPONENTS))
+    p.add_argument("--neighbours", type=int, nargs="+", default=list(NEIGHBOURS))
+    p.add_argument("--sizes", type=int, nargs="+", default=sorted({size for size, _ in GRID}))
+    p.add_argument("--best", type=int, default=0, help="settings whose clusters are shown with typical sentences")
     stage("cluster-summary")
     stage("detect-attributes", "limit")
     stage("assemble-relations").add_argument("--least-coverage", type=float, default=0.5)
@@ -84,16 +89,18 @@ def main(args: list[str] | None = None) -> int:
         "resolve": lambda: stages.run_resolve(spark, a.src, a.out, client, a.limit),
         "segment": lambda: stages.run_segment(spark, a.src, a.out, a.limit),
         "mentions": lambda: stages.run_mentions(spark, a.src, a.out, not a.lenient, a.most_people, a.limit),
-        "cluster": lambda: stages.run_cluster(spark, a.src, a.out, a.components, a.least_size, a.method, a.limit),
-        "cluster-sweep": lambda: stages.run_sweep(spark, a.src, a.out, a.components, [(s, m) for s in a.sizes for m in ("eom", "leaf")], a.limit),
+        "cluster": lambda: stages.run_cluster(spark, a.src, a.out, a.components, a.least_size, a.method, a.limit, a.neighbours, a.metric),
+        "cluster-sweep": lambda: stages.run_sweep(spark, a.src, a.out, a.components, [(s, m) for s in a.sizes for m in ("eom", "leaf")], a.limit, a.neighbours, best=a.best),
         "detect-attributes": lambda: stages.run_attributes(spark, a.src, a.out, a.limit),
         "assemble-relations": lambda: stages.run_assemble(spark, a.src, a.out, a.least_coverage),
         "render-graph": lambda: stages.run_graph(spark, a.src, a.out, a.institution, a.high_coverage_only, a.engine),
     }[a.stage]
     print(json.dumps(run(), indent=2, ensure_ascii=False, default=str))
     if a.stage == "cluster-sweep":
-        by = ["n_components", "least_size", "method"]
-        print(render.sweep_table(spark.read.parquet(files.join(a.out, "sweep_results.parquet")).orderBy("largest_cluster_fraction", *by).collect(), by))
+        results = spark.read.parquet(files.join(a.out, "sweep_results.parquet")).orderBy("largest_cluster_fraction", *SETTING).collect()
+        print(render.sweep_table(results, SETTING))
+        if a.best:
+            print(render.sweep_exemplars(spark.read.parquet(files.join(a.out, "sweep_exemplars.parquet")).collect(), SETTING))
     return 0
 
 

@@ -1,16 +1,20 @@
 """Embedding, reduction and density clustering of distinct sentences, with summaries and sweeps.
 
-The models are stand-ins that need no download: hashed words for the embedding, principal components for
-the reduction and hierarchical density clustering in numpy. Each can be replaced by a function. Density
-clustering compares all points of one group, so it is bounded by `most_points` and says so beyond it; it is a tool to
-look at a sample.
+The models are stand-ins that need no download: hashed words for the embedding, principal components smoothed over
+nearest neighbours for the reduction, and hierarchical density clustering. Each can be replaced by a function.
+
+Density clustering is exact and takes any number of points: they are numbered and cut into blocks, each pair of
+blocks is one task that finds nearest neighbours, then a spanning tree. The union of the pairs' trees holds the tree of all
+points; it is thinned in rounds, so that a task never holds more than a few trees. Only the last step, from the one tree
+of n - 1 edges (24 bytes each) to clusters, runs in one task a group. Distances are counted between all points, so the
+work grows with their square.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tiesmith.functions.claims import run_id
+from tiesmith.session import durable, parallelism
 
-MOST_POINTS = 20_000
+#: Points in one block; a task compares two of them. Trees that are thinned together.
+BLOCK_POINTS, TREES = 4096, 8
 DIMS = 128
 
 
@@ -34,13 +40,29 @@ def hashed_words(text: str, dims: int = DIMS) -> np.ndarray:
     return out / n if n else out
 
 
-def embed(texts: Column, embedder: Callable[[str], np.ndarray] = hashed_words) -> Column:
-    """array<float> of each text by a function of one text."""
+def hashed_batch(texts: Sequence[str], dims: int = DIMS) -> list[np.ndarray]:
+    """`hashed_words` of each text; a word is hashed once a batch."""
+    known: dict[str, tuple[int, int]] = {}
+    out = np.zeros((len(texts), dims), np.float32)
+    for row, text in enumerate(texts):
+        for w in re.findall(r"\w+", text.lower()):
+            if w not in known:
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                known[w] = h % dims, 1 if h >> 63 else -1
+            at, sign = known[w]
+            out[row, at] += sign
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return list(out / np.where(norms > 0, norms, 1))
+
+
+def embed(texts: Column, embedder: Callable[[str], np.ndarray] | None = None, batched: Callable[[Sequence[str]], Sequence[np.ndarray]] = hashed_batch) -> Column:
+    """array<float> of each text by a function of a batch of texts, or by one of a single text."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
-            yield part.map(lambda t: embedder(t or ""))
+            given = [t or "" for t in part]
+            yield pd.Series([embedder(t) for t in given] if embedder else list(batched(given)))
 
     return run(texts)
 
@@ -78,28 +100,51 @@ def principal(vectors: DataFrame, column: str, components: int) -> DataFrame:
 def _spanning(points: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Edges (weight, a, b) of a minimum spanning tree over mutual reachability."""
     n = len(points)
-    best, near, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((points - points[at]) ** 2).sum(1)), core), core[at])
-        closer = ~done & (d < best)
-        best[closer], near[closer] = d[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        edges.append((best[at], near[at], at))
-    return np.array(sorted(edges)).reshape(-1, 3)
+    best, near, left = np.full(n, np.inf), np.zeros(n, int), np.arange(1, n)
+    at, edges = 0, np.zeros((max(n - 1, 0), 3))
+    for k in range(n - 1):
+        d = np.maximum(np.maximum(np.sqrt(((points[left] - points[at]) ** 2).sum(1)), core[left]), core[at])
+        closer = d < best[left]
+        best[left[closer]], near[left[closer]] = d[closer], at
+        i = int(best[left].argmin())
+        at = int(left[i])
+        edges[k] = best[at], near[at], at
+        left = np.delete(left, i)
+    return edges
+
+
+def _thinned(edges: np.ndarray) -> np.ndarray:
+    """The edges (weight, a, b) of a minimum spanning forest of those given, by rising weight."""
+    edges = edges[np.lexsort((edges[:, 2], edges[:, 1], edges[:, 0]))]
+    ids, ends = np.unique(edges[:, 1:], return_inverse=True)
+    parent = list(range(len(ids)))
 
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-def density_labels(points: np.ndarray, least_size: int = 5, method: str = "eom") -> tuple[np.ndarray, np.ndarray]:
-    """(labels, strengths): hierarchical density clusters, -1 for noise; `method` is eom (excess of mass) or leaf."""
-    n = len(points)
-    least_size = max(2, min(least_size, max(n, 2)))
+    kept = []
+    for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return edges[kept]
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+
+
+def _tree_labels(n: int, edges: np.ndarray, least_size: int, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, strengths) of n points from the edges of their spanning tree, by rising weight.
+
+    Edges of equal weight join at once, so the answer doesn't depend on which of several trees was found.
+    """
     labels, strength = np.full(n, -1), np.zeros(n)
-    if n < least_size:
-        return labels, strength
-    core = np.array([np.partition(np.sqrt(((points - p) ** 2).sum(1)), min(least_size, n - 1))[min(least_size, n - 1)] for p in points])
-    # Single linkage: node n + i is made by edge i.
-    parent, sizes, children, level = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
+    parent, sizes, least, children, level = list(range(n)), [1] * n, list(range(n)), {}, {}
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -107,10 +152,31 @@ def density_labels(points: np.ndarray, least_size: int = 5, method: str = "eom")
             x = parent[x]
         return x
 
-    for i, (w, a, b) in enumerate(_spanning(points, core)):
-        a, b, node = top(int(a)), top(int(b)), n + i
-        parent[a] = parent[b] = node
-        sizes[node], children[node], level[node] = sizes[a] + sizes[b], (a, b), w
+    cuts = np.flatnonzero(np.diff(edges[:, 0])) + 1
+    for same in np.split(edges, cuts) if len(edges) else []:
+        ends = [(top(int(a)), top(int(b))) for a, b in same[:, 1:]]
+        joined: dict[int, list[int]] = {}
+        link = {x: x for pair in ends for x in pair}
+
+        def root(x: int, link=link) -> int:
+            while link[x] != x:
+                link[x] = link[link[x]]
+                x = link[x]
+            return x
+
+        for a, b in ends:
+            link[root(a)] = root(b)
+        for x in link:
+            joined.setdefault(root(x), []).append(x)
+        for parts in joined.values():
+            node = len(parent)
+            parts.sort(key=lambda x: least[x])
+            parent.append(node)
+            sizes.append(sum(sizes[x] for x in parts))
+            least.append(least[parts[0]])
+            for x in parts:
+                parent[x] = node
+            children[node], level[node] = parts, float(same[0, 0])
 
     def leaves(x: int) -> list[int]:
         out, stack = [], [x]
@@ -119,8 +185,8 @@ def density_labels(points: np.ndarray, least_size: int = 5, method: str = "eom")
             stack.extend(children[y]) if y in children else out.append(y)
         return out
 
-    # Condensed tree: a cluster goes on while only one side is large enough, and ends where both are.
-    born, left, below, mass, stack = {0: 0.0}, {}, {0: []}, {0: 0.0}, [(2 * n - 2, 0)]
+    # Condensed tree: a cluster goes on while only one side is large enough, and ends where several are.
+    born, left, below, mass, stack = {0: 0.0}, {}, {0: []}, {0: 0.0}, [(len(parent) - 1, 0)]
     while stack:
         node, cluster = stack.pop()
         if node not in children:
@@ -172,22 +238,158 @@ def density_labels(points: np.ndarray, least_size: int = 5, method: str = "eom")
     return labels, strength
 
 
-def density_clusters(vectors: DataFrame, key: str, column: str, group: list[str] | None = None, least_size: int = 5, method: str = "eom", most_points: int = MOST_POINTS) -> DataFrame:
-    """(group..., key, cluster_id, cluster_prob); more than `most_points` points in a group end the job with an error."""
-    group = group or []
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most_points:
-            raise ValueError(f"{len(part)} points in a group; density clustering takes at most {most_points}")
-        part = part.sort_values(key, ignore_index=True)
-        size = int(part["least_size"].iloc[0]) if "least_size" in group else least_size
-        how = part["method"].iloc[0] if "method" in group else method
-        labels, strength = density_labels(np.array(part[column].tolist(), np.float64), size, how)
-        return part[[*group, key]].assign(cluster_id=labels.astype("int32"), cluster_prob=strength)
-
-    schema = ", ".join([f"`{g}` {kinds[g]}" for g in [*group, key]]) + ", cluster_id int, cluster_prob double"
-    return vectors.groupBy(*group).applyInPandas(run, schema) if group else vectors.groupBy(F.lit("all")).applyInPandas(run, schema)
+def density_labels(points: np.ndarray, least_size: int = 5, method: str = "eom") -> tuple[np.ndarray, np.ndarray]:
+    """(labels, strengths): hierarchical density clusters of points in memory, -1 for noise; `method` is eom (excess of mass) or leaf."""
+    n = len(points)
+    least_size = max(2, min(least_size, max(n, 2)))
+    if n < least_size:
+        return np.full(n, -1), np.zeros(n)
+    at = min(least_size, n - 1)
+    core = np.array([np.partition(np.sqrt(((points - p) ** 2).sum(1)), at)[at] for p in points])
+    return _tree_labels(n, _thinned(_spanning(points, core)), least_size, method)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), np.float64).reshape(len(column), -1)
+
+
+def _blocked(vectors: DataFrame, key: str, column: str, group: list[str], block: int) -> tuple[DataFrame, int]:
+    """(group..., key, x, n, total, block, blocks): points numbered from 0 in each group by their key, and the most blocks of a group.
+
+    Parts are written once, so that a lost one can't change numbers; only one count a part and group comes to the driver.
+    """
+    spark = vectors.sparkSession
+    held = vectors.where(F.col(column).isNotNull()).select(*group, key, F.transform(column, lambda v: v.cast("double")).alias("x"))
+    ranged = held.repartitionByRange(parallelism(spark), *group, key).sortWithinPartitions(*group, key)
+    kept = durable(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    parts = kept.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_c"), F.min("_row").alias("_first"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).withColumn("total", F.sum("_c").over(W.partitionBy(*group)))
+    joined = kept.join(starts.drop("_c", "_first"), ["_part", *group]).withColumn("n", F.col("_row") + F.col("_base"))
+    numbered = durable(joined.select(*group, key, "x", "n", "total", F.floor(F.col("n") / block).cast("int").alias("block"), F.ceil(F.col("total") / block).cast("int").alias("blocks")))
+    return numbered, numbered.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
+
+
+def _cells(points: DataFrame, whole: bool) -> DataFrame:
+    """Points with each pair (i, j), i <= j, of blocks that theirs belongs to; `whole` pairs blocks with themselves even where there are others."""
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    kept = others if whole else F.filter(others, lambda c: (c["i"] < c["j"]) | (F.col("blocks") == 1))
+    return points.withColumn("_cell", F.explode(kept)).withColumn("i", F.col("_cell.i")).withColumn("j", F.col("_cell.j")).drop("_cell")
+
+
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def _nearest(points: DataFrame, group: list[str], k: int) -> DataFrame:
+    """(group..., n, near): the `k` nearest other points of each as array<struct<d,m>>, the nearest first."""
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        x, n, mine = _matrix(cell["x"]), cell["n"].to_numpy(), cell["block"].to_numpy()
+        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
+        rows, near = [], []
+        for own, other in {(i, j), (j, i)}:
+            a, b = np.flatnonzero(mine == own), np.flatnonzero(mine == other)
+            for start in range(0, len(a), 256):
+                some = a[start : start + 256]
+                d = _distances(x[some], x[b])
+                if own == other:
+                    d[np.arange(len(some)), np.searchsorted(b, some)] = np.inf
+                took = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                for row, at in enumerate(took):
+                    rows.append(n[some[row]])
+                    near.append([{"d": float(d[row, c]), "m": int(n[b[c]])} for c in at if np.isfinite(d[row, c])])
+        out = pd.DataFrame({"n": np.array(rows, np.int64), "near": near})
+        for g in group:
+            out[g] = cell[g].iloc[0]
+        return out[[*group, "n", "near"]]
+
+    schema = _kinds(points, group) + "n bigint, near array<struct<d:double,m:bigint>>"
+    met = _cells(points.select(*group, "n", "x", "block", "blocks"), True).repartition(4 * parallelism(points.sparkSession), *group, "i", "j").groupBy(*group, "i", "j").applyInPandas(meet, schema)
+    return met.groupBy(*group, "n").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def density_clusters(vectors: DataFrame, key: str, column: str, group: list[str] | None = None, least_size: int = 5, method: str = "eom", most_points: int | None = None, block: int | None = None) -> DataFrame:
+    """(group..., key, cluster_id, cluster_prob) of the points with a vector, -1 for noise.
+
+    `least_size` and `method` may be columns of the group. With `most_points`, a larger group is an error. Two blocks of
+    `block` points are one task; the answer doesn't depend on it.
+    """
+    named = group or []
+    group = named or ["_all"]
+    rows = vectors if named else vectors.withColumn("_all", F.lit(0))
+    points, blocks = _blocked(rows, key, column, group, block or BLOCK_POINTS)
+    spark = vectors.sparkSession
+    if most_points is not None and (n := points.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]) > most_points:
+        raise ValueError(f"{n} points in a group; at most {most_points} are wanted")
+    wanted = F.col("least_size") if "least_size" in group else F.lit(least_size)
+    size = F.greatest(F.lit(2), F.least(wanted, F.greatest(F.col("total"), F.lit(2)))).cast("int")
+    how = F.col("method") if "method" in group else F.lit(method)
+    settled = points.withColumn("_size", size).withColumn("_how", how)
+    most = settled.agg(F.coalesce(F.max("_size"), F.lit(2))).first()[0]
+    near = _nearest(points, group, most)
+    core = settled.join(near, [*group, "n"], "left").withColumn("core", F.coalesce(F.get(F.col("near"), F.least(F.col("_size"), F.col("total").cast("int") - 1) - 1)["d"], F.lit(0.0)))
+    ready = durable(core.select(*group, key, "n", "x", "total", "block", "blocks", "_size", "_how", "core"))
+    schema = _kinds(ready, group) + "cell int, w double, a bigint, b bigint"
+
+    def framed(edges: np.ndarray, given: pd.DataFrame, cell: int) -> pd.DataFrame:
+        out = pd.DataFrame({"cell": np.full(len(edges), cell, np.int32), "w": edges[:, 0], "a": edges[:, 1].astype(np.int64), "b": edges[:, 2].astype(np.int64)})
+        for g in group:
+            out[g] = given[g].iloc[0]
+        return out[[*group, "cell", "w", "a", "b"]]
+
+    def span(cell: pd.DataFrame) -> pd.DataFrame:
+        edges = _spanning(_matrix(cell["x"]), cell["core"].to_numpy())
+        names = cell["n"].to_numpy()
+        edges[:, 1:] = np.sort(names[edges[:, 1:].astype(int)], axis=1) if len(edges) else edges[:, 1:]
+        i, j = int(cell["i"].iloc[0]), int(cell["j"].iloc[0])
+        return framed(edges, cell, j * (j + 1) // 2 + i)
+
+    def thin(part: pd.DataFrame) -> pd.DataFrame:
+        return framed(_thinned(part[["w", "a", "b"]].to_numpy(np.float64)), part, int(part["_chunk"].iloc[0]))
+
+    pairs = _cells(ready.select(*group, "n", "x", "core", "block", "blocks"), False)
+    trees = durable(pairs.repartition(4 * parallelism(spark), *group, "i", "j").groupBy(*group, "i", "j").applyInPandas(span, schema))
+    left = max(1, blocks * (blocks + 1) // 2)
+    while left > 1:
+        left = -(-left // TREES)
+        trees = durable(trees.withColumn("_chunk", F.pmod("cell", F.lit(left))).groupBy(*group, "_chunk").applyInPandas(thin, schema))
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        n, size = int(part["total"].iloc[0]), int(part["_size"].iloc[0])
+        labels, strength = np.full(n, -1), np.zeros(n)
+        if n >= size:
+            edges = part.loc[part["w"].notna(), ["w", "a", "b"]].to_numpy(np.float64)
+            labels, strength = _tree_labels(n, _thinned(edges), size, part["_how"].iloc[0])
+        out = pd.DataFrame({"n": np.arange(n), "cluster_id": labels.astype("int32"), "cluster_prob": strength})
+        for g in group:
+            out[g] = part[g].iloc[0]
+        return out[[*group, "n", "cluster_id", "cluster_prob"]]
+
+    heads = ready.groupBy(*group).agg(F.max("total").alias("total"), F.max("_size").alias("_size"), F.max("_how").alias("_how"))
+    labelled = heads.join(trees, group, "left").groupBy(*group).applyInPandas(label, _kinds(ready, group) + "n bigint, cluster_id int, cluster_prob double")
+    return ready.select(*group, key, "n").join(labelled, [*group, "n"]).select(*named, key, "cluster_id", "cluster_prob")
+
+
+def reduce(vectors: DataFrame, key: str, column: str, components: int = 15, neighbours: int = 15, metric: str = "cosine") -> DataFrame:
+    """`vectors` with `reduced`: principal components, each point then moved to the middle of itself and its nearest neighbours.
+
+    `metric` is cosine, which compares directions, or euclidean. The neighbours draw like points together, so that
+    density can tell groups apart; with fewer than 2 of them the components stay as they are.
+    """
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric: {metric}")
+    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    direction = F.when(norm > 0, F.transform(column, lambda v: v.cast("double") / norm)).otherwise(F.transform(column, lambda v: v.cast("double")))
+    flat = principal(vectors.withColumn("_d", direction if metric == "cosine" else F.col(column)), "_d", components).drop("_d")
+    if neighbours < 2:
+        return flat
+    flat = durable(flat)
+    points, _ = _blocked(flat.withColumn("_all", F.lit(0)), key, "reduced", ["_all"], BLOCK_POINTS)
+    near = _nearest(points, ["_all"], neighbours - 1).select("n", F.explode(F.concat(F.transform("near", lambda e: e["m"]), F.array("n"))).alias("m"))
+    moved = near.join(points.select(F.col("n").alias("m"), "x"), "m").select("n", F.posexplode("x").alias("d", "v")).groupBy("n", "d").agg(F.avg("v").alias("v"))
+    middle = moved.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda e: e["v"]).alias("reduced"))
+    return flat.drop("reduced").join(points.select(F.col(key).alias("_key"), "n").join(middle, "n"), F.col(key) == F.col("_key")).drop("_key", "n")
 
 
 def centroids(vectors: DataFrame, cluster: str, column: str) -> DataFrame:
@@ -236,15 +438,39 @@ def sweep_summary(labelled: DataFrame, by: list[str]) -> DataFrame:
     return out.orderBy("largest_cluster_fraction", *by)
 
 
-def sweep(vectors: DataFrame, key: str, column: str, components: list[int], grid: list[tuple[int, str]]) -> DataFrame:
-    """Labels under every setting: each reduction is made once, the settings of the clustering run side by side."""
-    settings = vectors.sparkSession.createDataFrame(grid, "least_size int, method string")
-    parts = []
-    for k in components:
-        reduced = principal(vectors, column, k).select(key, "reduced", F.lit(k).alias("n_components"))
-        each = reduced.crossJoin(F.broadcast(settings))  # the settings are a short list of parameters
-        parts.append(density_clusters(each, key, "reduced", ["n_components", "least_size", "method"]))
+#: Settings that are tried by default: six reductions and eight clusterings of each.
+NEIGHBOURS, COMPONENTS, GRID = (15, 30), (5, 15, 30), tuple((size, method) for size in (5, 10, 20, 40) for method in ("eom", "leaf"))
+SETTING = ["n_neighbors", "n_components", "least_size", "method"]
+
+
+def reductions(vectors: DataFrame, key: str, column: str, components: Sequence[int] = COMPONENTS, neighbours: Sequence[int] = NEIGHBOURS, metric: str = "cosine") -> DataFrame:
+    """(key, reduced, n_neighbors, n_components): each reduction once."""
+    parts = [reduce(vectors.select(key, column), key, column, k, n, metric).select(key, "reduced", F.lit(n).alias("n_neighbors"), F.lit(k).alias("n_components")) for n in neighbours for k in components]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return durable(out)
+
+
+def settings_labels(reduced: DataFrame, key: str, grid: Sequence[tuple[int, str]] = GRID) -> DataFrame:
+    """(setting..., key, cluster_id, cluster_prob) of every reduction under every setting of the clustering, side by side."""
+    settings = reduced.sparkSession.createDataFrame(list(grid), "least_size int, method string")
+    each = reduced.crossJoin(F.broadcast(settings))  # the settings are a short list of parameters
+    return density_clusters(each, key, "reduced", SETTING)
+
+
+def sweep(vectors: DataFrame, key: str, column: str, components: Sequence[int] = COMPONENTS, grid: Sequence[tuple[int, str]] = GRID, neighbours: Sequence[int] = (0,), metric: str = "euclidean") -> DataFrame:
+    """Labels under every setting; without neighbours the reductions are plain principal components."""
+    return settings_labels(reductions(vectors, key, column, components, neighbours, metric), key, grid)
+
+
+def best_exemplars(reduced: DataFrame, labels: DataFrame, results: DataFrame, key: str, best: int = 3, most_clusters: int = 10, n: int = 5) -> DataFrame:
+    """(setting..., cluster_id, size, rank, key, distance): typical members of the largest clusters under the `best` most even settings."""
+    top = results.orderBy("largest_cluster_fraction", *SETTING).limit(best).select(*SETTING)
+    held = labels.where("cluster_id <> -1").join(F.broadcast(top), SETTING)  # at most `best` rows
+    sizes = held.groupBy(*SETTING, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.withColumn("_r", F.row_number().over(W.partitionBy(*SETTING).orderBy(F.desc("size"), "cluster_id"))).where(F.col("_r") <= most_clusters).drop("_r")
+    members = held.join(F.broadcast(largest), [*SETTING, "cluster_id"]).join(reduced, [key, "n_neighbors", "n_components"])
+    named = members.withColumn("_c", F.concat_ws(":", *SETTING, "cluster_id"))
+    near = exemplars(named, key, "_c", "reduced", n)
+    return near.join(F.broadcast(largest.withColumn("_c", F.concat_ws(":", *SETTING, "cluster_id"))), "_c").select(*SETTING, "cluster_id", "size", "rank", key, "distance")

@@ -34,3 +34,16 @@ def clusters(rows: list, texts: str = "exemplar_sentences") -> str:
         out.append(f"{r['cluster_id']:>{wide[0]}}  {r['size']:>{wide[1]}}  {said[0]}")
         out += [" " * (sum(wide) + 4) + s for s in said[1:]]
     return "\n".join(out)
+
+
+def sweep_exemplars(rows: list, by: Sequence[str]) -> str:
+    """Typical sentences of the largest clusters of each expanded setting."""
+    out: list[str] = []
+    shown = None
+    for r in sorted(rows, key=lambda r: ([r[c] for c in by], -r["size"], r["cluster_id"], r["rank"])):
+        if (setting := ", ".join(f"{c}={r[c]}" for c in by)) != shown:
+            out.append(setting)
+            shown = setting
+        head = f"{r['cluster_id']} ({r['size']})" if r["rank"] == 1 else ""
+        out.append(f"  {head:<14}{r['sentence']}")
+    return "\n".join(out) or "(no settings expanded)"

@@ -6,7 +6,7 @@ names on any file system that Spark can reach; nothing is kept on the driver's d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from datetime import UTC, datetime
 from itertools import batched, count
 from pathlib import Path
@@ -249,12 +249,12 @@ def _vectors(stage: Stage, limit: int | None) -> DataFrame:
     return durable(once.withColumn("embedding", density.embed(F.col("masked_sentence"))))
 
 
-def run_cluster(spark: SparkSession, src: Path | str, out: Path | str, components: int = 15, least_size: int = 5, method: str = "eom", limit: int | None = None) -> dict:
+def run_cluster(spark: SparkSession, src: Path | str, out: Path | str, components: int = 15, least_size: int = 5, method: str = "eom", limit: int | None = None, neighbours: int = 15, metric: str = "cosine") -> dict:
     stage = Stage("cluster", spark, src, out)
     vectors = _vectors(stage, limit)
-    config = {"components": components, "least_size": least_size, "method": method, "n_sentences": vectors.count(), "embedder": "hashed_words"}
+    config = {"components": components, "neighbours": neighbours, "metric": metric, "least_size": least_size, "method": method, "n_sentences": vectors.count(), "embedder": "hashed_words"}
     stage.write("sentence_embeddings", vectors.select("sentence_id", "embedding"))
-    reduced = density.principal(vectors, "embedding", components)
+    reduced = durable(density.reduce(vectors, "sentence_id", "embedding", components, neighbours, metric))
     labels = stage.write("relation_clusters", density.density_clusters(reduced, "sentence_id", "reduced", least_size=least_size, method=method))
     labelled = reduced.select("sentence_id", "sentence", "reduced").join(labels, "sentence_id")
     stage.write("cluster_summary", density.summary(labelled, "sentence_id", "sentence", "reduced", config))
@@ -262,11 +262,17 @@ def run_cluster(spark: SparkSession, src: Path | str, out: Path | str, component
     return stage.done(row, **config)
 
 
-def run_sweep(spark: SparkSession, src: Path | str, out: Path | str, components: list[int], grid: list[tuple[int, str]], limit: int | None = 5000) -> dict:
+def run_sweep(spark: SparkSession, src: Path | str, out: Path | str, components: list[int], grid: list[tuple[int, str]], limit: int | None = 5000, neighbours: Sequence[int] = (15,), metric: str = "cosine", best: int = 0) -> dict:
+    """Every setting over the first sentences; the `best` most even ones get the typical sentences of their largest clusters."""
     stage = Stage("cluster-sweep", spark, src, out)
-    labels = density.sweep(_vectors(stage, limit), "sentence_id", "embedding", components, grid)
-    results = stage.write("sweep_results", density.sweep_summary(labels, ["n_components", "least_size", "method"]))
-    return stage.done({"settings": results.count()}, components=components, grid=[list(g) for g in grid], limit=limit)
+    vectors = _vectors(stage, limit)
+    reduced = density.reductions(vectors, "sentence_id", "embedding", components, neighbours, metric)
+    labels = durable(density.settings_labels(reduced, "sentence_id", grid))
+    results = stage.write("sweep_results", density.sweep_summary(labels, density.SETTING))
+    if best:
+        typical = density.best_exemplars(reduced, labels, results, "sentence_id", best)
+        stage.write("sweep_exemplars", typical.join(vectors.select("sentence_id", "sentence"), "sentence_id"))
+    return stage.done({"settings": results.count()}, components=components, neighbours=list(neighbours), metric=metric, grid=[list(g) for g in grid], limit=limit, best=best)
 
 
 def run_estimate(spark: SparkSession, out: Path | str, client: WikiClient, titles: list[str], sample: int = 40, seed_number: int = 7) -> dict:
