@@ -387,8 +387,9 @@ def reduce(vectors: DataFrame, key: str, column: str, components: int = 15, neig
     flat = durable(flat)
     points, _ = _blocked(flat.withColumn("_all", F.lit(0)), key, "reduced", ["_all"], BLOCK_POINTS)
     near = _nearest(points, ["_all"], neighbours - 1).select("n", F.explode(F.concat(F.transform("near", lambda e: e["m"]), F.array("n"))).alias("m"))
-    moved = near.join(points.select(F.col("n").alias("m"), "x"), "m").select("n", F.posexplode("x").alias("d", "v")).groupBy("n", "d").agg(F.avg("v").alias("v"))
-    middle = moved.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda e: e["v"]).alias("reduced"))
+    dims = points.agg(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
+    moved = near.join(points.select(F.col("n").alias("m"), "x"), "m").groupBy("n")
+    middle = moved.agg(F.array(*[F.avg(F.get("x", F.lit(d))) for d in range(dims)]).alias("reduced"))
     return flat.drop("reduced").join(points.select(F.col(key).alias("_key"), "n").join(middle, "n"), F.col(key) == F.col("_key")).drop("_key", "n")
 
 

@@ -12,7 +12,7 @@ from tiesmith.functions import spans as spn
 from tiesmith.functions import text as txt
 from tiesmith.operators import annotate, assemble, attributes, clean, density, fetching, graph, masking, mentions, resolve, seed, segment
 from tiesmith.plans import star
-from tiesmith.session import table
+from tiesmith.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -68,11 +68,14 @@ def gap_fill(log: DataFrame) -> DataFrame:
 
 @query(
     "entities",
+    "documents",
     sql="""SELECT count(*) AS people, count(*) FILTER (birth_year IS NULL) AS without_birth_year, count(*) FILTER (death_year IS NULL) AS without_death_year,
-    count(*) FILTER (gender IS NULL) AS without_gender, 0 AS with_variants FROM entities""",
+    count(*) FILTER (gender IS NULL) AS without_gender, count(*) FILTER (n > 1) AS with_variants FROM entities LEFT JOIN (SELECT qid, count(*) AS n FROM documents GROUP BY 1) USING (qid)""",
 )
-def seed_quality(entities: DataFrame) -> DataFrame:
-    return seed.seed_quality(entities.withColumn("variants", F.lit(0)))
+def seed_quality(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """A person with several documents counts as one of several rows."""
+    rows = documents.where("qid IS NOT NULL").groupBy("qid").agg((F.count(F.lit(1)) - 1).alias("variants"))
+    return seed.seed_quality(entities.join(rows, "qid", "left").withColumn("variants", F.coalesce("variants", F.lit(0))))
 
 
 @query(
@@ -185,13 +188,14 @@ def cache_guard(documents: DataFrame, entities: DataFrame) -> DataFrame:
 
 @query(
     "documents",
-    sql="""WITH t AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL),
-    a AS (SELECT title AS source, arg_max(split_part(title, ' ', 1), doc_id) AS target FROM documents WHERE title LIKE '% %' GROUP BY 1)
-    SELECT t.title, coalesce(a.target, t.title) AS resolved_title FROM t LEFT JOIN a ON a.source = t.title""",
+    sql="""SELECT title, array_to_string(w[:greatest(1, len(w) - 4)], '') AS resolved_title FROM (SELECT DISTINCT title, string_split(title, '') AS w FROM documents WHERE title IS NOT NULL)""",
 )
 def alias_chase(documents: DataFrame) -> DataFrame:
-    aliases = documents.where("title LIKE '% %'").select(F.col("title").alias("source"), F.split_part("title", F.lit(" "), F.lit(1)).alias("target"), F.col("doc_id").alias("ord"))
-    return resolve.chase_aliases(documents.where("title IS NOT NULL").select("title").distinct(), aliases)
+    """Every beginning of a title is an alias of the one that is a sign shorter; an older row that leads elsewhere is overridden."""
+    titles = documents.where("title IS NOT NULL").select("title").distinct()
+    cut = F.explode(F.sequence(F.lit(2), F.length("title"))).alias("n")
+    steps = titles.where(F.length("title") > 1).select("title", cut).select(F.substring("title", F.lit(1), F.col("n")).alias("source"), F.substring("title", F.lit(1), F.col("n") - 1).alias("target"), F.lit(2).alias("ord"))
+    return resolve.chase_aliases(titles, steps.unionByName(steps.select("source", F.lit("old").alias("target"), F.lit(1).alias("ord"))))
 
 
 @query(
@@ -230,7 +234,7 @@ pairs AS (SELECT doc_id, section_idx, sent_idx, subject_id AS head_entity_id, en
 
 @query("mentions", sql=f"WITH {_PEOPLE} SELECT concat_ws(':', doc_id, section_idx, sent_idx, head_entity_id, tail_entity_id) AS candidate_id, doc_id, section_idx, sent_idx, head_entity_id, tail_entity_id, head_start, tail_start, rule, CAST(people AS INTEGER) AS people_in_sentence FROM pairs")
 def candidate_pairs(found: DataFrame) -> DataFrame:
-    pairs = mentions.candidate_pairs(_people(found)).withColumn("head_start", F.coalesce("head_start", F.lit(-1)))
+    pairs = mentions.candidate_pairs(durable(_people(found))).withColumn("head_start", F.coalesce("head_start", F.lit(-1)))
     return pairs.select("candidate_id", *SENTENCE, "head_entity_id", "tail_entity_id", "head_start", "tail_start", "rule", "people_in_sentence")
 
 
@@ -241,7 +245,7 @@ def suppressed_pairs(found: DataFrame) -> DataFrame:
 
 @query("documents", "mentions", sql=f"WITH {_PEOPLE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)")
 def documents_without_pairs(documents: DataFrame, found: DataFrame) -> DataFrame:
-    return mentions.without_pairs(documents, mentions.candidate_pairs(_people(found)))
+    return mentions.without_pairs(documents, mentions.candidate_pairs(durable(_people(found))))
 
 
 @query("mentions", sql="SELECT mention_type, link_method, count(*) AS mentions, count(DISTINCT doc_id) AS documents, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT * FROM mentions) GROUP BY 1, 2")
@@ -254,12 +258,15 @@ def mention_counts(found: DataFrame) -> DataFrame:
     "entities",
     sql="""WITH m AS (SELECT DISTINCT * FROM mentions), d AS (SELECT DISTINCT entity_id, doc_id FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY doc_id) AS r FROM d)
     SELECT c.entity_id, c.canonical_name, coalesce(e.in_seed, FALSE) AS in_seed, c.mention_count, x.doc_count, f.doc_ids FROM
-    (SELECT entity_id, count(*) AS mention_count, arg_min_null(surface, row(doc_id, coalesce(section_idx, -1), coalesce(start_char, -1))) AS canonical_name FROM m GROUP BY 1) c
+    (SELECT entity_id, count(*) AS mention_count, arg_min_null(CASE WHEN mention_type = 'link' THEN coalesce(n.canonical_name, surface) ELSE surface END, row(doc_id, coalesce(section_idx, -1), coalesce(start_char, -1))) AS canonical_name
+      FROM m LEFT JOIN (SELECT qid, max(canonical_name) AS canonical_name FROM entities GROUP BY 1) n ON n.qid = m.entity_id GROUP BY 1) c
     JOIN (SELECT entity_id, count(*) AS doc_count FROM d GROUP BY 1) x USING (entity_id) JOIN (SELECT entity_id, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM r WHERE r <= 50 GROUP BY 1) f USING (entity_id)
     LEFT JOIN (SELECT DISTINCT qid, TRUE AS in_seed FROM entities WHERE in_seed) e ON e.qid = c.entity_id""",
 )
 def entity_rollup(found: DataFrame, entities: DataFrame) -> DataFrame:
-    rolled = mentions.roll_up(_once(found), entities.where("in_seed"))
+    titles = entities.groupBy(F.col("qid").alias("entity_id")).agg(F.max("canonical_name").alias("_title"))  # the articles that links lead to
+    named = _once(found).join(titles, "entity_id", "left").withColumn("name", F.when(F.col("mention_type") == "link", F.coalesce("_title", "surface")).otherwise(F.col("surface")))
+    rolled = mentions.roll_up(named, entities.where("in_seed"))
     return rolled.withColumn("doc_ids", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ","))
 
 
@@ -296,14 +303,32 @@ def _sections(documents: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("doc_id", F.lit(0).alias("section_idx"), "text")
 
 
-@query("documents")
+_S = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_CLOSING = r"[.!?]SIGNS[\"”’)\]]*" + _S + "+"
+_ABBREVIATED = r"((?:^|[^\p{L}\p{N}_])(?:" + "|".join(a.replace(".", r"\.") for a in segment.ABBREVIATIONS) + r"|\p{Lu})" + _CLOSING.replace("SIGNS", "") + ")"
+_UNITS = f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS t, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS idx FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p),
+m AS (SELECT doc_id, idx, base, regexp_replace(t, '({_CLOSING.replace("SIGNS", "+")})(["“(\\[¿¡]?[\\p{{Lu}}\\p{{Nd}}])', '\\1' || chr(1) || '\\2', 'g') AS t FROM o),
+x AS (SELECT doc_id, idx, base, regexp_replace(regexp_replace(t, '{_ABBREVIATED}' || chr(1), '\\1', 'g'), '{_ABBREVIATED}' || chr(1), '\\1', 'g') AS t FROM m),
+parts AS (SELECT doc_id, idx, base, unnest(string_split(t, chr(1))) AS t, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM x),
+placed AS (SELECT *, base + coalesce(sum(length(t)) OVER (PARTITION BY doc_id, idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, regexp_replace(t, '^{_S}+', '') AS r FROM parts),
+s AS (SELECT doc_id, idx, pos + length(t) - length(r) AS a, regexp_replace(r, '{_S}+$', '') AS t, row_number() OVER (PARTITION BY doc_id, idx ORDER BY i) AS rn FROM placed WHERE r <> ''),
+b AS (SELECT *, a + length(t) AS z, length(replace(t, ']', '')) - length(replace(t, '[', '')) AS more FROM s),
+f AS (SELECT doc_id, idx, rn, a AS g, z, more AS balance, 0 AS merges FROM b WHERE rn = 1 UNION ALL
+  SELECT b.doc_id, b.idx, b.rn, CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.g ELSE b.a END, b.z, CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.balance + b.more ELSE b.more END,
+  CASE WHEN f.balance > 0 AND f.merges < 4 THEN f.merges + 1 ELSE 0 END FROM f JOIN b ON b.doc_id = f.doc_id AND b.idx = f.idx AND b.rn = f.rn + 1),
+u AS (SELECT doc_id, idx, g, max(z) AS z FROM f GROUP BY 1, 2, 3)"""
+
+
+@query("documents", sql=_UNITS + """ SELECT u.doc_id, 0 AS section_idx, CAST(row_number() OVER (PARTITION BY u.doc_id ORDER BY g) - 1 AS INTEGER) AS sent_idx, CAST(g AS INTEGER) AS start, CAST(z AS INTEGER) AS "end",
+    substring(text, CAST(g AS BIGINT) + 1, CAST(z - g AS BIGINT)) AS text FROM u JOIN documents USING (doc_id)""")
 def sentence_units(documents: DataFrame) -> DataFrame:
     return segment.segment(_sections(documents))
 
 
-@query("documents")
+@query("documents", sql=_UNITS + " SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS sections, count(DISTINCT (doc_id, idx)) AS paragraphs, count(*) AS sentences, (SELECT count(*) FROM b) - count(*) AS merges FROM u")
 def segment_counts(documents: DataFrame) -> DataFrame:
-    return segment.segment_counts(segment.segment(_sections(documents)))
+    return segment.segment_counts(segment.units(_sections(documents)))
 
 
 @query(
@@ -394,6 +419,24 @@ def _records(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return assemble.relations(_candidates(candidates).withColumn("head", none).withColumn("tail", none), _spans(spans), None, STOP)
 
 
+def _located(candidates: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:
+    return attributes.with_participants(_candidates(candidates), entities, sentences.select("sentence_id", F.col("start_char").alias("start")))
+
+
+_DISTINCT = "SELECT DISTINCT candidate_id, sentence_id, doc_id, section_idx, sent_idx, sentence, head_entity_id, tail_entity_id, head_span, tail_span, rule_name, people_in_sentence FROM candidates"
+_WHOLE = r"""CASE WHEN sp IS NULL AND {v} <> '' AND regexp_matches(t, '(?s)(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape({v}) || '(?:$|[^\p{{L}}\p{{N}}_])')
+  THEN length(regexp_extract(t, '(?s)^(.*?(?:^|[^\p{{L}}\p{{N}}_]))' || regexp_escape({v}) || '(?:$|[^\p{{L}}\p{{N}}_])', 1)) ELSE -1 END"""
+_LOCATED = rf"""c AS (SELECT *, row_number() OVER () AS rid FROM ({_DISTINCT})), st AS (SELECT sentence_id, min(start_char) AS base FROM sentences GROUP BY 1),
+side AS (SELECT rid, 'head' AS side, sentence AS t, CASE WHEN len(head_span) = 2 THEN head_span END AS sp, head_entity_id AS e, coalesce(base, 0) AS base FROM c LEFT JOIN st USING (sentence_id)
+  UNION ALL SELECT rid, 'tail', sentence, CASE WHEN len(tail_span) = 2 THEN tail_span END, tail_entity_id, coalesce(base, 0) FROM c LEFT JOIN st USING (sentence_id)),
+named AS (SELECT side.*, trim(regexp_replace(n.canonical_name, '\s*\([^)]*\)\s*$', '')) AS f, CASE n.gender WHEN 'Q6581097' THEN 'he|him|his' WHEN 'Q6581072' THEN 'she|her|hers' ELSE 'he|him|his|she|her|hers' END AS w
+  FROM side LEFT JOIN (SELECT qid, max(canonical_name) AS canonical_name, max(gender) AS gender FROM entities GROUP BY 1) n ON n.qid = side.e),
+tried AS (SELECT *, string_split_regex(f, '\s+')[-1] AS l FROM named), sought AS (SELECT *, {_WHOLE.format(v="f")} AS pf, {_WHOLE.format(v="l")} AS pl, sp IS NULL AND regexp_matches(t, '(?si)\b(?:' || w || ')\b') AS spoken FROM tried),
+place AS (SELECT rid, side, t, CASE WHEN sp IS NOT NULL THEN CASE WHEN sp[1] >= base AND sp[1] < sp[2] AND sp[2] - base <= length(t) THEN 'span' END WHEN pf >= 0 OR pl >= 0 THEN 'name' WHEN spoken THEN 'pronoun' END AS method,
+  CASE WHEN sp IS NOT NULL THEN sp[1] - base WHEN pf >= 0 THEN pf WHEN pl >= 0 THEN pl ELSE length(regexp_extract(t, '(?si)^(.*?)\b(?:' || w || ')\b', 1)) END AS a,
+  CASE WHEN sp IS NOT NULL THEN sp[2] - base WHEN pf >= 0 THEN pf + length(f) WHEN pl >= 0 THEN pl + length(l) ELSE length(regexp_extract(t, '(?si)^(.*?\b(?:' || w || '))\b', 1)) END AS b FROM sought)"""
+
+
 _RECORDS = """c AS (SELECT DISTINCT candidate_id, sentence_id, sentence, head_entity_id, tail_entity_id, head_span, tail_span, rule_name, people_in_sentence FROM candidates),
 a AS (SELECT DISTINCT span_id, sentence_id, candidate_id, lower(attr_type) AS attr_type, value FROM attribute_spans),
 r AS (SELECT c.*, a.attr_type, a.value FROM c LEFT JOIN a ON (a.candidate_id IS NULL AND a.sentence_id = c.sentence_id) OR a.candidate_id = c.candidate_id)"""
@@ -419,24 +462,26 @@ def institution_filter(candidates: DataFrame, spans: DataFrame) -> DataFrame:
 @query(
     "candidates",
     "attribute_spans",
-    sql=f"""WITH c AS (SELECT *, row_number() OVER () AS rid FROM (SELECT DISTINCT candidate_id, sentence_id, sentence, head_entity_id, tail_entity_id, head_span, tail_span, rule_name, people_in_sentence FROM candidates)),
+    "entities",
+    "sentences",
+    sql=f"""WITH {_LOCATED},
     a AS (SELECT DISTINCT sentence_id, candidate_id, span[1] AS a, span[2] AS b FROM attribute_spans WHERE span IS NOT NULL), sp AS (SELECT c.rid, a.a, a.b FROM c JOIN a ON a.candidate_id IS NULL AND a.sentence_id = c.sentence_id
-      UNION ALL SELECT c.rid, a.a, a.b FROM c JOIN a ON a.candidate_id = c.candidate_id),
+      UNION ALL SELECT c.rid, a.a, a.b FROM c JOIN a ON a.candidate_id = c.candidate_id UNION ALL SELECT rid, a, b FROM place WHERE method IS NOT NULL),
     w AS (SELECT rid, unnest(string_split(sentence, ' ')) AS t, generate_subscripts(string_split(sentence, ' '), 1) AS i FROM c), o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM w),
     k AS (SELECT rid, off FROM o WHERE regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in STOP)})),
     v AS (SELECT k.rid, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM sp WHERE sp.rid = k.rid AND sp.a <= k.off AND k.off < sp.b)) AS h FROM k GROUP BY 1),
-    r AS (SELECT c.rid, CASE WHEN v.n IS NULL THEN 1.0 ELSE round(v.h / v.n, 4) END AS coverage FROM c LEFT JOIN v USING (rid))
-    SELECT count(*) AS records, count(*) FILTER (coverage < 0.5) AS low, round(count(*) FILTER (coverage < 0.5) / count(*), 4) AS low_rate, round(avg(coverage), 4) AS mean_coverage, 0.0::DOUBLE AS pronoun_rate FROM r""",
+    q AS (SELECT rid, bool_or(coalesce(method = 'pronoun', FALSE)) AS q FROM place GROUP BY 1),
+    r AS (SELECT c.rid, q, CASE WHEN v.n IS NULL THEN 1.0 ELSE round(v.h / v.n, 4) END AS coverage FROM c LEFT JOIN v USING (rid) JOIN q USING (rid))
+    SELECT count(*) AS records, count(*) FILTER (coverage < 0.5) AS low, round(count(*) FILTER (coverage < 0.5) / count(*), 4) AS low_rate, round(avg(coverage), 4) AS mean_coverage, round(count(*) FILTER (q) / count(*), 4) AS pronoun_rate FROM r""",
 )
-def relation_split(candidates: DataFrame, spans: DataFrame) -> DataFrame:
-    return assemble.coverage_counts(_records(candidates, spans))
+def relation_split(candidates: DataFrame, spans: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:
+    return assemble.coverage_counts(assemble.relations(_located(candidates, entities, sentences), _spans(spans), None, STOP))
 
 
-@query("candidates", "entities", "sentences")
+@query("candidates", "entities", "sentences", sql=f"WITH {_LOCATED} SELECT rule_name, coalesce(h.method, 'none') AS head, coalesce(t.method, 'none') AS tail, count(*) AS pairs FROM c JOIN place h ON h.rid = c.rid AND h.side = 'head' JOIN place t ON t.rid = c.rid AND t.side = 'tail' GROUP BY 1, 2, 3")
 def participants(candidates: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:
     """Where both participants of each pair stand in their sentence, and how they were found."""
-    starts = sentences.select("sentence_id", F.col("start_char").alias("start"))
-    found = attributes.with_participants(_candidates(candidates), entities, starts)
+    found = _located(candidates, entities, sentences)
     return found.groupBy("rule_name", F.coalesce("head.method", F.lit("none")).alias("head"), F.coalesce("tail.method", F.lit("none")).alias("tail")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -444,8 +489,8 @@ def participants(candidates: DataFrame, entities: DataFrame, sentences: DataFram
 def detected_attributes(candidates: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:
     """Named and action spans by the default annotator, over the distinct sentences of all pairs."""
     pairs = _candidates(candidates)
-    annotated = annotate.annotate(pairs.select("sentence_id", F.col("sentence").alias("text")))
-    located = attributes.with_participants(pairs, entities, sentences.select("sentence_id", F.col("start_char").alias("start")))
+    annotated = durable(annotate.annotate(pairs.select("sentence_id", F.col("sentence").alias("text"))))
+    located = _located(candidates, entities, sentences)
     return attributes.named_spans(annotated).unionByName(attributes.action_spans(located, annotated))
 
 
@@ -498,7 +543,31 @@ def dedup_sentences(candidates: DataFrame) -> DataFrame:
     return masking.distinct_sentences(candidates)
 
 
-@query("candidates", "mentions", "sentences", "entities")
+_NAME = r"(^|[^\p{L}\p{N}_])' || regexp_escape({v}) || '($|[^\p{L}\p{N}_])"
+_MASKED = "regexp_replace(regexp_replace({t}, '" + _NAME + "', '\\1[PERSON]\\2', 'g'), '" + _NAME + "', '\\1[PERSON]\\2', 'g')"
+
+
+def _without(text: str, name: str) -> str:
+    """SQL of a text without a name as a whole word; twice, as neighbours share the sign between them."""
+    return f"CASE WHEN {name} <> '' THEN " + _MASKED.replace("{t}", text).replace("{v}", name) + f" ELSE {text} END"
+
+
+@query(
+    "candidates",
+    "mentions",
+    "sentences",
+    "entities",
+    sql=rf"""WITH RECURSIVE once AS (SELECT doc_id, concat_ws(':', doc_id, section_idx, sent_idx) AS sentence_id, min(sentence) AS t FROM candidates GROUP BY doc_id, section_idx, sent_idx),
+    st AS (SELECT sentence_id, min(start_char) AS base FROM sentences GROUP BY 1), m AS (SELECT DISTINCT * FROM mentions),
+    sp AS (SELECT DISTINCT sentence_id, start_char - base AS a, end_char - base AS b FROM m JOIN st ON st.sentence_id = concat_ws(':', doc_id, section_idx, sent_idx) WHERE mention_type = 'link'),
+    good AS (SELECT sp.*, row_number() OVER (PARTITION BY sentence_id ORDER BY a DESC, b DESC) AS r FROM sp JOIN once USING (sentence_id) WHERE a >= 0 AND a < b AND b <= length(t)),
+    cut AS (SELECT sentence_id, doc_id, t, 0 AS r FROM once UNION ALL SELECT c.sentence_id, c.doc_id, substring(c.t, 1, g.a) || '[PERSON]' || substring(c.t, g.b + 1), g.r FROM cut c JOIN good g ON g.sentence_id = c.sentence_id AND g.r = c.r + 1),
+    done AS (SELECT sentence_id, any_value(doc_id) AS doc_id, arg_max(t, r) AS t FROM cut GROUP BY 1),
+    who AS (SELECT doc_id, max(coalesce(e.canonical_name, surface)) AS n FROM m LEFT JOIN (SELECT qid, max(canonical_name) AS canonical_name FROM entities GROUP BY 1) e ON e.qid = m.entity_id WHERE mention_type = 'subject' GROUP BY 1),
+    v AS (SELECT doc_id, coalesce(f, '') AS f, coalesce(string_split_regex(f, '\s+')[-1], '') AS l FROM (SELECT doc_id, trim(regexp_replace(n, '\s*\([^)]*\)\s*$', '')) AS f FROM who)),
+    whole AS (SELECT sentence_id, {_without("t", "coalesce(f, '')")} AS t, coalesce(l, '') AS l FROM done LEFT JOIN v USING (doc_id))
+    SELECT sentence_id, {_without("t", "l")} AS masked_sentence FROM whole""",
+)
 def masked_sentences(candidates: DataFrame, found: DataFrame, sentences: DataFrame, entities: DataFrame) -> DataFrame:
     once = _once(found)
     spans = masking.people_spans(once, sentences.select("sentence_id", F.col("start_char").alias("start")))
@@ -538,8 +607,8 @@ def density_sweep(vectors: DataFrame) -> DataFrame:
 
 @query("documents")
 def html_sections(documents: DataFrame) -> DataFrame:
-    """Sections with link spans of every document that holds paragraphs of HTML, checked."""
-    pages = documents.where(F.contains("text", F.lit("<p"))).select("doc_id", F.col("text").alias("html"))
+    """Sections with link spans of every document read as HTML, checked; plain text has no paragraph and gives none."""
+    pages = documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("html"))
     parsed = pages.select("doc_id", clean.sections_udf(link="a[href]")(F.col("html")).alias("sections"))
     return parsed.select("doc_id", F.size("sections").alias("sections"), F.size(clean.offset_problems(F.col("sections"))).alias("problems"), F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(s["links"])).alias("links"))
 
@@ -552,29 +621,35 @@ def offset_check(documents: DataFrame) -> DataFrame:
     return flat.groupBy("source").agg(F.count(F.lit(1)).alias("links"), F.count_if(sound).alias("sound"))
 
 
-# --- fixed rows: what no table holds ----------------------------------------------------------
-
-#: Heads of a small sentence's tokens, and pairs of tokens with the ends of the path between them.
-_HEADS = [("He", 0, 1), ("met", 3, 1), ("Ann", 7, 1), ("in", 11, 1), ("Rome", 14, 3)]
-_PATHS = [(2, 4, 3, 18), (0, 2, 0, 10), (0, 0, 0, 2), (3, 0, 0, 13)]
+# --- trees and statements ---------------------------------------------------------------------
 
 
-@query("region", sql="SELECT * FROM (VALUES " + ", ".join(map(str, _PATHS)) + ") t(head, tail, path_start, path_end)")
-def dependency_path(_: DataFrame) -> DataFrame:
-    tokens = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("idx"), F.lit(w).alias("text"), F.lit(h).alias("head")) for i, (w, at, h) in enumerate(_HEADS)])
-    pairs = _.sparkSession.createDataFrame([p[:2] for p in _PATHS], "head int, tail int").withColumn("tokens", tokens)
-    span = attributes.path_span(F.col("tokens"), F.col("head"), F.col("tail"))
-    return pairs.select("head", "tail", span["start"].alias("path_start"), span["end"].alias("path_end"))
-
-
-_YEARS = [("a", "preferred", "+1901-01-01T00:00:00Z", "normal", "+1900-01-01T00:00:00Z", 1901), ("b", "deprecated", "+1800-01-01T00:00:00Z", "normal", "-0384-00-00T00:00:00Z", -384), ("c", "normal", "+1850-00-00T00:00:00Z", "normal", "+1860-00-00T00:00:00Z", 1850)]
-
-
-@query("region", sql="SELECT * FROM (VALUES " + ", ".join(f"('{y[0]}', {y[5]})" for y in _YEARS) + ") t(k, claim_year)")
-def claim_years(_: DataFrame) -> DataFrame:
-    rows = _.sparkSession.createDataFrame([y[:5] for y in _YEARS], "k string, r1 string, t1 string, r2 string, t2 string")
-    one = lambda r, t: F.struct(F.col(r).alias("rank"), F.struct(F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.col(t).alias("time")).alias("value")).alias("datavalue")).alias("mainsnak"))
-    return rows.select("k", claims.claim_year(F.array(one("r1", "t1"), one("r2", "t2"))).alias("claim_year"))
+@query(
+    "sentences",
+    sql="""WITH RECURSIVE s AS (SELECT DISTINCT sentence_id, text FROM sentences), w AS (SELECT sentence_id, text, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM s),
+    o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY sentence_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM w),
+    tok AS (SELECT sentence_id, text, off, off + length(t) AS stop, row_number() OVER (PARTITION BY sentence_id, text ORDER BY i) - 1 AS k FROM o WHERE length(t) > 0), n AS (SELECT sentence_id, text, count(*) AS n FROM tok GROUP BY 1, 2),
+    ends AS (SELECT sentence_id, text, 'a' AS side, n // 3 AS k, 0 AS d FROM n UNION ALL SELECT sentence_id, text, 'b', n - 1, 0 FROM n),
+    up AS (SELECT * FROM ends UNION ALL SELECT sentence_id, text, side, k // 2, d + 1 FROM up WHERE k > 0),
+    meet AS (SELECT a.sentence_id, a.text, min(a.d) AS da, arg_min(b.d, a.d) AS db FROM up a JOIN up b ON a.sentence_id = b.sentence_id AND a.text = b.text AND a.k = b.k WHERE a.side = 'a' AND b.side = 'b' GROUP BY 1, 2)
+    SELECT up.sentence_id, CAST(min(off) AS INTEGER) AS path_start, CAST(max(stop) AS INTEGER) AS path_end FROM up JOIN meet USING (sentence_id, text) JOIN tok USING (sentence_id, text, k) WHERE up.d <= CASE side WHEN 'a' THEN da ELSE db END GROUP BY up.sentence_id, up.text""",
+)
+def dependency_path(sentences: DataFrame) -> DataFrame:
+    """The path between the token a third into each sentence and its last, in a tree where token i hangs on token i / 2."""
+    parts = sentences.select("sentence_id", "text").distinct().withColumn("p", assemble.tokens(F.col("text"), F.array().cast("array<string>"))).where(F.size("p") > 0)
+    tokens = F.transform("p", lambda t, i: F.struct(i.alias("i"), t["start"].alias("idx"), F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]).alias("text"), F.floor(i / 2).cast("int").alias("head")))
+    span = attributes.path_span(tokens, F.floor(F.size("p") / 3).cast("int"), F.size("p") - 1)
+    return parts.select("sentence_id", span.alias("s")).select("sentence_id", F.col("s.start").alias("path_start"), F.col("s.end").alias("path_end"))
+
+
+@query("entities", sql="SELECT qid, coalesce(death_year, birth_year, -1) AS claim_year FROM entities")
+def claim_years(entities: DataFrame) -> DataFrame:
+    """The year that statements of three ranks give: a preferred one for the death, a normal one for the birth, a deprecated one that never counts."""
+    time = lambda y: F.when(y.isNotNull(), F.concat(F.lit("+"), y.cast("string"), F.lit("-01-01T00:00:00Z")))
+    one = lambda rank, y: F.struct(F.lit(rank).alias("rank"), F.struct(F.struct(F.struct(F.lit(None).cast("string").alias("id"), time(y).alias("time")).alias("value")).alias("datavalue")).alias("mainsnak"))
+    every = F.array(one("deprecated", F.col("birth_year") - 100), one("normal", F.col("birth_year")), one("preferred", F.col("death_year")))
+    held = F.filter(every, lambda c: c["mainsnak"]["datavalue"]["value"]["time"].isNotNull())
+    return entities.select("qid", F.coalesce(claims.claim_year(held), F.lit(-1)).alias("claim_year"))
 
 
 @query("candidates", "entities", sql="SELECT c.tail_entity_id AS qid, coalesce(any_value(e.canonical_name), c.tail_entity_id) AS label, count(*) AS pairs FROM (SELECT DISTINCT candidate_id, tail_entity_id FROM candidates) c LEFT JOIN (SELECT qid, max(canonical_name) AS canonical_name FROM entities GROUP BY 1) e ON e.qid = c.tail_entity_id GROUP BY 1")
