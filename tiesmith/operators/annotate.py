@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +60,13 @@ def by_rule(text: str, stop: Collection[str] = STOP) -> tuple[list[dict], list[d
 def annotate(sentences: DataFrame, key: str = "sentence_id", text: str = "text", annotator: Callable[[str], tuple[list[dict], list[dict]]] = by_rule) -> DataFrame:
     """(key, text, tokens, ents) of each distinct sentence: duplicates go before the costly pass."""
 
-    @F.pandas_udf(f"struct<tokens:{TOKENS},ents:{ENTITIES}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<tokens:{TOKENS},ents:{ENTITIES}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token = pa.struct([("i", pa.int32()), ("idx", pa.int32()), ("text", pa.string()), ("head", pa.int32()), ("is_space", pa.bool_()), ("is_stop", pa.bool_()), ("is_punct", pa.bool_())])
+        entity = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())])
         for texts in batches:
-            done = [annotator(t) if t else ([], []) for t in texts]
-            yield pd.DataFrame({"tokens": [d[0] for d in done], "ents": [d[1] for d in done]})
+            done = [annotator(t) if t else ([], []) for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.list_(token)), pa.array([d[1] for d in done], pa.list_(entity))], ["tokens", "ents"])
 
     once = sentences.groupBy(key).agg(F.min(text).alias(text))
     return once.withColumn("a", run(F.col(text))).select(key, text, "a.tokens", "a.ents")
