@@ -63,7 +63,7 @@ def test_hot_clusters_are_compared_in_blocks(spark, monkeypatch):
 
 
 def test_large_clusters_are_divided(spark, monkeypatch):
-    for name, value in (("PART", 20), ("ASSIGNED", 60)):
+    for name, value in (("PART", 20), ("COPIES", 3)):
         monkeypatch.setattr(c, name, value)
     rows = corpus(400)
     df = spark.createDataFrame(rows, "sentence_id string, masked string")
@@ -80,7 +80,7 @@ def windows(n):
 
 
 def test_large_clusters_lose_no_pair(spark, monkeypatch):
-    for name, value in (("PART", 1), ("ASSIGNED", 60)):
+    for name, value in (("PART", 1), ("COPIES", 3)):
         monkeypatch.setattr(c, name, value)
     df = spark.createDataFrame(windows(200), "sentence_id string, masked string")
     model = c.fit(c.word_sets(df, "sentence_id", "masked"), 1)
@@ -140,3 +140,11 @@ def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert c.similar_pairs(empty, "sentence_id", "masked").count() == 0
     assert c.cluster_members(empty, "sentence_id", "masked").count() == 0
+
+
+def test_many_copies_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(c, "COPIES", 7)
+    rows = [(f"k{n:02}", "one and the same wording" if n % 2 else "another wording " + "abcdefgh"[n % 5]) for n in range(60)]
+    df = spark.createDataFrame(rows * 2, "sentence_id string, masked string")
+    got = [tuple(r) for r in c.similar_pairs(df, "sentence_id", "masked").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6)

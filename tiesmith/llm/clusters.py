@@ -37,8 +37,8 @@ MOST_CLUSTERS = 4096
 SETTLED = 1e-3
 #: Points of a cluster before its pairs are sought by rare words, and points with one rare word in a block then.
 SPLIT, PART = 100_000, 50_000
-#: No longer of effect.
-ASSIGNED = 500_000
+#: Keys of one point before they meet in blocks.
+COPIES = 1024
 _PRODUCTS = 2048
 #: Rows of whole groups that are taken together, candidates at a time, rows of a run that are just compared, words a run shares at most.
 _MEETING, _PAIRS, _LONG_RUN, _DEPTH = 32_768, 1_000_000, 32, 6
@@ -550,8 +550,24 @@ def similar_pairs(rows: DataFrame, key: str, text: str, share: float = 0.6, k: i
     members = sets.groupBy("key").agg(F.min("point").alias("point"))
     one, two = members.selectExpr("key AS one", "point AS a"), members.selectExpr("key AS two", "point AS b")
     across = pairs.join(one, "a").join(two, "b").select("one", "two")
-    copies = one.join(two, F.col("a") == F.col("b")).where("one < two").select("one", "two")
-    return across.unionByName(copies).select(F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b"))
+    return across.unionByName(_copies(members)).select(F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b"))
+
+
+def _copies(members: DataFrame) -> DataFrame:
+    """(one, two), one < two: the pairs of keys of one point. Those of a point with many meet in blocks of about `COPIES`."""
+    sizes = members.groupBy("point").agg(F.count(F.lit(1)).alias("n"))
+    hot = durable(sizes.where(F.col("n") > COPIES))  # at most one point in COPIES rows
+    plain = members if hot.isEmpty() else members.join(hot, "point", "left_anti")
+    one, two = plain.selectExpr("key AS one", "point AS a"), plain.selectExpr("key AS two", "point AS b")
+    pairs = one.join(two, F.col("a") == F.col("b")).where("one < two").select("one", "two")
+    if hot.isEmpty():
+        return pairs
+    blocks = F.ceil(F.col("n") / COPIES).cast("int")
+    mine, other = F.pmod(F.hash("key"), blocks), F.explode(F.sequence(F.lit(0), blocks - 1))
+    cells = members.join(hot, "point").select("point", "key", mine.alias("mine"), other.alias("other")).select("point", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    left, right = cells.where("mine = i").select("point", "i", "j", F.col("key").alias("x")), cells.where("mine = j").select("point", "i", "j", F.col("key").alias("y"))
+    met = left.join(right, ["point", "i", "j"]).where("i < j OR x < y")
+    return pairs.unionByName(met.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")))
 
 
 def cluster_members(rows: DataFrame, key: str, text: str, k: int | None = None) -> DataFrame:
