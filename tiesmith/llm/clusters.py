@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,17 +88,48 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel(), kind))
 
 
+class Vectors:
+    """Unit vectors of signed hashed features, kept sparse: a short text has few of the `dims` features."""
+
+    def __init__(self, lists: pa.ListArray, weights: np.ndarray, dims: int) -> None:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy())
+        self.n, self.dims = len(sizes), dims
+        mixed = _spread(flat)
+        column = ((mixed >> np.uint64(24)) % np.uint64(dims)).astype(np.int64)
+        signed = weights[_buckets(flat)] * np.where(mixed & np.uint64(1 << 20), 1.0, -1.0)
+        # A vector without words has one feature of no weight, so that each has a stretch of its own.
+        bare = np.flatnonzero(sizes == 0)
+        at = np.r_[np.repeat(np.arange(self.n, dtype=np.int64), sizes) * dims + column, bare * dims]
+        at, inverse = np.unique(at, return_inverse=True)
+        value = np.bincount(inverse, np.r_[signed, np.zeros(len(bare))], len(at))
+        self.row, self.column = at // dims, at % dims
+        norm = np.sqrt(np.bincount(self.row, value**2, self.n))
+        self.value = (value / np.where(norm > 0, norm, 1)[self.row]).astype(np.float32)
+        self.starts = np.searchsorted(self.row, np.arange(self.n + 1))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def dot(self, turned: np.ndarray) -> np.ndarray:
+        """Products with the columns of a (dims, k) matrix, of which each vector needs a few rows."""
+        out = np.empty((self.n, turned.shape[1]), np.float32)
+        for k, (low, high) in enumerate(zip(self.starts[:-1].tolist(), self.starts[1:].tolist())):
+            np.dot(self.value[low:high], turned[self.column[low:high]], out=out[k])
+        return out
+
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        """The chosen vectors as rows of a matrix."""
+        out = np.zeros((len(which), self.dims), np.float32)
+        for row, k in enumerate(which):
+            part = slice(self.starts[k], self.starts[k + 1])
+            out[row, self.column[part]] = self.value[part]
+        return out
+
+
 def _matrix(lists: pa.ListArray, weights: np.ndarray, dims: int) -> np.ndarray:
-    """Unit vectors of signed hashed features."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.diff(lists.offsets.to_numpy())
-    mixed = _spread(flat)
-    column = ((mixed >> np.uint64(24)) % np.uint64(dims)).astype(np.int64)
-    sign = np.where(mixed & np.uint64(1 << 20), 1.0, -1.0)
-    at = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * dims + column
-    out = np.bincount(at, weights[_buckets(flat)] * sign, len(sizes) * dims).astype(np.float32).reshape(-1, dims)
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1)
+    """All vectors as rows."""
+    return Vectors(lists, weights, dims).dense(np.arange(len(lists)))
 
 
 def _bucket_counts(points: DataFrame) -> np.ndarray:
@@ -140,7 +171,7 @@ class KMeans:
             for batch in batches:
                 for start in range(0, batch.num_rows, _PRODUCTS):
                     part = batch.slice(start, _PRODUCTS)
-                    yield from work(part, _matrix(part.column(part.schema.get_field_index("words")), shared.value, dims))
+                    yield from work(part, Vectors(part.column(part.schema.get_field_index("words")), shared.value, dims))
 
         return self.points.select(*columns).mapInArrow(scan, schema)
 
@@ -155,16 +186,16 @@ class KMeans:
         chosen = np.zeros((0, dims), np.float32)
         for turn in range(rounds + 1):
             want = max(1, self.k // 4) if not turn else most / rounds
-            shared = self.context.broadcast(chosen)
+            near = self._nearest(chosen) if turn else None
             cost = self._cost(chosen) if turn else float(n)
 
-            def draw(part: pa.RecordBatch, x: np.ndarray, turn=turn, want=want, shared=shared, cost=cost) -> Iterator[pa.RecordBatch]:
+            def draw(part: pa.RecordBatch, x: Vectors, turn=turn, want=want, near=near, cost=cost) -> Iterator[pa.RecordBatch]:
                 """Points of chance want * distance / the cost over all points."""
-                far = 1 - (x @ shared.value.T).max(1).clip(max=1) if len(shared.value) else np.ones(len(x))
+                far = 1 - near(x).max(1).clip(max=1) if near else np.ones(len(x))
                 ids = part.column(0).to_numpy().view(np.uint64)
                 chance = (((ids + np.uint64(seed * 1000 + turn)) * _MIX ^ (ids >> np.uint64(29))) * _MIX >> np.uint64(11)).astype(np.float64) / float(1 << 53)
                 at = np.flatnonzero(chance * max(cost, 1e-9) < want * far)
-                yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(far[at].astype(np.float64)), _lists(x[at], pa.float32())], ["point", "number", "vector"])
+                yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(far[at].astype(np.float64)), _lists(x.dense(at), pa.float32())], ["point", "number", "vector"])
 
             picked, _ = self._gather(draw, ["point", "words"])
             chosen = np.concatenate([chosen, picked])
@@ -176,19 +207,19 @@ class KMeans:
         """Sum of the distances of all points from the nearest centroid."""
         near = self._nearest(centroids)
 
-        def far(part: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def far(part: pa.RecordBatch, x: Vectors) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([float((1 - near(x).max(1).clip(max=1)).sum(dtype=np.float64))])], ["far"])
 
         return self._each(["words"], far, "far double").agg(F.sum("far")).head()[0] or 0.0
 
-    def _nearest(self, centroids: np.ndarray):
-        shared = self.context.broadcast(centroids)
-        return lambda x: x @ shared.value.T
+    def _nearest(self, centroids: np.ndarray) -> Callable[[Vectors], np.ndarray]:
+        shared = self.context.broadcast(np.ascontiguousarray(centroids.T))
+        return lambda x: x.dot(shared.value)
 
     def _mass(self, centroids: np.ndarray) -> np.ndarray:
         near, size = self._nearest(centroids), len(centroids)
 
-        def count(part: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def count(part: pa.RecordBatch, x: Vectors) -> Iterator[pa.RecordBatch]:
             n = np.bincount(near(x).argmax(1), minlength=size)
             yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["at", "n"])
 
@@ -219,13 +250,11 @@ class KMeans:
             held, cost = np.zeros((size, dims), np.float32), 0.0
             for batch in batches:
                 for start in range(0, batch.num_rows, _PRODUCTS):
-                    x = _matrix(batch.column(0).slice(start, _PRODUCTS), weights.value, dims)
+                    x = Vectors(batch.column(0).slice(start, _PRODUCTS), weights.value, dims)
                     close = near(x)
                     home = close.argmax(1)
                     cost += float((1 - close.max(1).clip(max=1)).sum(dtype=np.float64))
-                    order = np.argsort(home, kind="stable")
-                    first = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0]) if len(home) else []
-                    held[home[order][first]] += np.add.reduceat(x[order], first)
+                    np.add.at(held.ravel(), home[x.row] * dims + x.column, x.value)
             for start in range(0, size, 256):
                 part = held[start : start + 256]
                 some = np.flatnonzero(np.abs(part).sum(1))
@@ -258,7 +287,7 @@ class KMeans:
         """(point, words, clusters, closeness): each point's nearest centroids, the nearest first."""
         near, m = self._nearest(self.centroids), min(nearest, len(self.centroids))
 
-        def label(part: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def label(part: pa.RecordBatch, x: Vectors) -> Iterator[pa.RecordBatch]:
             close = near(x)
             top = np.argpartition(-close, m - 1, axis=1)[:, :m] if m < close.shape[1] else np.tile(np.arange(m), (len(x), 1))
             mine = np.take_along_axis(close, top, 1)
