@@ -609,12 +609,14 @@ def cluster_members(rows: DataFrame, key: str, text: str, k: int | None = None)
 def cluster_summary(members: DataFrame, rows: DataFrame, key: str, text: str, typical: int = 5) -> DataFrame:
     """(cluster_id, size, rank, key, text, closeness): each cluster's size and the members nearest to its centroid.
 
-    Each task keeps its nearest few of a cluster before the exchange, so a hot cluster isn't gathered.
+    `members` has one row a key, as `cluster_members` gives them. Each task keeps its nearest few of a cluster before
+    the exchange, so a hot cluster isn't gathered, and only the texts of the nearest are looked up: at most
+    `typical` for each of `MOST_CLUSTERS` clusters, which is what is broadcast.
     """
-    sizes = members.groupBy("cluster_id").agg(F.countDistinct("key").alias("size"))
-    best = members.select("cluster_id", "key", "closeness").distinct()
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     salted = W.partitionBy("cluster_id", F.pmod(F.hash("key"), F.lit(64))).orderBy(F.desc("closeness"), "key")
     final = W.partitionBy("cluster_id").orderBy(F.desc("closeness"), "key")
-    top = best.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= typical).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= typical)
-    texts = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
-    return top.join(sizes, "cluster_id").join(texts, "key").select("cluster_id", "size", "rank", "key", "text", "closeness")
+    first = members.select("cluster_id", "key", "closeness").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= typical)
+    top = durable(first.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= typical).join(sizes, "cluster_id"))
+    named = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(F.broadcast(top.select("key")), "key", "left_semi")
+    return top.join(named.groupBy("key").agg(F.min("text").alias("text")), "key").select("cluster_id", "size", "rank", "key", "text", "closeness")
