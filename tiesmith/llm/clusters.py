@@ -255,31 +255,37 @@ class KMeans:
                     home = close.argmax(1)
                     cost += float((1 - close.max(1).clip(max=1)).sum(dtype=np.float64))
                     np.add.at(held.ravel(), home[x.row] * dims + x.column, x.value)
-            for start in range(0, size, 256):
-                part = held[start : start + 256]
-                some = np.flatnonzero(np.abs(part).sum(1))
-                far = np.zeros(len(some))
-                far[:1], cost = cost, 0.0 if len(some) else cost
-                yield pa.record_batch([pa.array(some + start), _lists(part[some], pa.float32()), pa.array(far)], ["at", "vector", "cost"])
+            # Only what isn't zero is sent: a task's few points touch few features of most clusters.
+            used = np.flatnonzero(np.any(held, axis=1))
+            for start in range(0, max(len(used), 1), 256):
+                some = used[start : start + 256]
+                row, column = np.nonzero(held[some])
+                cuts = pa.array(np.searchsorted(row, np.arange(len(some) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(column.astype(np.int16))), pa.ListArray.from_arrays(cuts, pa.array(held[some][row, column]))]
+                yield pa.record_batch([pa.array(some), *lists], ["at", "features", "sums"])
+            yield pa.record_batch([pa.array([-1]), pa.array([[]], pa.list_(pa.int16())), pa.array([[cost]], pa.list_(pa.float32()))], ["at", "features", "sums"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
-            cost: dict[int, float] = {}
+            cost = 0.0
             for batch in batches:
-                for at, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                    cost[at] = cost.get(at, 0.0) + c
-                for at, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    v = v.values.to_numpy()
-                    held[at] = held[at] + v if at in held else v
-            yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32())), pa.array([cost[at] for at in held], pa.float64())], ["at", "vector", "cost"])
-
-        schema = "at bigint, vector array<float>, cost double"
-        rows = points.select("words").mapInArrow(sums, schema).repartition("at").mapInArrow(add, schema).toArrow()
+                for at, features, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    if at < 0:
+                        cost += float(values.values.to_numpy().sum(dtype=np.float64))
+                        continue
+                    if at not in held:
+                        held[at] = np.zeros(dims, np.float32)
+                    held[at][features.values.to_numpy()] += values.values.to_numpy()
+            yield pa.record_batch([pa.array([*held, -1], pa.int64()), pa.array([*held.values(), np.zeros(dims, np.float32)], pa.list_(pa.float32())), pa.array([0.0] * len(held) + [cost], pa.float64())], ["at", "vector", "cost"])
+
+        sparse = points.select("words").mapInArrow(sums, "at bigint, features array<smallint>, sums array<float>")
+        rows = sparse.repartition("at").mapInArrow(add, "at bigint, vector array<float>, cost double").toArrow()
         moved = self.centroids.copy()
-        if rows.num_rows:
-            vectors = rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        real = np.flatnonzero(rows["at"].to_numpy() >= 0)
+        if len(real):
+            vectors = rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dims)[real]
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            moved[rows["at"].to_numpy()] = vectors / np.where(norms > 0, norms, 1)
+            moved[rows["at"].to_numpy()[real]] = vectors / np.where(norms > 0, norms, 1)
         self.centroids = moved
         return float(rows["cost"].to_numpy().sum())
 
