@@ -83,6 +83,12 @@ def test_steps_and_items(spark):
     assert got == {("a_b", "C", "Q3"), ("t", "U", None), ("x", "x", None)} == {tuple(r.values()) for r in c.page_props(["a_b", "t", "x"])}
 
 
+def test_queries_for_people():
+    q = wiki.people_query("Q169470")
+    assert all(f"?{v}" in q.partition("WHERE")[0] for v in ("person", "article", "birthYear", "deathYear", "gender")) and "wdt:P106/wdt:P279* wd:Q169470" in q and q.count("{") == q.count("}") == 4
+    assert "P279*" in wiki.people_count_query("Q1") and "P279*" not in wiki.people_count_query("Q1", narrower=False)
+
+
 def test_halving_asks_each_id_once():
     seen = []
 

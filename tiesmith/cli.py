@@ -12,7 +12,7 @@ from tiesmith.operators import render
 from tiesmith.operators.density import COMPONENTS, GRID, NEIGHBOURS, SETTING
 from tiesmith.session import session
 from tiesmith.sources import files
-from tiesmith.sources.wiki import WikiClient
+from tiesmith.sources.wiki import WikiClient, people_query
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,7 +31,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--delay", type=float, default=1.0)
         return p
 
-    stage("seed", "web").add_argument("--query", type=Path, required=True)
+    given = stage("seed", "web").add_mutually_exclusive_group(required=True)
+    given.add_argument("--query", type=Path, help="file with a query for ?person ?article ?birthYear ?deathYear ?gender")
+    given.add_argument("--occupation", help="item of an occupation, such as Q169470; narrower ones count too")
     p = stage("estimate", "web")
     p.add_argument("--sample", type=int, default=40)
     stage("fetch", "web", "limit")
@@ -82,7 +84,7 @@ def main(args: list[str] | None = None) -> int:
         print("" if found else "(no relations)", end="")
         return 0
     run = {
-        "seed": lambda: stages.run_seed(spark, a.out, client, a.query.read_text(encoding="utf-8")),
+        "seed": lambda: stages.run_seed(spark, a.out, client, people_query(a.occupation) if a.occupation else a.query.read_text(encoding="utf-8")),
         "estimate": lambda: stages.run_estimate(spark, a.out, client, [r.title for r in spark.read.parquet(files.join(a.src, "seed.parquet")).toLocalIterator()], a.sample),
         "fetch": lambda: stages.run_fetch(spark, a.src, a.out, client, a.limit),
         "clean": lambda: stages.run_clean(spark, a.src, a.out, not a.lenient),

@@ -516,7 +516,28 @@ def graph_nodes(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     return found.join(graph.node_lines(found), "qid")
 
 
-@query("candidates", "attribute_spans", "entities")
+_DOT = lambda c: f"replace(replace(replace({c}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+_HTML = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_SHORT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} WHEN rtrim(regexp_replace(left({c}, {n}), '(?s) [^ ]*$', ''), ',.;:') <> '' THEN rtrim(regexp_replace(left({c}, {n}), '(?s) [^ ]*$', ''), ',.;:') || '…' ELSE rtrim(left({c}, {n})) || '…' END"
+_BOX = lambda kind: (
+    f"""CASE WHEN {kind} IS NULL THEN '' ELSE '<TD ID="box__' || {_HTML("a")} || '__' || {_HTML("b")} || '__{kind}" TOOLTIP="{kind.capitalize()}: ' || {_HTML(kind)} || '" BGCOLOR="{graph.COLOURS[kind]}"><FONT COLOR="{graph.PAGE["box"]}" POINT-SIZE="9">' || {_HTML(_SHORT(kind, graph.BOX_CHARS))} || '</FONT></TD>' END"""
+)
+_FIRST = ", ".join(f"arg_min_null(value, row(own, pos, value IS NOT NULL, value)) FILTER (attr_type = '{kind}') AS {kind}" for kind in graph.COLOURS)
+
+
+@query(
+    "candidates",
+    "attribute_spans",
+    "entities",
+    sql=f"""WITH c AS (SELECT *, row_number() OVER () AS rid FROM ({_DISTINCT})),
+    a AS (SELECT DISTINCT span_id, sentence_id, candidate_id, lower(attr_type) AS attr_type, value, coalesce(CASE WHEN len(span) = 2 THEN span[1] END, -1) AS pos, detector, pronoun_resolved FROM attribute_spans),
+    r AS (SELECT c.rid, a.attr_type, a.value, a.pos, a.candidate_id IS NOT NULL AS own FROM c JOIN a ON a.candidate_id IS NULL AND a.sentence_id = c.sentence_id UNION ALL SELECT c.rid, a.attr_type, a.value, a.pos, TRUE FROM c JOIN a ON a.candidate_id = c.candidate_id),
+    kept AS (SELECT c.*, least(head_entity_id, tail_entity_id) AS a, greatest(head_entity_id, tail_entity_id) AS b FROM c WHERE head_entity_id <> '' AND tail_entity_id <> '' AND head_entity_id <> tail_entity_id
+      AND rid IN (SELECT rid FROM r WHERE attr_type = 'institution' AND contains(lower(value), 'university'))),
+    e AS (SELECT a, b, arg_min(rid, row(sentence_id, candidate_id)) AS rid, string_agg(sentence, chr(10) ORDER BY sentence_id, candidate_id, sentence) AS tip FROM kept GROUP BY 1, 2),
+    v AS (SELECT rid, {_FIRST} FROM r GROUP BY 1), x AS (SELECT e.a, e.b, tip, {" || ".join(map(_BOX, graph.COLOURS))} AS boxes FROM e LEFT JOIN v USING (rid))
+    SELECT a, b, '  "' || {_DOT("a")} || '" -- "' || {_DOT("b")} || '" [id="edge__' || {_DOT("a")} || '__' || {_DOT("b")} || '", ' || CASE WHEN boxes = '' THEN 'label=""' ELSE 'label=<{graph.BOX_TABLE[0]}' || boxes || '{graph.BOX_TABLE[1]}>' END || ', tooltip="' || {_DOT("tip")} || '"];' AS line FROM x""",
+)
 def graph_lines(candidates: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
     """DOT lines of the edges that touch a university."""
     records = graph.complete(graph.at_institution(_records(candidates, spans), "university"))
