@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -284,28 +285,35 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
 def _nearest(points: DataFrame, group: list[str], k: int) -> DataFrame:
     """(group..., n, near): the `k` nearest other points of each as array<struct<d,m>>, the nearest first."""
 
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        x, n, mine = _matrix(cell["x"]), cell["n"].to_numpy(), cell["block"].to_numpy()
-        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
-        rows, near = [], []
+    def meet(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        n, mine = cell["n"].to_numpy(), cell["block"].to_numpy()
+        x = cell["x"].chunk(0).flatten().to_numpy().reshape(len(n), -1)
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        rows, near, far = [], [], []
         for own, other in {(i, j), (j, i)}:
             a, b = np.flatnonzero(mine == own), np.flatnonzero(mine == other)
-            for start in range(0, len(a), 256):
-                some = a[start : start + 256]
+            for start in range(0, len(a), 32):
+                some = a[start : start + 32]
                 d = _distances(x[some], x[b])
                 if own == other:
                     d[np.arange(len(some)), np.searchsorted(b, some)] = np.inf
                 took = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                for row, at in enumerate(took):
-                    rows.append(n[some[row]])
-                    near.append([{"d": float(d[row, c]), "m": int(n[b[c]])} for c in at if np.isfinite(d[row, c])])
-        out = pd.DataFrame({"n": np.array(rows, np.int64), "near": near})
-        for g in group:
-            out[g] = cell[g].iloc[0]
-        return out[[*group, "n", "near"]]
+                away = np.take_along_axis(d, took, 1)
+                rows.append(np.repeat(n[some], took.shape[1])[np.isfinite(away).ravel()])
+                near.append(n[b[took]][np.isfinite(away)])
+                far.append(away[np.isfinite(away)])
+        given = {g: pa.array([cell[g][0].as_py()], cell.schema.field(g).type) for g in group}
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        names, first = np.unique(row[order], return_index=True)
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(far)[order]), pa.array(np.concatenate(near)[order])], ["d", "m"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pairs)
+        repeated = pa.array(np.zeros(len(names), np.int64))
+        return pa.table({g: v.take(repeated) for g, v in given.items()} | {"n": pa.array(names), "near": lists})
 
     schema = _kinds(points, group) + "n bigint, near array<struct<d:double,m:bigint>>"
-    met = _cells(points.select(*group, "n", "x", "block", "blocks"), True).repartition(4 * parallelism(points.sparkSession), *group, "i", "j").groupBy(*group, "i", "j").applyInPandas(meet, schema)
+    met = _cells(points.select(*group, "n", "x", "block", "blocks"), True).repartition(4 * parallelism(points.sparkSession), *group, "i", "j").groupBy(*group, "i", "j").applyInArrow(meet, schema)
     return met.groupBy(*group, "n").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
