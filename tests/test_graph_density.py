@@ -103,6 +103,7 @@ def test_neighbours_and_metrics(spark):
         spread[near] = np.std([rows[k] for k, _ in data if int(k) % 2], axis=0).sum()
     assert spread[8] < 0.7 * spread[0]
     assert len(density.reduce(df, "k", "v", 2, 5, "euclidean").first().reduced) == 2 and density.reduce(df.limit(0), "k", "v").count() == 0
+    assert len(density.reduce(df.limit(1), "k", "v").collect()) == 1
     with pytest.raises(ValueError, match="metric"):
         density.reduce(df, "k", "v", metric="other")
     reduced = density.reductions(df, "k", "v", [2], [5, 8])

@@ -51,7 +51,9 @@ def test_counts(run):
     assert (c["mentions"]["subject_link"], c["mentions"]["link_link"], c["mentions"]["mentions"], c["mentions"]["docs_without_pairs"]) == (2, 1, 4, 1)
     assert c["attributes"]["candidates"] == 3 and c["attributes"]["time"] == 1 and c["attributes"]["institution"] == 1 and c["attributes"]["action"] == 3
     assert c["assemble"]["records"] == 3 and c["graph"]["edges"] == 3 and c["graph"]["nodes"] == 3
-    assert (c["estimate"]["pages"], c["estimate"]["total"], c["estimate"]["missing"]) == (2, 200, 0)
+    assert (c["estimate"]["pages"], c["estimate"]["total"], c["estimate"]["missing"], c["estimate"]["missing_titles"]) == (2, 200, 0, [])
+    assert (c["mentions"]["documents"], c["mentions"]["link_mentions"], c["mentions"]["non_person_links"], c["mentions"]["links_outside_sentence"]) == (2, 2, 1, 0)
+    assert (c["segment"]["paragraphs"], c["segment"]["merges"]) == (2, 0)
 
 
 def test_tables(spark, run):
@@ -73,6 +75,23 @@ def test_clusters(spark, run):
     out = stages.run_cluster(spark, data, data, components=2, least_size=2)
     assert out["sentences"] == 1 and out["noise"] == 1
     assert stages.run_sweep(spark, data, data, [1], [(2, "eom"), (2, "leaf")])["settings"] == 2
+    assert len(next((data / "sweep_results.json").glob("part-*")).read_text().splitlines()) == 2
+    assert stages.run_sweep(spark, data, data, [1], [(2, "eom")], neighbours=[2, 3], best=1)["settings"] == 2
+
+
+def test_later_answers_win(spark, tmp_path):
+    stage = stages.Stage("resolve", spark, tmp_path, tmp_path)
+    stage.append("title_qid", [{"title": "a", "qid": "Q1"}, {"title": "b", "qid": None}, {"title": "a", "qid": "Q2"}])
+    stage.append("title_qid", [{"title": "b", "qid": "Q3"}])
+    rows = stages.fetching.last_of_key(stage.lines("title_qid"), "title", ["fetched_at", "seq"]).collect()
+    assert {r.title: r.qid for r in rows} == {"a": "Q2", "b": "Q3"}
+
+
+def test_folders_are_uris(spark, run, tmp_path):
+    data, counts = run
+    again = stages.run_segment(spark, data.as_uri(), tmp_path.as_uri())
+    assert again == counts["segment"] and (tmp_path / "sentences.parquet").exists()
+    assert json.loads((tmp_path / "_manifest.segment.json").read_text())["inputs"]["documents"]["sha256"]
 
 
 def test_command_line(run, capsys):

@@ -306,7 +306,8 @@ def _nearest(points: DataFrame, group: list[str], k: int) -> DataFrame:
         given = {g: pa.array([cell[g][0].as_py()], cell.schema.field(g).type) for g in group}
         row = np.concatenate(rows)
         order = np.argsort(row, kind="stable")
-        names, first = np.unique(row[order], return_index=True)
+        names = np.unique(n)  # a point without neighbours keeps its row
+        first = np.searchsorted(row[order], names)
         pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(far)[order]), pa.array(np.concatenate(near)[order])], ["d", "m"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pairs)
         repeated = pa.array(np.zeros(len(names), np.int64))
@@ -473,7 +474,7 @@ def sweep(vectors: DataFrame, key: str, column: str, components: Sequence[int] =
     return settings_labels(reductions(vectors, key, column, components, neighbours, metric), key, grid)
 
 
-def best_exemplars(reduced: DataFrame, labels: DataFrame, results: DataFrame, key: str, best: int = 3, most_clusters: int = 10, n: int = 5) -> DataFrame:
+def best_exemplars(reduced: DataFrame, labels: DataFrame, results: DataFrame, key: str, best: int = 3, most_clusters: int = 5, n: int = 5) -> DataFrame:
     """(setting..., cluster_id, size, rank, key, distance): typical members of the largest clusters under the `best` most even settings."""
     top = results.orderBy("largest_cluster_fraction", *SETTING).limit(best).select(*SETTING)
     held = labels.where("cluster_id <> -1").join(F.broadcast(top), SETTING)  # at most `best` rows

@@ -25,8 +25,8 @@ from tiesmith.sources.wiki import WikiClient, WikiError, chunked, humans_query,
 SENTENCE = ["doc_id", "section_idx", "sent_idx"]
 
 
-#: Answers that are held before they are written.
-HELD = 2000
+#: Answers that are held before they are written, and missing titles that a report names.
+HELD, SHOWN = 2000, 20
 
 
 class Stage:
@@ -269,6 +269,7 @@ def run_sweep(spark: SparkSession, src: Path | str, out: Path | str, components:
     reduced = density.reductions(vectors, "sentence_id", "embedding", components, neighbours, metric)
     labels = durable(density.settings_labels(reduced, "sentence_id", grid))
     results = stage.write("sweep_results", density.sweep_summary(labels, density.SETTING))
+    jsonl.write_jsonl(results, files.join(stage.out, "sweep_results.json"), ["largest_cluster_fraction", *density.SETTING], one_file=True)  # a row a setting
     if best:
         typical = density.best_exemplars(reduced, labels, results, "sentence_id", best)
         stage.write("sweep_exemplars", typical.join(vectors.select("sentence_id", "sentence"), "sentence_id"))
@@ -278,9 +279,12 @@ def run_sweep(spark: SparkSession, src: Path | str, out: Path | str, components:
 def run_estimate(spark: SparkSession, out: Path | str, client: WikiClient, titles: list[str], sample: int = 40, seed_number: int = 7) -> dict:
     """Exact sizes of all titles, and the ratio of HTML to them from a seeded sample of pages."""
     stage = Stage("estimate", spark, out, out)
-    sizes = spark.createDataFrame([(r["title"], r["length"]) for r in client.page_info(titles)], "title string, length bigint").where("length IS NOT NULL")
+    found = [(r["title"], r["length"]) for r in client.page_info(titles)]
+    sizes = spark.createDataFrame(found, "title string, length bigint").where("length IS NOT NULL")
+    known = {title for title, length in found if length is not None}
+    missing = [t for t in titles if t not in known]
     drawn = fetching.seeded_sample(sizes, "title", sample, seed_number).collect()
     rich = spark.createDataFrame([(r.title, len(client.page_html(r.title).html)) for r in drawn], "title string, html bigint")
     exact = sizes.agg(F.count(F.lit(1)).alias("pages"), F.sum("length").alias("total"), F.max("length").alias("largest")).first().asDict()
     ratios = fetching.size_estimate(sizes.join(rich, "title"), "length", "html").first().asDict()
-    return stage.done(exact | {k: v for k, v in ratios.items() if k.startswith("ratio")} | {"missing": len(titles) - exact["pages"]}, sample=sample)
+    return stage.done(exact | {k: v for k, v in ratios.items() if k.startswith("ratio")} | {"missing": len(titles) - exact["pages"], "missing_titles": missing[:SHOWN]}, sample=sample)
